@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, suffix, tokens
+from . import imatch, mixture, neardup, suffix, tokens
 from .common import table
 
 END_ID = 2
@@ -20,6 +20,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(table(spark, sf_dir, "documents"))
+    taken = F.col("mix_size") * F.col("mix_copies")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), F.col("mix_copies").alias("copies"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, LENGTH)
 
@@ -39,6 +49,6 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op5_near_duplicates, op7_concatenate_and_cut, op9_suffix_arrays)
+    for f in (op1_imatch, op2_pareto_mixture, op3_best_fit_packing, op5_near_duplicates, op7_concatenate_and_cut, op9_suffix_arrays)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mixture": mixture.MIX_SQL.format(docs="documents")}
