@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, mixture, neardup, suffix, tokens
+from . import imatch, media, mixture, nbsvm, neardup, pii, suffix, tokens, warc
 from .common import table
 
 END_ID = 2
@@ -34,21 +34,44 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, LENGTH)
 
 
+def op4_media_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.concatenate_and_cut(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, LENGTH).drop("ids")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+    return judged.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), 400).drop("kept", "removed")
 
 
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_revisits(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_imatch, op2_pareto_mixture, op3_best_fit_packing, op5_near_duplicates, op7_concatenate_and_cut, op9_suffix_arrays)
+    for f in (
+        op1_imatch, op2_pareto_mixture, op3_best_fit_packing, op4_media_index, op5_near_duplicates,
+        op6_personal_data, op7_concatenate_and_cut, op8_quality, op9_suffix_arrays, op10_revisits,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pareto_mixture": mixture.MIX_SQL.format(docs="documents"),
+    "op10_revisits": warc.REVISIT_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mixture": mixture.MIX_SQL.format(docs="documents")}
