@@ -208,7 +208,7 @@ def index(df: DataFrame, media_col: str = "media") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())], names=["tracks", "error"])
 
     names = [c for c in df.columns if c not in ("media_tracks", "media_error")]
-    return df.select(*names, described(F.col(media_col).cast("binary")).alias("media_index")).select(*names, F.col("media_index.tracks").alias("media_tracks"), F.col("media_index.error").alias("media_error"))
+    return df.select(*names, described(F.col(media_col).cast("binary")).alias("_bq_index")).select(*names, F.col("_bq_index.tracks").alias("media_tracks"), F.col("_bq_index.error").alias("media_error"))
 
 
 def padded(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:

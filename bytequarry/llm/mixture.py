@@ -89,21 +89,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     taken = edge.withColumn("start", start).where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") / 2 <= F.col("rest")))
     last = taken.groupBy("source").agg(F.max(F.struct("u", "id", "tie")).alias("last"))
-    final = known.join(last, same(known, last), "left").select(known["source"].alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "p", "cut_slice", "last")
+    # Names of this side can't meet the documents' own.
+    final = known.join(last, same(known, last), "left").select(*(known[c].alias(f"_bq_{c}") for c in ("source", "source_size", "target", "whole", "p", "cut_slice")), F.col("last").alias("_bq_last"))
     final = written(final, "mixture")
 
     rows = docs.withColumn("mix_size", row["size"])
-    out = rows.join(F.broadcast(final) if fits_broadcast(final, 200) else final, rows[source_col].cast("string").eqNullSafe(F.col("mix_source")))
+    out = rows.join(F.broadcast(final) if fits_broadcast(final, 200) else final, F.col(source_col).cast("string").eqNullSafe(F.col("_bq_source")))
     here = F.struct(row["u"].alias("u"), F.col(id_col).cast("long").alias("id"), row["tie"].alias("tie"))
-    at = F.floor(row["u"] * SLICES)
-    drawn = (F.col("p") > 0) & (F.col("cut_slice").isNull() | (at < F.col("cut_slice")) | ((at == F.col("cut_slice")) & F.coalesce(here <= F.col("last"), F.lit(False))))
-    return out.withColumn("mix_copies", F.col("whole") + drawn.cast("long")).drop("mix_source", "whole", "p", "cut_slice", "last")
+    at, cut = F.floor(row["u"] * SLICES), F.col("_bq_cut_slice")
+    drawn = (F.col("_bq_p") > 0) & (cut.isNull() | (at < cut) | ((at == cut) & F.coalesce(here <= F.col("_bq_last"), F.lit(False))))
+    copies = F.col("_bq_whole") + drawn.cast("long")
+    return out.select(*rows.columns, F.col("_bq_source_size").alias("mix_source_size"), F.col("_bq_target").alias("mix_target"), copies.alias("mix_copies"))
 
 
 def take(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as mix_copies says, without the columns that ``mix`` added."""
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return mixed.where("mix_copies > 0").select("*", times.alias("mix_copy")).drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_copy")
+    kept = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+    return mixed.where("mix_copies > 0").select(*kept, times.alias("_bq_copy")).select(*kept)
 
 
 #: The same mix in SQL; the window over a whole source is what the operator avoids.

@@ -209,8 +209,8 @@ def _with_added(docs: DataFrame, text: Column, added: DataFrame) -> DataFrame:
     """Rows with the spans added to their texts; the documents stay in place unless those are very many."""
     small = fits_broadcast(added, 200)
     key = F.unhex(F.md5(text))
-    added = added.select(F.col("tkey").alias("pii_key"), F.col("added").alias("pii_added"))
-    return docs.join(F.broadcast(added) if small else added, key == F.col("pii_key"), "left")
+    added = added.select(F.col("tkey").alias("_bq_key"), F.col("added").alias("_bq_added"))
+    return docs.join(F.broadcast(added) if small else added, key == F.col("_bq_key"), "left")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +224,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _with_added(rows, text, added_spans(docs, text_col)).select("doc_id", text.alias("text"), F.col("pii_added").alias("added"))
+    rows = _with_added(rows, text, added_spans(docs, text_col)).select("doc_id", text.alias("text"), F.col("_bq_added").alias("added"))
     return rows.mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
@@ -250,7 +250,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     text = F.col(text_col).cast("string")
     rows = _with_added(docs, F.coalesce(text, F.lit("")), added_spans(docs, text_col))
-    out = rows.withColumn(text_col, masked(text, F.col("pii_added"))).select(*docs.columns)
+    out = rows.withColumn(text_col, masked(text, F.col("_bq_added"))).select(*docs.columns)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out

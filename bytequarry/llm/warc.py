@@ -56,34 +56,34 @@ def resolve(records: DataFrame) -> DataFrame:
     records = records.select(*(c for c in records.columns if c not in added)).withColumn("url_key", canonical_url(F.col("url")))
     span = records.agg(F.min("time"), F.max("time")).first()
     low, width = span[0] or 0, ((span[1] or 0) - (span[0] or 0)) // parts + 1
-    records = records.withColumn("_range", F.floor((F.col("time") - F.lit(low)) / width).cast("long"))
+    records = records.withColumn("_bq_range", F.floor((F.col("time") - F.lit(low)) / width).cast("long"))
     usable = (F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("time").isNotNull()
     offer = F.struct(F.col("time").alias("t"), F.col("record_id").alias("id"), "digest", F.to_json("headers").alias("headers"))
 
-    last = records.where(usable).groupBy("url_key", "_range").agg(F.max(F.struct("time", "record_id")).alias("at"))
-    points = last.union(records.where("kind = 'revisit'").select("url_key", "_range", F.lit(None).alias("at")).distinct()).groupBy("url_key", "_range").agg(F.max("at").alias("at"))
-    earlier = Window.partitionBy("url_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = points.withColumn("carried", F.last("at", ignorenulls=True).over(earlier)).where("carried is not null").select(F.col("url_key").alias("k"), F.col("_range").alias("r"), "carried")
+    last = records.where(usable).groupBy("url_key", "_bq_range").agg(F.max(F.struct("time", "record_id")).alias("at"))
+    points = last.union(records.where("kind = 'revisit'").select("url_key", "_bq_range", F.lit(None).alias("at")).distinct()).groupBy("url_key", "_bq_range").agg(F.max("at").alias("at"))
+    earlier = Window.partitionBy("url_key").orderBy("_bq_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = points.withColumn("carried", F.last("at", ignorenulls=True).over(earlier)).where("carried is not null").select(F.col("url_key").alias("_bq_k"), F.col("_bq_range").alias("_bq_r"), F.col("carried").alias("_bq_carried"))
 
     # Within a range: the latest response at an earlier time, by ranks of time and not of rows.
-    order = Window.partitionBy("url_key", "_range").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("url_key", "_bq_range").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     near = F.max(F.when(usable, F.struct("time", "record_id"))).over(order)
-    keyed = records.withColumn("_near", near)
-    keyed = keyed.join(carried, (F.col("url_key") == F.col("k")) & (F.col("_range") == F.col("r")), "left").drop("k", "r")
-    keyed = keyed.withColumn("_at", F.when(F.col("kind") == "revisit", F.coalesce("_near", "carried"))).drop("_near", "carried")
-    pick = records.where(usable).groupBy(F.col("url_key").alias("k"), F.col("time").alias("t"), F.col("record_id").alias("i")).agg(F.max(offer).alias("o"))
-    out = keyed.join(pick, (F.col("url_key") == F.col("k")) & (F.col("_at.time") == F.col("t")) & (F.col("_at.record_id") == F.col("i")), "left").drop("k", "t", "i", "_range")
-    mine, theirs = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce(F.from_json("o.headers", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    out = out.withColumn("_mine", mine).withColumn("_theirs", theirs)
-    tag_a, tag_b = _plain_etag(F.col("_mine")), _plain_etag(F.col("_theirs"))
-    date_a, date_b = F.col("_mine")["last-modified"], F.col("_theirs")["last-modified"]
+    keyed = records.withColumn("_bq_near", near)
+    keyed = keyed.join(carried, (F.col("url_key") == F.col("_bq_k")) & (F.col("_bq_range") == F.col("_bq_r")), "left").drop("_bq_k", "_bq_r")
+    keyed = keyed.withColumn("_bq_at", F.when(F.col("kind") == "revisit", F.coalesce("_bq_near", "_bq_carried"))).drop("_bq_near", "_bq_carried")
+    pick = records.where(usable).groupBy(F.col("url_key").alias("_bq_k"), F.col("time").alias("_bq_t"), F.col("record_id").alias("_bq_i")).agg(F.max(offer).alias("_bq_o"))
+    out = keyed.join(pick, (F.col("url_key") == F.col("_bq_k")) & (F.col("_bq_at.time") == F.col("_bq_t")) & (F.col("_bq_at.record_id") == F.col("_bq_i")), "left").drop("_bq_k", "_bq_t", "_bq_i", "_bq_range")
+    mine, theirs = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce(F.from_json("_bq_o.headers", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    out = out.withColumn("_bq_mine", mine).withColumn("_bq_theirs", theirs)
+    tag_a, tag_b = _plain_etag(F.col("_bq_mine")), _plain_etag(F.col("_bq_theirs"))
+    date_a, date_b = F.col("_bq_mine")["last-modified"], F.col("_bq_theirs")["last-modified"]
     found = F.when(tag_a.isNotNull() & tag_b.isNotNull(), F.when(tag_a == tag_b, "resolved").otherwise("mismatch")).when(date_a.isNotNull() & date_b.isNotNull(), F.when(date_a == date_b, "resolved").otherwise("mismatch")).otherwise("unverified")
-    status = F.when(F.col("kind") == "response", "response").when(F.col("kind") == "revisit", F.when(F.col("o").isNull(), "no_original").otherwise(found))
+    status = F.when(F.col("kind") == "response", "response").when(F.col("kind") == "revisit", F.when(F.col("_bq_o").isNull(), "no_original").otherwise(found))
     out = out.withColumn("status", status)
-    fresh = F.map_filter("_mine", lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter("_theirs", lambda k, v: ~(k.isin(*PERMITTED) & F.array_contains(F.map_keys("_mine"), k)))
+    fresh = F.map_filter("_bq_mine", lambda k, v: k.isin(*PERMITTED))
+    kept = F.map_filter("_bq_theirs", lambda k, v: ~(k.isin(*PERMITTED) & F.array_contains(F.map_keys("_bq_mine"), k)))
     merged = F.when(F.col("kind") == "response", F.col("headers")).when(F.col("status").isin("resolved", "unverified"), F.map_concat(kept, fresh))
-    return out.withColumn("merged_headers", merged).withColumn("refers_to", F.col("_at.record_id")).withColumn("refers_time", F.col("_at.time")).drop("_at", "o", "_mine", "_theirs")
+    return out.withColumn("merged_headers", merged).withColumn("refers_to", F.col("_bq_at.record_id")).withColumn("refers_time", F.col("_bq_at.time")).drop("_bq_at", "_bq_o", "_bq_mine", "_bq_theirs")
 
 
 def header_line(headers: Column) -> Column:
