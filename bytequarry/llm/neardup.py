@@ -235,12 +235,14 @@ def _verify_block(n: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, tkey, n_shingles, component_id) per row of ``docs``: groups of near-duplicate texts.
+    """(doc_id, tkey, n_shingles, component_id, component) per row of ``docs``: groups of near-duplicate texts.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets
     of n-word shingles (A-Z lower-cased, words are runs of non-spaces);
-    component_id is the smallest id that links reach. tkey is the MD5 of the text,
-    so (doc_id, tkey) finds the row again.
+    component_id is the smallest id that links reach, component a number of the
+    group's own (null without shingles), which differs where rows with the same
+    id are in different groups. tkey is the MD5 of the text, so (doc_id, tkey)
+    finds the row again.
 
     Null or blank texts have no shingles and are linked with nothing. Rows with
     equal sets form one class and are compared once, whatever their ids; repeated
@@ -305,8 +307,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = some.join(classes.select("digest", "nid"), "digest").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
     label = written(label.select("doc_id", "tkey", "n_shingles", "comp"), "labelled")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    grouped = label.join(least, "comp").select("doc_id", "tkey", "n_shingles", "component_id")
-    return grouped.union(signed.where("n_shingles = 0").select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id")))
+    grouped = label.join(least, "comp").select("doc_id", "tkey", "n_shingles", "component_id", F.col("comp").alias("component"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long"))
+    return grouped.union(alone)
 
 
 def _number_bands(batches):
@@ -331,13 +334,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     found = written(near_duplicates(docs, id_col, text_col, n, percent), "found")
     some = found.where("n_shingles > 0")
-    # component ids are unique but for null ids, which are grouped by their text
-    best = some.groupBy("component_id").agg(F.min("tkey").alias("any_key"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("tkey"))).alias("best"), F.count("*").alias("rows"))
-    flags = some.join(best.where("rows > 1").withColumnRenamed("component_id", "cid"), F.col("component_id").eqNullSafe(F.col("cid")))
-    good = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tkey") == F.col("best"))
-    flags = written(flags.groupBy(F.col("doc_id").alias("fid"), F.col("tkey").alias("fkey")).agg(F.max(good).alias("stays"), F.count("*").alias("n_rows")), "flags")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+    best = some.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    flags = some.join(best, "component")
+    good = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))
+    flags = written(flags.groupBy(F.col("doc_id").alias("_bq_id"), F.col("tkey").alias("_bq_key")).agg(F.max(good).alias("stays"), F.count("*").alias("n_rows")), "flags")
     lost, twice = flags.where("not stays"), flags.where("stays and n_rows > 1")
-    keys = F.col(id_col).cast("long").eqNullSafe(F.col("fid")) & (F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))) == F.col("fkey"))
+    keys = F.col(id_col).cast("long").eqNullSafe(F.col("_bq_id")) & (F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))) == F.col("_bq_key"))
     side = lambda x: F.broadcast(x) if fits_broadcast(x, 64) else x
     rest = docs.join(side(lost), keys, "left_anti")
     if not twice.limit(1).count():
