@@ -10,6 +10,7 @@ them hold few terms of any text, and survive where texts agree in part.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ IDF_BAND = (math.log(10), math.log(2000))
 #: Share of lexicon terms that each sub-lexicon keeps, as a power of one half; the first is the whole lexicon.
 #: Most keep about one term of a usual text, and so tell how much of two texts agrees.
 HALVINGS = [0, 1, 2, 3, 4, 4, *[5] * 6, *[6] * 8, *[7] * 8, *[8] * 6, *[9] * 4, 10, 11]
+EMPTY = "00000000"
 PUNCTUATION = "\t\n\x0b\x0c\r.,;:!?\"'()[]{}<>|/\\*&%$#@+-=_~`^"
 
 
@@ -31,7 +33,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(h): 64-bit hashes of the terms in the band, over all documents.
+    """(h, item) of the terms in the band, over all documents: a 64-bit hash, and the sub-lexicons that keep the term.
 
     A document has few distinct terms on average, so at most mean / exp(-band[1])
     terms occur in a share of documents that the band allows: the lexicon does
@@ -40,34 +42,36 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     n = docs.count()
     df = docs.select(F.explode(terms(text_or_empty(text_col))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    return df.where((idf >= band[0]) & (idf <= band[1])).select("h")
+    # A sub-lexicon keeps a term if low bits of a hash of its own are 0. Above these bits stand 25 of the term's.
+    bits = [F.when(F.xxhash64("h", F.lit(k)).bitwiseAND(_long((1 << h) - 1)) == 0, _long(1 << k)).otherwise(_long(0)) for k, h in enumerate(HALVINGS)]
+    item = reduce(lambda x, y: x.bitwiseOR(y), bits, F.shiftleft(F.col("h").bitwiseAND(_long((1 << 25) - 1)), len(HALVINGS)))
+    return df.where((idf >= band[0]) & (idf <= band[1])).select("h", item.alias("item"))
 
 
-def signature(found: Column, rest: Column) -> Column:
-    """Hash of each sub-lexicon's terms among sorted int hashes; 0 where it has none.
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
-    A text without lexicon terms is hashed as its set of terms, ``rest``.
-    """
-    keyed = F.transform(found, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(7)).alias("m")))
-    kept = [F.xxhash64(found)]
-    for k, halvings in enumerate(HALVINGS[1:]):
-        # low bits of another hash decide for each sub-lexicon
-        part = F.filter(keyed, _kept_by(k, (1 << halvings) - 1))
-        kept.append(F.when(F.size(part) > 0, F.xxhash64(part["t"])).otherwise(F.lit(0).cast("long")))
-    sub = F.array(*(F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0") for x in kept))
-    return F.when(F.size(found) > 0, F.array_join(sub, ".")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(rest))))
+
+def _has(k: int):
+    return lambda x: x.bitwiseAND(_long(1 << k)) != 0
+
+
+def signature(found: Column) -> Column:
+    """Hashes of each sub-lexicon's items among sorted ones, as hex strings; a zero string where it has none."""
+    none = F.xxhash64(F.array().cast("array<bigint>"))
+    hashes = F.array(*(F.xxhash64(F.filter(found, _has(k))) for k in range(len(HALVINGS))))
+    return F.transform(hashes, lambda x: F.when(x == none, EMPTY).otherwise(F.lpad(F.lower(F.hex(x.bitwiseAND(_long(0xFFFFFFFF)))), 8, "0")))
 
 
-def _kept_by(k: int, mask: int):
-    return lambda x: F.xxhash64(x["m"], F.lit(k)).bitwiseAND(F.lit(mask).cast("long")) == 0
+def agreement(a: Column, b: Column) -> Column:
+    """Equal hashes, plus 1000 times the sub-lexicons that have terms of either text."""
+    pair = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 1001).otherwise(1000))
+    return F.aggregate(pair, F.lit(0), lambda s, x: s + x)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the sub-lexicons that have terms of either text; 0 to 1."""
-    pairs = F.arrays_zip(F.split(a, "\\.").alias("a"), F.split(b, "\\.").alias("b"))
-    some = F.filter(pairs, lambda p: ~((p["a"] == "00000000") & (p["b"] == "00000000")))
-    same = F.filter(some, lambda p: p["a"] == p["b"])
-    return F.when(a == b, 1.0).when(a.startswith("all.") | b.startswith("all."), 0.0).otherwise(F.size(same) / F.size(some))
+def likeness(rest_a: Column, rest_b: Column, counted: Column) -> Column:
+    """Share of sub-lexicons that agree; texts without lexicon terms agree if their terms are the same; 0 to 1."""
+    return F.when(counted == 0, (rest_a == rest_b).cast("double")).otherwise((counted % 1000) / F.floor(counted / 1000))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -117,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(docs, id_col, text_col, parts)
     both = rows.withColumn("edit", F.when(~F.col("halo"), edited(F.col("text"), F.col("next"))))
     both = both.select("part", "place", "halo", "id", "text", "edit", terms(F.col("text")).alias("own"), terms(F.coalesce("edit", F.lit(""))).alias("new"))
-    all_of = lambda c: F.xxhash64(F.array_sort(c))
+    all_of = lambda c: F.xxhash64(F.sort_array(c))
     head = F.struct("halo", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), all_of("own").alias("r0"), all_of("new").alias("r1"))
     none = F.lit(None)
     item = lambda side, t, h: F.struct(F.lit(side).alias("side"), t.cast("string").alias("t"), h.alias("head"))
@@ -128,14 +132,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.transform("new", lambda t: item(1, t, none.cast(kind))),
     )
     exploded = both.select("part", "place", F.explode(items).alias("x")).select("part", "place", "x.side", F.xxhash64("x.t").alias("h"), "x.head")
-    marked = words.withColumn("known", F.lit(True))
-    exploded = exploded.join(F.broadcast(marked) if fits_broadcast(words, 16) else marked, "h", "left").where("known or side = 2")
-    exploded = exploded.select("part", "place", "side", "head", F.col("h").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("t"))
-    of = lambda s: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("side") == s, F.col("t"))))).alias(f"t{s}")
+    exploded = exploded.join(F.broadcast(words) if fits_broadcast(words, 16) else words, "h", "left").where("item is not null or side = 2")
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("item")))).alias(f"t{s}")
     grouped = exploded.groupBy("part", "place").agg(F.max("head").alias("head"), of(0), of(1))
-    printed = grouped.select("part", "place", "head", signature(F.col("t0"), F.col("head.r0")).alias("fingerprint"), signature(F.col("t1"), F.col("head.r1")).alias("edited_fingerprint"))
-    printed = printed.withColumn("following", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("place"))).where(~F.col("head.halo"))
+    printed = grouped.select("part", "place", "head", signature(F.col("t0")).alias("a"), signature(F.col("t1")).alias("b"))
+    order = Window.partitionBy("part").orderBy("place")
+    printed = printed.select("*", F.lead("a").over(order).alias("c"), F.lead("head").over(order)["r0"].alias("rc")).where(~F.col("head.halo"))
+    printed = printed.select("*", agreement(F.col("a"), F.col("b")).alias("ab"), agreement(F.col("a"), F.col("c")).alias("ac"))
+    # a text without lexicon terms prints the hash of all of its terms
+    shown = lambda c, rest: F.when(F.exists(c, lambda x: x != EMPTY), F.array_join(c, ".")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(rest))))
     return printed.select(
-        F.col("head.id").alias("doc_id"), "head.n_chars", "head.edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
+        F.col("head.id").alias("doc_id"), "head.n_chars", "head.edited_sha256", shown("a", F.col("head.r0")).alias("fingerprint"), shown("b", F.col("head.r1")).alias("edited_fingerprint"),
+        likeness(F.col("head.r0"), F.col("head.r1"), F.col("ab")).alias("near_edited"), likeness(F.col("head.r0"), F.col("rc"), F.col("ac")).alias("near_next"),
     )
