@@ -222,7 +222,19 @@ OPCODES = [
     (271, "LOAD_ENVIRONMENT_KEY", "assign", None),
 ]
 PROTOCOL_OPCODES = [39, 51, 52, 56, 81, 91, 98, 166, 203, 238, 239, 244, 247, 248, 277, 282]
-REGISTER_SLACK = 4
+REGISTER_MODE, REGISTER_SLACK = 7, 4
+# The largest register that each opcode's effect names, of the payloads a, n, q; -1: none.
+LARGEST_REGISTER = {
+    1: "a", 5: "greatest(q, a, n)", 9: "n", 10: "greatest(n, q)", 14: "greatest(n, a, q)", 20: "n + 1", 21: "a", 22: "greatest(n, q)", 25: "q", 34: "greatest(a, q, n)",
+    36: "n + 1 + greatest(0, q - 2)", 41: "greatest(n, q)", 50: "n + 1", 58: "a", 59: "greatest(q, n)",
+    62: "greatest(a + 1 + case when n = 0 then 0 else greatest(0, n - 2) end, a + greatest(0, q - 2))", 69: "a", 71: "n", 72: "n", 73: "-1",
+    75: "a + n", 77: "greatest(a, n)", 79: "n + greatest(0, q - 2)", 84: "a", 87: "q + 2", 97: "greatest(a + 1, n)", 105: "greatest(q, a, n)", 118: "-1", 120: "q", 123: "n + 1",
+    125: "greatest(n, a, q)", 126: "greatest(a, n)", 127: "greatest(n, a, q)", 129: "1 + greatest(0, q - 1)", 131: "n + 1", 135: "n", 136: "-1", 137: "q", 138: "greatest(a, n)", 143: "greatest(n, a, q)",
+    144: "q", 147: "greatest(q, a)", 150: "greatest(a, q)", 154: "q + greatest(0, a - 1)", 155: "greatest(n, q)", 161: "greatest(n, q)", 162: "greatest(n, q)", 164: "greatest(a, n)", 176: "-1", 187: "greatest(n, a)",
+    188: "q", 192: "greatest(a, q)", 193: "n + 2", 198: "greatest(a, n, q)", 199: "q", 208: "greatest(a, n, q)", 212: "greatest(q, n)", 215: "greatest(q, n, a)", 216: "greatest(q, a)", 219: "q",
+    230: "greatest(q, n)", 233: "a + 1 + greatest(0, q - 2)", 250: "greatest(a, q, n)", 251: "a + 1", 252: "greatest(a, q)", 253: "greatest(q, n, a)", 255: "greatest(q, n)", 259: "q + 1", 263: "greatest(n, a)", 266: "greatest(n, q)",
+    267: "q", 271: "q",
+}
 
 # Lua 5.1 opcodes in order of their numbers; those with one wide operand; those that branch.
 LUA51 = (

@@ -27,6 +27,9 @@ _LOW = np.uint64((1 << 24) - 1)
 PART_BYTES = 4 << 20
 #: Bytes of contexts in one suffix array.
 SORT_BYTES = 1 << 19
+#: Anchors with more distinct contexts are dealt out by what the strings at some places have in common.
+HOT_CONTEXTS = 1024
+SHARES = 4
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -94,21 +97,45 @@ def _anchors(length: int):
     return run
 
 
+_COLUMNS = ["group", "code", "context", "twice", "pos", "before", "bytes", "tkey"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+
 def _contexts(length: int):
-    """Bytes of the contexts that are wanted of a document: rows (tkey, text, wanted)."""
+    """Bytes of the contexts that are wanted of a document: rows (tkey, text, wanted).
+
+    A context goes to its anchor's group. If that is hot, its strings are dealt
+    out by how far before the anchor they start: those that start within a share
+    of the reach all hold the bytes between the share's ends, whose hash names
+    their group. Equal strings start equally far before the anchor and hold the
+    same bytes there, so they still meet.
+    """
     gram = length // 2
     reach = length - gram
+    step = -(-(reach + 1) // SHARES)
+
+    def dealt(code, pos, before, text):
+        for near in range(0, min(before, reach) + 1, step):
+            far = min(near + step - 1, reach)
+            bytes_ = text[pos - min(before, far) : pos - near + length]
+            if len(bytes_) >= length:
+                shared = text[pos - near : pos - far + length]
+                name = hashlib.blake2b(b"%d %d " % (code, near) + shared, digest_size=8).digest()
+                yield int.from_bytes(name, "big", signed=True), min(before, far), bytes_
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 text = (batch.column("text")[row].as_py() or "").encode()
                 wanted = batch.column("wanted")[row].as_py()
-                out = [(w["code"], w["context"], w["twice"], w["pos"], min(w["pos"], reach), text[max(0, w["pos"] - reach) : w["pos"] + length]) for w in wanted]
                 key = batch.column("tkey")[row].as_py()
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + [pa.array([key] * len(out), pa.binary())], names=["code", "context", "twice", "pos", "before", "bytes", "tkey"])
+                out = []
+                for w in wanted:
+                    pos, before = w["pos"], min(w["pos"], reach)
+                    parts = dealt(w["code"], pos, before, text) if w["hot"] else [(w["code"], before, text[pos - before : pos + length])]
+                    out += [(group, w["code"], w["context"], w["twice"], pos, b, bytes_, key) for group, b, bytes_ in parts]
+                if out:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_COLUMNS)
 
     return run
 
@@ -243,14 +270,11 @@ def covered(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
     return [(rows[k][0], rows[k][1], int(left[k]) - rows[k][4], int(right[k]) + length - rows[k][4]) for k in np.flatnonzero(right >= 0)]
 
 
-_COLUMNS = ["code", "context", "twice", "pos", "before", "bytes", "tkey"]
-
-
 def _sort(length: int):
-    """Rows come by (code, context): whole anchors are gathered up to SORT_BYTES and sorted together."""
+    """Rows come by (group, code, context): whole groups are gathered up to SORT_BYTES and sorted together."""
 
     def emit(rows):
-        out = covered(rows, length)
+        out = covered([r[1:] for r in rows], length)
         if out:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["code", "context", "lo", "hi"])
         return None
@@ -259,15 +283,15 @@ def _sort(length: int):
         rows, held, last = [], 0, None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _COLUMNS), strict=True):
-                if row[:2] == last:
+                if row[:3] == last:
                     continue  # a copy of the text gave it too
                 if held >= SORT_BYTES and row[0] != last[0]:
                     if (out := emit(rows)) is not None:
                         yield out
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[5])
-                last = row[:2]
+                held += len(row[6])
+                last = row[:3]
         if rows and (out := emit(rows)) is not None:
             yield out
 
@@ -339,13 +363,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     found = written(found.join(F.broadcast(again) if fits_broadcast(again, 16) else again, "code"), "repeated")
     contexts = found.groupBy("code", "context").agg(F.min(F.struct("place", "tkey", "pos")).alias("at"), F.max("place").alias("b"))
     contexts = written(contexts.select("code", "context", "at.tkey", "at.pos", (F.col("at.place") != F.col("b")).alias("twice")), "contexts")
-    differ = contexts.groupBy("code").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("code")
-    wanted = contexts.join(differ, "code").groupBy("tkey").agg(F.collect_list(F.struct("code", "context", "twice", "pos")).alias("wanted"))
+    differ = contexts.groupBy("code").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.count("*").alias("n")).where("a <> b")
+    differ = written(differ.select("code", (F.col("n") > HOT_CONTEXTS).alias("hot")), "differ")
+    wanted = contexts.join(F.broadcast(differ) if fits_broadcast(differ, 16) else differ, "code")
+    wanted = wanted.groupBy("tkey").agg(F.collect_list(F.struct("code", "context", "twice", "pos", "hot")).alias("wanted"))
     wanted = written(wanted.join(copies, "tkey").select("tkey", "first_id", "wanted"), "wanted")
 
     rows = keyed.join(wanted, (keyed.tkey == wanted.tkey) & keyed.doc_id.eqNullSafe(wanted.first_id)).select(keyed.tkey, "text", "wanted")
-    rows = rows.mapInArrow(_contexts(length), "code long, context long, twice boolean, pos long, before long, bytes binary, tkey binary")
-    rows = rows.repartition(parts, "code").sortWithinPartitions("code", "context")
+    rows = rows.mapInArrow(_contexts(length), "group long, code long, context long, twice boolean, pos long, before long, bytes binary, tkey binary")
+    rows = rows.repartition(parts, "group").sortWithinPartitions("group", "code", "context")
     ranges = rows.mapInArrow(_sort(length), "code long, context long, lo long, hi long")
     # A context that occurs twice is covered to its ends; the text's own ends cut it below.
     reach = length - length // 2

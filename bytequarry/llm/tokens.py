@@ -19,13 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words that a worker remembers with their ids; later new words are encoded each time.
-CACHE_WORDS = 400_000
+#: Words, and letter runs, that a worker remembers with their ids; later new ones are encoded each time.
+CACHE_WORDS, CACHE_UNITS = 200_000, 300_000
 #: Words of these characters lower-case letter by letter and are their own NFC form, and the
 #: tokenizer's pattern cuts them into runs of letters, single digits and runs of other signs.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 
 
+def _byte_letters() -> list[str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids (little-endian uint32 bytes) by space-separated word, for tokenizers that drop white space.
 
@@ -39,11 +46,17 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.units = Tokenizer.from_file(path), {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _unit(self, piece: str) -> bytes:
+        """Ids of what the tokenizer's pattern would cut out, without its normalizer and pattern."""
+        letters = self.letters
+        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))], "<u4").tobytes()
+
     def __missing__(self, word: str) -> bytes:
         pieces = _PLAIN.findall(word)
         if sum(map(len, pieces)) != len(word) or "<|" in word:
@@ -54,8 +67,8 @@ class WordIds(dict):
                 piece = piece.lower()
                 unit = self.units.get(piece)
                 if unit is None:
-                    unit = self._encode(piece)
-                    if len(self.units) < CACHE_WORDS:
+                    unit = self._unit(piece)
+                    if len(self.units) < CACHE_UNITS:
                         self.units[piece] = unit
                 out.append(unit)
             ids = b"".join(out)
@@ -223,22 +236,26 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def id_bytes(path: str, end_id: int, pad_id: int, length: int) -> int:
+    """Bytes of a stored id or position: 2 if all fit, else 4."""
+    return 2 if max(word_ids(path).tokenizer.get_vocab_size(), end_id + 1, pad_id + 1, length) <= 1 << 16 else 4
+
+
 def _pack(path: str, end_id: int, length: int, block_tokens: int, pad_id: int):
     tokens = _tokens(path, end_id)
+    kinds = {"sequence_id": pa.int64(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "position_ids": pa.binary(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "id_bytes": pa.int32()}
 
     def emit(part, number, pieces):
         bins = best_fit_decreasing([len(x) for *_, x in pieces], length)
+        size = id_bytes(path, end_id, pad_id, length)
         for at in range(0, len(bins), 64):
-            ids, cu, pos, doc, start, seq = [], [], [], [], [], []
+            out = {k: [] for k in kinds}
             for k, members in enumerate(bins[at : at + 64], at):
-                row, c, p = _matrix_row([pieces[i][2] for i in members], length, pad_id)
-                ids.append(row)
-                cu.append(c)
-                pos.append(p)
-                doc.append([pieces[i][0] for i in members])
-                start.append([pieces[i][1] for i in members])
-                seq.append((part << 40) + number + k)
-            yield pa.record_batch([pa.array(seq, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(cu, pa.list_(pa.int32())), pa.array(pos, pa.list_(pa.int32())), pa.array(doc, pa.list_(pa.int64())), pa.array(start, pa.list_(pa.int64()))], names=["sequence_id", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
+                row, cu, pos = _matrix_row([pieces[i][2] for i in members], length, pad_id)
+                values = ((part << 40) + number + k, row.astype(f"<u{size}").tobytes(), cu, pos.astype(f"<u{size}").tobytes(), [pieces[i][0] for i in members], [pieces[i][1] for i in members], size)
+                for name, v in zip(kinds, values, strict=True):
+                    out[name].append(v)
+            yield len(out["ids"]), pa.record_batch([pa.array(v, kinds[k]) for k, v in out.items()], names=list(kinds))
 
     def run(batches):
         part, pieces, held, number = TaskContext.get().partitionId(), [], 0, 0
@@ -250,18 +267,23 @@ def _pack(path: str, end_id: int, length: int, block_tokens: int, pad_id: int):
                     pieces.append((doc, a, own[a : a + length]))
                     held += len(pieces[-1][2])
                     if held >= block_tokens:
-                        for out in emit(part, number, pieces):
-                            number += out.num_rows
+                        base = number
+                        for rows, out in emit(part, base, pieces):
+                            number += rows
                             yield out
                         pieces, held = [], 0
         if pieces:
-            yield from emit(part, number, pieces)
+            for _, out in emit(part, number, pieces):
+                yield out
 
     return run
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, block_tokens: int = 4 << 20, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed id matrices: (sequence_id, ids, cu_seqlens, position_ids, doc_ids, starts).
+    """Packed id matrices: (sequence_id, ids, cu_seqlens, position_ids, doc_ids, starts, id_bytes).
+
+    ids and position_ids are matrix rows of ``length`` little-endian unsigned
+    numbers of id_bytes bytes each: numpy.frombuffer(row.ids, f"<u{row.id_bytes}").
 
     A document longer than ``length`` is split into pieces of that length and a
     rest, so no id is lost. Blocks of about ``block_tokens`` tokens that are read
@@ -274,4 +296,4 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 2, leng
     an empty table gives no rows. Sequence ids are unique, not consecutive.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, length, block_tokens, pad_id), "sequence_id long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, starts array<long>")
+    return rows.mapInArrow(_pack(tokenizer_path, end_id, length, block_tokens, pad_id), "sequence_id long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>, id_bytes int")

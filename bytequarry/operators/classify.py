@@ -51,6 +51,14 @@ def classify(artifacts: DataFrame) -> DataFrame:
     return out.drop("_audit", "_luau", "_tokens")
 
 
+def signals(classified: DataFrame) -> DataFrame:
+    """(artifact_id, signal, hits): what the classifier's signals match, listings in the text and extensions in masked code."""
+    text = F.coalesce("text", F.lit(""))
+    found = [(name, count(text, p)) for name, p, _ in fixed.AUDIT_SIGNALS] + [(name, count(F.col("code"), p)) for name, p in fixed.LUAU_SIGNALS]
+    rows = F.array(*(F.struct(F.lit(name).alias("signal"), n.alias("hits")) for name, n in found))
+    return classified.select("artifact_id", F.explode(rows).alias("s")).select("artifact_id", "s.*").where("hits > 0")
+
+
 def counts(classified: DataFrame) -> DataFrame:
     """Classified artifacts with the numbers that detectors look at."""
     text = F.coalesce("text", F.lit(""))

@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
-from .records import opcode_dimension
+from .records import opcode_dimension, plausible
 
 JUMPS, BRANCHES, EXITS = ("jump", "for-prep"), ("test", "compare-jump", "for-loop"), ("return", "tailcall")
 
 
 def flow(instructions: DataFrame) -> DataFrame:
-    """(prototype, pc, size, kind, target): what each instruction does to control; unknown opcodes fall through.
+    """(prototype, pc, size, kind, target): what each instruction does to control.
+
+    Unknown opcodes, and effects that name implausible registers, fall through.
 
     A target is one more than the branch channel's resolved place or payload.
     """
     dim = F.broadcast(opcode_dimension(instructions.sparkSession).where("status = 'proven'").select("raw_opcode", "kind", "target"))
-    rows = instructions.join(dim, "raw_opcode", "left")
+    sized = instructions.withColumn("size", F.max("pc").over(Window.partitionBy("prototype")))
+    rows = plausible(sized, keep_unknown=True).join(dim, "raw_opcode", "left")
+    rows = rows.withColumn("kind", F.when(F.col("plausible") == 1, F.col("kind")))
     word = F.when(F.col("target") == "a", F.col("word_a")).when(F.col("target") == "n", F.col("word_n")).when(F.col("target") == "q", F.col("word_q"))
     payload, mode = F.floor(word / 8), word % 8
     place = F.when(mode == 3, F.col("pc") + payload).when(mode == 6, F.col("pc") - payload).otherwise(payload) + 1
-    size = F.max("pc").over(Window.partitionBy("prototype"))
     ends = F.col("kind").isin(*JUMPS, *BRANCHES, *EXITS)
-    return rows.select("prototype", "pc", size.alias("size"), F.when(ends, F.col("kind")).alias("kind"), F.when(ends, place).alias("target"))
+    return rows.select("prototype", "pc", "size", F.when(ends, F.col("kind")).alias("kind"), F.when(ends, place).alias("target"))
 
 
 def blocks(flow: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -37,3 +37,11 @@ def loader_surface(classified: DataFrame) -> DataFrame:
     words = {w: count(code, rf"\b{w}\b").alias(f"n_{w}") for w in ("if", "for", "while", "continue", "return")}
     methods = F.regexp_extract_all(code, F.lit(r":\s*([A-Za-z_]\w*)\s*\("), F.lit(1))
     return classified.select("artifact_id", *words.values(), F.size(methods).cast("long").alias("method_calls"), F.size(F.array_distinct(methods)).cast("long").alias("distinct_methods"))
+
+
+def budget_prefix(sources: DataFrame, budget: int, text_col: str = "text") -> DataFrame:
+    """(artifact_id, line, running): the first lines of each artifact whose bytes, with line ends, fit a budget."""
+    lines = sources.select("artifact_id", F.posexplode(F.split(text_col, "\n")).alias("at", "text"))
+    order = Window.partitionBy("artifact_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("running", F.sum(F.octet_length("text") + 1).over(order))
+    return lines.where(F.col("running") <= budget).select("artifact_id", (F.col("at") + 1).cast("long").alias("line"), "running")

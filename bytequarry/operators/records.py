@@ -59,6 +59,22 @@ def reference_statistics(refs: DataFrame) -> DataFrame:
     return refs.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("is_string").alias("strings"), F.count_if("found").alias("resolved"), F.count_if(~F.col("found")).alias("unresolved"))
 
 
+def plausible(instructions: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """Instructions of known opcodes (or all, the others with nulls) with largest_register, ceiling and plausible.
+
+    A register comes from an operand of the register mode, plus a small offset at
+    most; an effect that names a larger one was misread. Without such an operand
+    no effect is plausible. One projection, no shuffle.
+    """
+    case = "case raw_opcode " + " ".join(f"when {o} then {e}" for o, e in fixed.LARGEST_REGISTER.items()) + " end"
+    payloads = instructions.withColumns({c: F.floor(F.col(f"word_{c}") / 8) for c in CHANNELS})
+    registers = [F.when(F.col(f"word_{c}") % 8 == fixed.REGISTER_MODE, F.col(c)).otherwise(-1) for c in CHANNELS]
+    out = payloads.withColumns({"largest_register": F.expr(case).cast("long"), "ceiling": F.greatest(*registers)})
+    out = out if keep_unknown else out.where("largest_register is not null")
+    fits = (F.col("ceiling") >= 0) & (F.col("largest_register") <= F.col("ceiling") + fixed.REGISTER_SLACK)
+    return out.withColumn("plausible", fits.cast("int")).drop(*CHANNELS)
+
+
 def histogram(instructions: DataFrame) -> DataFrame:
     return instructions.groupBy("raw_opcode").agg(F.count("*").alias("n"))
 

@@ -85,6 +85,35 @@ def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "dialect").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+@query(f"with {_classify('select page_id as artifact_id, page_id || ' + _q('.txt') + ' as file_name, coalesce(html, ' + _q('') + ') as text from pages')} {_KINDS}")
+def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(_texts(spark, sf_dir, "pages", F.col("page_id"), "html")).select("artifact_id", "kind", "dialect", "confidence")
+
+
+@query(f"with {_classify('select conv_id * 1000 + turn as artifact_id, conv_id || ' + _q('.txt') + ' as file_name, coalesce(text, ' + _q('') + ') as text from conversations')} {_KINDS}")
+def classify_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(_texts(spark, sf_dir, "conversations", F.col("conv_id") * 1000 + F.col("turn"), "text")).select("artifact_id", "kind", "dialect", "confidence")
+
+
+def _texts(spark: SparkSession, sf_dir: str, name: str, key, text: str) -> DataFrame:
+    from ..sources.files import from_text
+
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("artifact_id", key)
+    return from_text(rows, "artifact_id", F.concat(F.col("artifact_id").cast("string"), F.lit(".txt")), text)
+
+
+@query(f"with {_classify(views.PROGRAMS)} select * from (" + " union all ".join([f"select artifact_id, {_q(name)} as signal, {_n('text', p)} as hits from classified" for name, p, _ in fixed.AUDIT_SIGNALS] + [f"select artifact_id, {_q(name)}, {_n('code', p)} from classified" for name, p in fixed.LUAU_SIGNALS]) + ") where hits > 0")
+def classifier_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.signals(C.classify(views.programs(spark, sf_dir)))
+
+
+@query(f"with {_classify(views.PROGRAMS)} select artifact_id, round(controls, 6) as control_share from classified where controls > 0")
+def control_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import control_share
+
+    return views.programs(spark, sf_dir).select("artifact_id", F.round(control_share(F.col("text")), 6).alias("control_share")).where("control_share > 0")
+
+
 @query(f"with {_detect(views.PROGRAMS)} select * from detections")
 def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.detect(C.counts(C.classify(views.programs(spark, sf_dir))))
@@ -289,6 +318,12 @@ def excerpt_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.excerpt(views.instructions(spark, sf_dir), 2, 1)
 
 
+@query(f"select artifact_id, line, running from (select artifact_id, pos as line, sum(strlen(t) + 1) over (partition by artifact_id order by pos)::bigint as running from (select artifact_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as pos from ({views.PROGRAMS}))) where running <= 200")
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of each program that fit a budget of bytes."""
+    return inventory.budget_prefix(views.programs(spark, sf_dir), 200)
+
+
 @query("select o_orderkey, o_custkey % 4 as kind, o_custkey // 4 as source_index from orders")
 def capture_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.captures(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey").select("o_orderkey", "kind", "source_index")
@@ -302,8 +337,16 @@ def cumulative_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- control flow ---------------------------------------------------------------------------
 
-_FLOW = f"""{_INS}, {_DIM}, placed as (select i.*, kind, max(pc) over (partition by prototype) as size, case target when 'a' then word_a when 'n' then word_n when 'q' then word_q end as word from ins i left join (select * from dim where status = 'proven') d using (raw_opcode)),
- flow as (select prototype, pc, size, case when kind in ('jump', 'for-prep', 'test', 'compare-jump', 'for-loop', 'return', 'tailcall') then kind end as kind, case word % 8 when 3 then pc + word // 8 when 6 then pc - word // 8 else word // 8 end + 1 as target from placed),
+_PLAUSIBLE = "checked as (select *, greatest(case when word_a % 8 = 7 then a else -1 end, case when word_n % 8 = 7 then n else -1 end, case when word_q % 8 = 7 then q else -1 end) as ceiling, case raw_opcode " + " ".join(f"when {o} then {e}" for o, e in fixed.LARGEST_REGISTER.items()) + " end as largest_register from (select *, word_a // 8 as a, word_n // 8 as n, word_q // 8 as q from ins))"
+
+
+@query(f"with {_INS}, {_PLAUSIBLE} select prototype, pc, raw_opcode, largest_register, ceiling, (ceiling >= 0 and largest_register <= ceiling + 4)::int as plausible from checked where largest_register is not null")
+def register_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.plausible(views.instructions(spark, sf_dir)).drop("word_a", "word_n", "word_q")
+
+
+_FLOW = f"""{_INS}, {_PLAUSIBLE}, {_DIM}, placed as (select i.*, kind, max(pc) over (partition by prototype) as size, case target when 'a' then word_a when 'n' then word_n when 'q' then word_q end as word from checked i left join (select * from dim where status = 'proven') d using (raw_opcode)),
+ flow as (select prototype, pc, size, case when kind in ('jump', 'for-prep', 'test', 'compare-jump', 'for-loop', 'return', 'tailcall') and ceiling >= 0 and largest_register <= ceiling + 4 then kind end as kind, case word % 8 when 3 then pc + word // 8 when 6 then pc - word // 8 else word // 8 end + 1 as target from placed),
  leaders as (select prototype, size, 1::bigint as leader from flow union select prototype, size, target from flow where target between 1 and size union select prototype, size, pc + 1 from flow where kind is not null and pc < size),
  blocks as (select prototype, leader as block_start, coalesce(lead(leader) over (partition by prototype order by leader), size + 1) - 1 as block_end from leaders)"""
 _EDGES = f"""{_FLOW}, ends as (select b.prototype, block_start as src, block_end, kind, target, size from blocks b join flow f on f.prototype = b.prototype and f.pc = b.block_end),
@@ -337,6 +380,17 @@ def cfg_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(written(graph.edges(flow, blocks), "edges"), blocks)
 
 
+@query(f"with recursive {_EDGES}, reached as (select prototype, 1::bigint as block_start from blocks where block_start = 1 union select e.prototype, e.dst from reached r join edges e on e.prototype = r.prototype and e.src = r.block_start) select b.prototype, sum(block_end - b.block_start + 1)::bigint as instructions, sum(case when r.prototype is null then 0 else block_end - b.block_start + 1 end)::bigint as reachable from blocks b left join reached r on r.prototype = b.prototype and r.block_start = b.block_start group by b.prototype")
+def reachable_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tables import written
+
+    flow = written(graph.flow(views.instructions(spark, sf_dir)), "flow")
+    blocks = written(graph.blocks(flow), "blocks")
+    reached = graph.reachable(written(graph.edges(flow, blocks), "edges"), blocks).withColumn("live", F.lit(1))
+    size = F.col("block_end") - F.col("block_start") + 1
+    return blocks.join(reached, ["prototype", "block_start"], "left").groupBy("prototype").agg(F.sum(size).alias("instructions"), F.sum(F.when(F.col("live") == 1, size).otherwise(0)).alias("reachable"))
+
+
 # --- listings, diagnostics, outputs -------------------------------------------------------------
 
 _LINES = rf"""lines as (select artifact_id, line, pos, count(own) over w as function_no, last_value(own ignore nulls) over w as function from (select *, nullif(regexp_extract(line, {_q(fixed.FUNCTION)}, 1), '') as own from (

@@ -47,6 +47,12 @@ def test_equals_brute_force(spark, n):
     check(spark, texts, n, clash=n == 16)
 
 
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_CONTEXTS", 2)
+    test_equals_brute_force(spark, 16)
+    test_equals_brute_force(spark, 32)
+
+
 def test_long_documents_are_looked_at_in_parts(spark, monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))

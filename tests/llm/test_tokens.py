@@ -57,11 +57,12 @@ def test_best_fit_rows_hold_every_id_once(spark, plain):
     assert len({r.sequence_id for r in got}) == len(got)
     found, want = [], []
     for r in got:
-        assert len(r.ids) == len(r.position_ids) == 64
+        row, positions = (np.frombuffer(x, f"<u{r.id_bytes}").tolist() for x in (r.ids, r.position_ids))
+        assert len(row) == len(positions) == 64
         for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
-            found.append((doc, start, tuple(r.ids[a:b])))
-            assert list(r.position_ids[a:b]) == list(range(b - a))
-        assert set(r.ids[r.cu_seqlens[-1] :]) <= {5}
+            found.append((doc, start, tuple(row[a:b])))
+            assert positions[a:b] == list(range(b - a))
+        assert set(row[r.cu_seqlens[-1] :]) <= {5}
     for i, t, _ in rows:
         x = plain(t)
         want += [(i, k, tuple(x[k : k + 64])) for k in range(0, len(x), 64)]
