@@ -27,7 +27,8 @@ _LOW = np.uint64((1 << 24) - 1)
 PART_BYTES = 4 << 20
 #: Bytes of contexts in one suffix array.
 SORT_BYTES = 1 << 19
-#: Anchors with more distinct contexts are dealt out by what the strings at some places have in common.
+#: Anchors with more distinct contexts are dealt out by what the strings at some places have in common;
+#: where twice as many still meet, single strings are counted.
 HOT_CONTEXTS = 1024
 SHARES = 4
 
@@ -140,6 +141,44 @@ def _contexts(length: int):
     return run
 
 
+def _strings(length: int):
+    """Every string of a row's bytes on its own: its hash, its place, and how far before the anchor it starts."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data = part.column("bytes").to_pylist()
+                size = np.array([len(x) for x in data])
+                first, count = np.cumsum(size) - size, size - length + 1
+                row = np.repeat(np.arange(len(data)), count)
+                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = first[row] + inside
+                string = Hashes(np.frombuffer(b"".join(data), np.uint8)).of(start, start + length)
+                text = np.frombuffer(b"".join(part.column("tkey").to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
+                ahead = part.column("before").to_numpy()[row] - inside
+                place = mix64(text[row] + mix64((part.column("pos").to_numpy()[row] - ahead).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(pa.array(row)) for c in ("group", "code", "context", "twice")), pa.array(string.view(np.int64)), pa.array(place.view(np.int64)), pa.array(ahead)],
+                    names=["group", "code", "context", "twice", "string", "place", "ahead"],
+                )
+
+    return run
+
+
+def repeated_strings(rows: DataFrame, length: int) -> DataFrame:
+    """(code, context, lo, hi), relative to the anchor, of the rows' strings that have two places, by counting.
+
+    For groups that hold too many contexts for one suffix array. Strings are
+    counted before they move, so one that very many texts hold is one row a task.
+    """
+    strings = written(rows.mapInArrow(_strings(length), "group long, code long, context long, twice boolean, string long, place long, ahead long"), "strings")
+    counted = strings.groupBy("group", "string").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("twice").alias("twice"))
+    counted = written(counted.where("a <> b or twice").select("group", "string"), "counted")
+    hit = strings.join(F.broadcast(counted) if fits_broadcast(counted, 24) else counted, ["group", "string"])
+    return hit.groupBy("code", "context").agg((-F.max("ahead")).alias("lo"), (length - F.min("ahead")).alias("hi"))
+
+
 def suffix_order(data: bytes, valid: np.ndarray, depth: int) -> np.ndarray:
     """Valid starts in the order of their suffixes, as far as ``depth`` bytes tell, by two-stage sorting.
 
@@ -371,8 +410,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     rows = keyed.join(wanted, (keyed.tkey == wanted.tkey) & keyed.doc_id.eqNullSafe(wanted.first_id)).select(keyed.tkey, "text", "wanted")
     rows = rows.mapInArrow(_contexts(length), "group long, code long, context long, twice boolean, pos long, before long, bytes binary, tkey binary")
-    rows = rows.repartition(parts, "group").sortWithinPartitions("group", "code", "context")
-    ranges = rows.mapInArrow(_sort(length), "code long, context long, lo long, hi long")
+    rows = written(rows, "dealt")
+    # What many contexts still share goes by single strings; a group of those is one string and only counted.
+    large = written(rows.groupBy("group").count().where(F.col("count") > 2 * HOT_CONTEXTS).select("group"), "large")
+    side = F.broadcast(large) if fits_broadcast(large, 16) else large
+    sorted_ = rows.join(side, "group", "left_anti").repartition(parts, "group").sortWithinPartitions("group", "code", "context")
+    ranges = sorted_.select(*_COLUMNS).mapInArrow(_sort(length), "code long, context long, lo long, hi long")
+    if large.limit(1).count():
+        ranges = ranges.union(repeated_strings(rows.join(side, "group", "left_semi"), length))
     # A context that occurs twice is covered to its ends; the text's own ends cut it below.
     reach = length - length // 2
     whole = contexts.where("twice").select("code", "context", F.lit(-reach).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"))

@@ -53,6 +53,18 @@ def test_hot_anchors_are_dealt_out(spark, monkeypatch):
     test_equals_brute_force(spark, 32)
 
 
+def test_a_passage_in_very_many_texts_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_CONTEXTS", 4)
+    called, counting = [], suffix.repeated_strings
+    monkeypatch.setattr(suffix, "repeated_strings", lambda *a: called.append(1) or counting(*a))
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(90)
+    texts = [word(rng.randint(0, 60)) + passage[rng.randint(0, 9) : rng.randint(70, 90)] + word(rng.randint(0, 60)) for _ in range(80)]
+    check(spark, [*texts, None, "", *texts[:5]], 32)
+    assert called
+
+
 def test_long_documents_are_looked_at_in_parts(spark, monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
