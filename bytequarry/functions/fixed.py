@@ -128,6 +128,10 @@ EVIDENCE = [
 ]
 SELECT_AT, SELECT_MARGIN = 0.7, 0.15
 
+# Encoded streams: their literals, and how many signs at a body's start may not belong to it.
+STREAM = r"""\[(=*)\[LPH[\s\S]*?\]\1\]|"LPH[^"\n]*"|'LPH[^'\n]*'"""
+STREAM_SKIPS = [4, 14, 9, 19]
+
 # Static facts on masked code.
 REGISTERS = r"\b(?:L\d+_\d+|A\d+_\d+)\b"
 CALLS = r"\b[A-Za-z_]\w*(?:\s*[.:]\s*[A-Za-z_]\w*)*\s*\("

@@ -48,6 +48,55 @@ def edges(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.where("dst between 1 and size").select("prototype", "src", "dst").distinct()
 
 
+def dominators(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(prototype, block_start, dominator) of reachable blocks: what every way from the block at 1 passes, itself included.
+
+    Pairs are a relation: a block keeps what all of its predecessors that have
+    been met share. Rounds are written, and end when nothing changes.
+    """
+    entry = blocks.where("block_start = 1").select("prototype", "block_start", F.col("block_start").alias("dominator"))
+    pairs, state = written(entry, "pairs"), None
+    while True:
+        inward = edges.where("dst <> 1").join(pairs.withColumnRenamed("block_start", "src"), ["prototype", "src"])
+        shared = inward.groupBy("prototype", "dst", "dominator").agg(F.count("*").alias("n"))
+        met = inward.where("dominator = src").groupBy("prototype", "dst").agg(F.count("*").alias("sources"))
+        kept = shared.join(met, ["prototype", "dst"]).where("n = sources").select("prototype", F.col("dst").alias("block_start"), "dominator")
+        own = met.select("prototype", F.col("dst").alias("block_start"), F.col("dst").alias("dominator"))
+        pairs = written(entry.union(kept).union(own).distinct(), "pairs")
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("prototype", "block_start", "dominator").cast("decimal(38,0)"))).first()
+        if now == state:
+            return pairs
+        state = now
+
+
+def natural_loops(edges: DataFrame, dominators: DataFrame) -> DataFrame:
+    """(prototype, header, latch, body, exits, rank): loops of back edges, whose target dominates their source.
+
+    body counts the blocks that reach the latch without passing the header, and
+    both of these; exits the edges that leave them. rank goes from the smallest
+    body up. Bodies grow backwards by waves, each written.
+    """
+    known = dominators.select("prototype", F.col("block_start").alias("src")).distinct()
+    edges = written(edges.join(known, ["prototype", "src"], "left_semi"), "edges")
+    back = edges.join(dominators.select("prototype", F.col("block_start").alias("src"), F.col("dominator").alias("dst")), ["prototype", "src", "dst"])
+    back = written(back.select("prototype", F.col("dst").alias("header"), F.col("src").alias("latch")), "back")
+    keys = ["prototype", "header", "latch"]
+    front = back.select(*keys, F.col("latch").alias("block"))
+    body = front
+    while True:
+        step = front.where("block <> header").join(edges.withColumnRenamed("dst", "block"), ["prototype", "block"]).select(*keys, F.col("src").alias("block")).distinct()
+        front = written(step.join(body, [*keys, "block"], "left_anti"), "wave")
+        if not front.limit(1).count():
+            break
+        body = body.union(front)
+    body = written(body, "body")
+    inside = body.withColumnRenamed("block", "dst")
+    leaving = body.withColumnRenamed("block", "src").join(edges, ["prototype", "src"]).join(inside, [*keys, "dst"], "left_anti").groupBy(*keys).agg(F.count("*").alias("exits"))
+    sized = body.groupBy(*keys).agg(F.count("*").alias("body")).join(leaving, keys, "left")
+    order = Window.partitionBy("prototype").orderBy("body", "header", "latch")
+    return sized.select(*keys, "body", F.coalesce("exits", F.lit(0).cast("long")).alias("exits"), F.row_number().over(order).alias("rank"))
+
+
 def reachable(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(prototype, block_start) of blocks that the block at 1 reaches, by waves; every wave is written and only new blocks go on."""
     front = written(blocks.where("block_start = 1").select("prototype", "block_start"), "wave")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import audit, bytestats, chunk, graph, inventory, records
+from ..operators import audit, bytestats, chunk, graph, inventory, records, streams
 from ..operators import classify as C
 from . import routes, views
 
@@ -347,7 +347,7 @@ def register_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FLOW = f"""{_INS}, {_PLAUSIBLE}, {_DIM}, placed as (select i.*, kind, max(pc) over (partition by prototype) as size, case target when 'a' then word_a when 'n' then word_n when 'q' then word_q end as word from checked i left join (select * from dim where status = 'proven') d using (raw_opcode)),
  flow as (select prototype, pc, size, case when kind in ('jump', 'for-prep', 'test', 'compare-jump', 'for-loop', 'return', 'tailcall') and ceiling >= 0 and largest_register <= ceiling + 4 then kind end as kind, case word % 8 when 3 then pc + word // 8 when 6 then pc - word // 8 else word // 8 end + 1 as target from placed),
- leaders as (select prototype, size, 1::bigint as leader from flow union select prototype, size, target from flow where target between 1 and size union select prototype, size, pc + 1 from flow where kind is not null and pc < size),
+ leaders as (select prototype, size, 1::bigint as leader from flow union select prototype, size, target from flow where kind is not null and target between 1 and size union select prototype, size, pc + 1 from flow where kind is not null and pc < size),
  blocks as (select prototype, leader as block_start, coalesce(lead(leader) over (partition by prototype order by leader), size + 1) - 1 as block_end from leaders)"""
 _EDGES = f"""{_FLOW}, ends as (select b.prototype, block_start as src, block_end, kind, target, size from blocks b join flow f on f.prototype = b.prototype and f.pc = b.block_end),
  edges as (select distinct prototype, src, dst from (select prototype, src, size, target as dst from ends where kind is not null and kind not in ('return', 'tailcall')
@@ -391,6 +391,61 @@ def reachable_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.join(reached, ["prototype", "block_start"], "left").groupBy("prototype").agg(F.sum(size).alias("instructions"), F.sum(F.when(F.col("live") == 1, size).otherwise(0)).alias("reachable"))
 
 
+_DOMINATORS = f"""{_EDGES}, reached as (select prototype, 1::bigint as block_start from blocks where block_start = 1 union select e.prototype, e.dst from reached r join edges e on e.prototype = r.prototype and e.src = r.block_start),
+ around as (select prototype, block_start as removed, 1::bigint as block from reached where block_start <> 1 union select e.prototype, w.removed, e.dst from around w join edges e on e.prototype = w.prototype and e.src = w.block where e.dst <> w.removed),
+ dom as (select r.prototype, r.block_start, x.block_start as dominator from reached r join reached x using (prototype) left join around w on w.prototype = r.prototype and w.removed = x.block_start and w.block = r.block_start where w.block is null)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from .tables import written
+
+    flow = written(graph.flow(views.instructions(spark, sf_dir)), "flow")
+    blocks = written(graph.blocks(flow), "blocks")
+    return written(graph.edges(flow, blocks), "edges"), blocks
+
+
+@query(f"with recursive {_DOMINATORS} select * from dom")
+def cfg_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dominators(*_graph(spark, sf_dir))
+
+
+@query(f"""with recursive {_DOMINATORS}, live as (select e.* from edges e join reached r on r.prototype = e.prototype and r.block_start = e.src),
+ back as (select e.prototype, e.dst as header, e.src as latch from live e join dom d on d.prototype = e.prototype and d.block_start = e.src and d.dominator = e.dst),
+ body as (select *, latch as block from back union select b.prototype, b.header, b.latch, e.src from body b join live e on e.prototype = b.prototype and e.dst = b.block where b.block <> b.header),
+ outs as (select b.prototype, b.header, b.latch, count(*) as exits from body b join live e on e.prototype = b.prototype and e.src = b.block
+  where not exists (select 1 from body i where i.prototype = b.prototype and i.header = b.header and i.latch = b.latch and i.block = e.dst) group by all),
+ sized as (select prototype, header, latch, count(*) as body from body group by all)
+ select s.*, coalesce(exits, 0) as exits, row_number() over (partition by prototype order by body, header, latch) as rank from sized s left join outs using (prototype, header, latch)""")
+def natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, blocks = _graph(spark, sf_dir)
+    return graph.natural_loops(edges, graph.dominators(edges, blocks))
+
+
+# --- encoded streams ------------------------------------------------------------------------------
+
+_LITERALS = r"""\[\[LPH[\s\S]*?\]\]|\[=\[LPH[\s\S]*?\]=\]|\[==\[LPH[\s\S]*?\]==\]|"LPH[^"\n]*"|'LPH[^'\n]*'"""
+
+
+@query(rf"""select artifact_id, ordinal, literal, regexp_replace(regexp_replace(literal, '^(\[=*\[|["''])', ''), '(\]=*\]|["''])$', '') as body from (
+ select artifact_id, unnest(found) as literal, generate_subscripts(found, 1) as ordinal from (select artifact_id, regexp_extract_all(text, {_q(_LITERALS)}) as found from ({views.PROGRAMS})))""")
+def encoded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.encoded_streams(views.programs(spark, sf_dir))
+
+
+_GROUP = lambda v: "concat(" + ", ".join(f"chr(cast(33 + cast(floor({v} / {85**k}) as bigint) % 85 as int))" for k in (4, 3, 2, 1, 0)) + ")"
+#: Two words in base 85 for every order; some bodies have a z between groups, some an incomplete tail, some too large a group.
+_BODIES = f"""select o_orderkey, v, w, concat({_GROUP("v")}, case when o_orderkey % 5 = 0 then 'z' else '' end, {_GROUP("w")}, case when o_orderkey % 9 = 0 then 'x' when o_orderkey % 31 = 0 then 'uuuuu' else '' end) as body
+ from (select o_orderkey, (o_orderkey * 2654435761) % 4294967296 as v, (o_orderkey * 40503) % 4294967296 as w from orders)"""
+_BIG = "case when o_orderkey % 9 <> 0 and o_orderkey % 31 <> 0 then concat(lpad(hex(v), 8, '0'), case when o_orderkey % 5 = 0 then '00000000' else '' end, lpad(hex(w), 8, '0')) end"
+
+
+@query(f"select o_orderkey, big, list_aggregate(list_transform(range(0, length(big) // 8), lambda g: big[g * 8 + 7:g * 8 + 8] || big[g * 8 + 5:g * 8 + 6] || big[g * 8 + 3:g * 8 + 4] || big[g * 8 + 1:g * 8 + 2]), 'string_agg', '') as little from (select o_orderkey, {_BIG} as big from ({_BODIES}))")
+def ascii85_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = spark.sql(_BODIES.replace("from orders", "from {orders}"), orders=orders)
+    return rows.select("o_orderkey", F.hex(streams.ascii85(F.col("body"), False)).alias("big"), F.hex(streams.ascii85(F.col("body"), True)).alias("little"))
+
+
 # --- listings, diagnostics, outputs -------------------------------------------------------------
 
 _LINES = rf"""lines as (select artifact_id, line, pos, count(own) over w as function_no, last_value(own ignore nulls) over w as function from (select *, nullif(regexp_extract(line, {_q(fixed.FUNCTION)}, 1), '') as own from (

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions import fixed
 from bytequarry.functions.text import control_share, count, masked, physical_lines
-from bytequarry.operators import audit, bytestats, chunk, graph, inventory, records
+from bytequarry.operators import audit, bytestats, chunk, graph, inventory, records, streams
 from bytequarry.operators import classify as C
 from bytequarry.sources import files
 
@@ -119,6 +119,42 @@ def test_control_flow_of_a_loop(spark):
     assert {r.block_start for r in graph.reachable(edges, blocks).collect()} == {1, 3, 4, 5}
 
 
+def test_dominators_and_loops(spark):
+    # 1 -> 2 -> 3 -> 2, 3 -> 4 -> 4, 4 -> 5; 6 -> 2 is never reached; a diamond in prototype 2
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 2), (1, 3, 4), (1, 4, 4), (1, 4, 5), (1, 6, 2), (2, 1, 2), (2, 1, 3), (2, 2, 4), (2, 3, 4)], "prototype long, src long, dst long")
+    blocks = spark.createDataFrame([(1, k) for k in range(1, 7)] + [(2, k) for k in range(1, 5)], "prototype long, block_start long")
+    pairs = graph.dominators(edges, blocks)
+    got = {}
+    for r in pairs.collect():
+        got.setdefault((r.prototype, r.block_start), set()).add(r.dominator)
+    assert got == {(1, 1): {1}, (1, 2): {1, 2}, (1, 3): {1, 2, 3}, (1, 4): {1, 2, 3, 4}, (1, 5): {1, 2, 3, 4, 5}, (2, 1): {1}, (2, 2): {1, 2}, (2, 3): {1, 3}, (2, 4): {1, 4}}
+    loops = {(r.prototype, r.header, r.latch): (r.body, r.exits, r.rank) for r in graph.natural_loops(edges, pairs).collect()}
+    assert loops == {(1, 4, 4): (1, 1, 1), (1, 2, 3): (2, 1, 2)}
+    assert graph.natural_loops(edges.limit(0), graph.dominators(edges.limit(0), blocks.limit(0))).count() == 0
+
+
+def test_encoded_streams_and_their_readings(spark):
+    import base64
+    import struct
+
+    text = "a = [==[LPH!x]=]y]==] b = \"LPHq\" c = 'LPHr' d = [[no]] e = [[LPH\n]]"
+    rows = streams.encoded_streams(artifacts(spark, [(1, "a", text, False), (2, "b", None, False)]))
+    assert [(r.ordinal, r.body) for r in rows.orderBy("ordinal").collect()] == [(1, "LPH!x]=]y"), (2, "LPHq"), (3, "LPHr"), (4, "LPH\n")]
+
+    data = struct.pack(">3I", 7, 0, 0xFFFFFFFF)
+    body = base64.a85encode(data).decode()
+    assert "z" in body
+    for t, big in ((body, data), ("", b""), ("!!!!", None), ("uuuuu", None), ("!!z!!!", None), ("!!!!é", None)):
+        got = spark.createDataFrame([(t,)], "t string").select(streams.ascii85(F.col("t"), False), streams.ascii85(F.col("t"), True)).first()
+        assert got[0] == big
+        assert got[1] == (None if big is None else b"".join(big[k : k + 4][::-1] for k in range(0, len(big), 4)))
+    found = spark.createDataFrame([(1, "LPH@" + body, 7), (2, "LPH", 1), (3, None, None)], "id int, body string, declared int")
+    tried = streams.candidates(found, "body", "declared")
+    assert {(r["rank"], r.skip, r.little) for r in tried.collect()} == {(3, 4, True), (4, 4, False), (7, 9, True), (8, 9, False)}
+    best = streams.accepted(tried, "id").collect()
+    assert [(r.id, r.skip, r.little) for r in best] == [(1, 4, True)]
+
+
 def test_coverage_adds_up(spark):
     rows = instructions(spark, [(1, 1, 187, 0, 0, 0), (1, 2, 39, 0, 0, 0), (2, 1, 999, 0, 0, 0)])
     got = {r.section: (r.total, r.proven, r.protocol, r.unresolved, r.partition_ok) for r in records.coverage(rows, F.col("prototype")).collect()}
