@@ -2,11 +2,19 @@
 
 Emails, IPv4 addresses, card numbers and phone numbers are found by fixed
 patterns. The words before these seeds induce lexical patterns. Spark scores the
-graph of patterns and instances (identifier-like strings seen after them) in
-rounds: a pattern is trusted for a kind if many instances are known to be of it
-and few are not; an instance is adopted if its patterns are trusted on average
+graph of patterns and instances (strings seen after them) in rounds: a pattern
+is trusted for a kind if many instances are known to be of it and few that could
+be are not; an instance is adopted if its patterns are trusted on average
 (after Riloff and Jones, and Thelen and Riloff). What trusted patterns precede
 is marked too; seeds stay as they are.
+
+Instances have one of four forms: words with @ and spelt-out addresses (ann at
+mail.example, ann (at) mail (dot) example), which only emails can be; numbers of
+under 6 digits, which only the other kinds can be; other words with under 6
+digits; and whatever has more digits. Number groups joined by spaces, dots,
+dashes or brackets are one instance, however many there are. Nothing tells a
+short number or word of the last-but-one forms from any other once it stands
+elsewhere, so it is marked after a trusted pattern but never adopted.
 """
 
 from __future__ import annotations
@@ -29,15 +37,23 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D\0]+")
+_GROUPS = re.compile(r"(?<!\w)\+?[0-9]++(?!\w)(?:[\x20.()\[\]-]{1,3}[0-9]++(?!\w))*+")
+_AT = re.compile(r"(?<=\w)(?:\s{1,3}at\s{1,3}|(\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}))(?=[A-Za-z0-9])", re.I)
+_DOT = r"(?:\s{1,3}dot\s{1,3}|\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3})"
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+", re.I)
+_DOT_BEFORE = re.compile(rf"{_DOT}$", re.I)
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 #: Seeds of one kind that a trusted pattern has at least, distinct; its share of known instances; rounds.
 MIN_SEEDS = 5
 MIN_TRUST = 0.8
 ROUNDS = 3
-#: An identifier-like string has so many digits at least and so many characters at most.
+#: A string with so many digits is an identifier by itself. Longer strings move as hashes, longer words of a pattern cut.
 MIN_DIGITS, MAX_CHARS = 6, 64
+#: Forms of instances: address, short number, short word, many digits; and the seeds. Adopted are those of TELLING forms.
+ADDRESS, NUMBER, WORD, DIGITS, SEED = range(5)
+TELLING = (ADDRESS, DIGITS)
 
 
 def luhn(digits: str) -> bool:
@@ -78,47 +94,92 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _before(text: str, start: int) -> str:
-    """Lexical pattern of a place: the two words before it, lower-cased, without signs at their edges."""
-    words = text[max(0, start - 200) : start].lower().split()[-2:]
-    return " ".join(["^"] * (2 - len(words)) + [w.strip(_EDGE)[:MAX_CHARS] for w in words])
-
-
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings outside the spans: words with enough digits, less signs at their edges."""
-    out, k = [], 0
-    if not _DIGIT.search(text):
-        return out
-    for m in _TOKEN.finditer(text):
-        word = m[0]
-        if len(word) < MIN_DIGITS or not _DIGIT.search(word):
-            continue
-        a = m.start() + len(word) - len(word.lstrip(_EDGE))
-        b = m.end() - (len(word) - len(word.rstrip(_EDGE)))
-        if not MIN_DIGITS <= b - a <= MAX_CHARS or sum(c in string.digits for c in text[a:b]) < MIN_DIGITS:
+    """Lexical pattern of a place: the two words before it, lower-cased, without signs at their edges or alone."""
+    words = [w for t in text[max(0, start - 200) : start].lower().split() if (w := t.strip(_EDGE))][-2:]
+    return " ".join(["^"] * (2 - len(words)) + [w[:MAX_CHARS] for w in words])
+
+
+def _name(instance: str) -> str:
+    """The instance itself, or the hash of a long one."""
+    return instance if len(instance) <= MAX_CHARS else "sha256:" + hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _n_digits(text: str) -> int:
+    return sum(c in string.digits for c in text)
+
+
+def spelt_addresses(text: str) -> list[tuple[int, int]]:
+    """Places of addresses with at for @: the host has a dot (or dot, spelt), unless at is in brackets."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        host = _HOST.match(text, m.end())
+        if m.start() <= end or not host or not (m[1] or re.search(rf"\.|{_DOT}", host[0], re.I)):
             continue
-        while k < len(spans) and spans[k][2] <= a:
-            k += 1
-        if not any(s < b and a < e for s, _, e in spans[max(0, k - 3) : k + 8]):
-            out.append((a, b))
+        a = m.start()
+        while True:
+            while a > end and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+                a -= 1
+            dot = _DOT_BEFORE.search(text, max(end, a - 15), a)
+            if not dot or dot.start() <= end or not text[dot.start() - 1].isalnum():
+                break
+            a = dot.start()
+        if a < m.start():
+            out.append((a, host.end()))
+            end = host.end()
     return out
 
 
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, form) of strings outside the spans that may be identifiers, less signs at their edges.
+
+    These are words with a digit or @, runs of number groups, and spelt-out
+    addresses. What lies inside another of them counts if it has many digits.
+    """
+    out, end, parts = {}, 0, []
+    for a, _, b in spans:
+        if b > end:
+            parts += [text[end:a], "\0" * (b - max(a, end))]
+            end = b
+    free = "".join([*parts, text[end:]]) if spans else text
+    whole = [(a, b, ADDRESS) for a, b in spelt_addresses(free)]
+    digits = _DIGIT.search(free)
+    if digits:
+        whole += [(m.start(), m.end(), NUMBER) for m in _GROUPS.finditer(free)]
+    if digits or "@" in free:
+        for m in _TOKEN.finditer(free):
+            word = m[0]
+            if "@" not in word and not (digits and _DIGIT.search(word)):
+                continue
+            a = m.start() + len(word) - len(word.lstrip(_EDGE))
+            b = m.end() - (len(word) - len(word.rstrip(_EDGE)))
+            if a < b and any(c.isalnum() for c in free[a:b]):
+                whole.append((a, b, ADDRESS if "@" in word else WORD))
+    top = 0
+    for a, b, form in sorted(whole, key=lambda w: (w[0], -w[1], w[2])):
+        many = _n_digits(free[a:b]) >= MIN_DIGITS
+        if b > top or many:
+            out.setdefault((a, b), DIGITS if many else form)
+        top = max(top, b)
+    return [(a, b, form) for (a, b), form in out.items()]
+
+
+def _fits(form: Column, kind: Column) -> Column:
+    """Whether strings of a form can be of a kind."""
+    return form.isin(WORD, DIGITS) | ((form == ADDRESS) & (kind == "email")) | ((form == NUMBER) & (kind != "email"))
+
+
 def _edges(batches):
-    """(pattern, instance, kind) of seeds and, with null kinds, of candidates; once for each of a text's places."""
+    """(pattern, instance, kind, form) of seeds and, with null kinds, of candidates; once for each of a text's places."""
     for batch in batches:
-        pattern, instance, kind = [], [], []
+        out = []
         for text in batch.column(0):
             text = text.as_py() or ""
             spans = base_spans(text)
-            for a, k, b in spans:
-                pattern.append(_before(text, a))
-                instance.append(text[a:b])
-                kind.append(KINDS[k])
-            for a, b in candidates(text, spans):
-                pattern.append(_before(text, a))
-                instance.append(text[a:b])
-                kind.append(None)
-        yield pa.record_batch([pa.array(pattern, pa.string()), pa.array(instance, pa.string()), pa.array(kind, pa.string())], names=["pattern", "instance", "kind"])
+            out += [(_before(text, a), _name(text[a:b]), KINDS[k], SEED) for a, k, b in spans]
+            out += [(_before(text, a), _name(text[a:b]), None, form) for a, b, form in candidates(text, spans)]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        kinds = [pa.string()] * 3 + [pa.int32()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["pattern", "instance", "kind", "form"])
 
 
 def bootstrap(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -127,26 +188,31 @@ def bootstrap(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) ->
     Edges are counted distinct before they move, so a frequent context is a key
     of one row a task and instance. Each round is written.
     """
-    edges = written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string").distinct(), "edges")
+    edges = written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, form int").distinct(), "edges")
     known = edges.where("kind is not null").select("instance", "kind").distinct()
-    graph = edges.select("pattern", "instance").distinct()
+    graph = edges.groupBy("pattern", "instance").agg(F.min("form").alias("form"))
+    graph = written(graph.join(known.select("instance", F.lit(True).alias("seed")).distinct(), "instance", "left"), "graph")
+    # What could be of a kind, or is of any, counts for a pattern's share.
+    could = [F.count_if(F.col("seed") | _fits(F.col("form"), F.lit(k))).alias(f"n_{k}") for k in KINDS]
+    total = graph.groupBy("pattern").agg(*could)
+    n = F.coalesce(*(F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in KINDS))
     adopted = None
     for _ in range(rounds):
-        marked = graph.join(known, "instance", "left")
-        by_kind = marked.groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
-        total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-        trust = by_kind.where(F.col("kind").isNotNull() & (F.col("hits") >= MIN_SEEDS)).join(total, "pattern").withColumn("trust", F.col("hits") / F.col("n")).where(F.col("trust") >= MIN_TRUST)
+        by_kind = graph.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
+        trust = by_kind.where(F.col("hits") >= MIN_SEEDS).join(total, "pattern").withColumn("trust", F.col("hits") / n).where(F.col("trust") >= MIN_TRUST)
         trust = written(trust.select("pattern", "kind", "trust"), "patterns")
-        unseen = graph.join(known, "instance", "left_anti")
+        unseen = graph.where(F.col("form").isin(*TELLING)).join(known, "instance", "left_anti")
         patterns = unseen.groupBy("instance").agg(F.count("*").alias("patterns"))
-        score = unseen.join(trust, "pattern").groupBy("instance", "kind").agg(F.sum("trust").alias("sum")).join(patterns, "instance")
+        score = unseen.join(trust, "pattern").where(_fits(F.col("form"), F.col("kind"))).groupBy("instance", "kind").agg(F.sum("trust").alias("sum")).join(patterns, "instance")
         fresh = score.where(F.col("sum") / F.col("patterns") >= MIN_TRUST).groupBy("instance").agg(F.max(F.struct("sum", "kind"))["kind"].alias("kind"))
         fresh = written(fresh, "instances")
         adopted = fresh if adopted is None else adopted.union(fresh)
         if not fresh.limit(1).count():
             break
         known = known.union(fresh)
-    return graph.join(adopted, "instance").join(trust.select("pattern", "kind"), ["pattern", "kind"]).select("pattern", "instance", "kind")
+    found = graph.join(adopted, "instance").join(trust.select("pattern", "kind"), ["pattern", "kind"]).select("pattern", "instance", "kind")
+    short = graph.where(F.col("form").isin(NUMBER, WORD)).join(known, "instance", "left_anti").join(trust, "pattern").where(_fits(F.col("form"), F.col("kind")))
+    return found.union(short.groupBy("pattern", "instance").agg(F.max(F.struct("trust", "kind"))["kind"].alias("kind")))
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -159,7 +225,7 @@ def _added_spans(batches):
         for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("tkey", "text", "found")), strict=True):
             want = {(f["pattern"], f["instance"]): f["kind"] for f in found}
             own = base_spans(text)
-            hits = [{"kind": want[p], "start": a, "end": b} for a, b in candidates(text, own) if (p := (_before(text, a), text[a:b])) in want]
+            hits = [{"kind": want[p], "start": a, "end": b} for a, b, _ in candidates(text, own) if (p := (_before(text, a), _name(text[a:b]))) in want]
             if hits:
                 keys.append(key)
                 spans.append(hits)
@@ -170,10 +236,10 @@ def _keyed_edges(batches):
     for batch in batches:
         key, pattern, instance = [], [], []
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for a, b in candidates(text, base_spans(text)):
+            for a, b, _ in candidates(text, base_spans(text)):
                 key.append(k)
                 pattern.append(_before(text, a))
-                instance.append(text[a:b])
+                instance.append(_name(text[a:b]))
         yield pa.record_batch([pa.array(key, pa.binary()), pa.array(pattern, pa.string()), pa.array(instance, pa.string())], names=["tkey", "pattern", "instance"])
 
 
@@ -183,7 +249,7 @@ def added_spans(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -
     keyed = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if not found.limit(1).count():
         return keyed.select("tkey", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("added")).limit(0)
-    places = keyed.where(F.col("text").rlike("[0-9]")).mapInArrow(_keyed_edges, "tkey binary, pattern string, instance string")
+    places = keyed.mapInArrow(_keyed_edges, "tkey binary, pattern string, instance string")
     side = F.broadcast(found) if fits_broadcast(found, 300) else found
     hits = written(places.join(side, ["pattern", "instance"]).groupBy("tkey").agg(F.collect_set(F.struct("pattern", "instance", "kind")).alias("found")), "hits")
     side = F.broadcast(hits) if fits_broadcast(hits, 500) else hits
@@ -191,6 +257,16 @@ def added_spans(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -
     return written(spans.groupBy("tkey").agg(F.first("added").alias("added")), "added")
 
 
+def _all_spans(base: list[tuple[int, int, int]], added: list | None) -> list[tuple[int, int, int]]:
+    """The fixed patterns' spans and those added ones that lie inside no other added one."""
+    out, top = {*base}, 0
+    for a, b, k in sorted(((s["start"], s["end"], KINDS.index(s["kind"])) for s in added or []), key=lambda x: (x[0], -x[1], x[2])):
+        if b > top:
+            out.add((a, k, b))
+            top = b
+    return sorted(out)
+
+
 def _digest(batches):
     for batch in batches:
         out = []
@@ -198,7 +274,7 @@ def _digest(batches):
             base = base_spans(text)
             n = [sum(k == i for _, k, _ in base) for i in range(4)]
             line = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
-            more = sorted({*base, *((s["start"], KINDS.index(s["kind"]), s["end"]) for s in added or [])})
+            more = _all_spans(base, added)
             out.append((doc, *n, hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in more), len(more) - len(base)))
         kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
         cols = list(zip(*out, strict=True)) or [()] * 8
@@ -229,7 +305,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _masked(text: str, added: list) -> str:
-    spans = sorted({*base_spans(text), *((s["start"], KINDS.index(s["kind"]), s["end"]) for s in added or [])})
+    spans = _all_spans(base_spans(text), added)
     out, end = [], 0
     for a, k, b in spans:
         if a >= end:

@@ -62,6 +62,33 @@ def test_patterns_discover_identifiers(spark):
     assert "<phone>" in next(r.text for r in pii.redact(table).collect() if r.doc_id == 100)
 
 
+def test_patterns_discover_every_form(spark):
+    rows = [(k, f"please call us at +1 (802) 555-98{k:02d} today", "a") for k in range(10, 40)]
+    rows += [(50 + k, f"kindly write to ann{k}@mail.example.com today", "a") for k in range(40)]
+    rows += [(120 + k, f"pay by card {card} today", "a") for k, card in enumerate(("4913187196670932", "4845168114407329", "4417744280351547", "4929348385146306", "4952935900253052"))]
+    long = "x" * 80 + "-1234567"
+    unseen = {
+        200: ("please call us at 802 555 9871 today", "phone:18:30"),
+        201: ("please call us at (802) 555-9872 today", "phone:19:32"),
+        202: ("kindly write to ann@localhost, today", "email:16:29"),
+        203: ("kindly write to ann at mail.example today", "email:16:35"),
+        204: ("kindly write to ann dot b (at) mail [dot] example today", "email:16:49"),
+        205: ("pay by card 4913 1871 9667 0933 today", "card:12:31"),
+        206: (f"please call us at {long} today", f"phone:18:{18 + len(long)}"),
+        207: ("please call us at 802 today", "phone:18:21"),
+        208: ("look at him. ann@nowhere or 802 555 1111 or 802", ""),
+    }
+    got = {r.doc_id: r.spans for r in pii.find(docs(spark, rows + [(i, t, "a") for i, (t, _) in unseen.items()])).collect()}
+    assert {i: got[i] for i in unseen} == {i: s for i, (_, s) in unseen.items()}
+
+
+def test_candidates_take_linear_time():
+    start = time.time()
+    for text in ("1 " * 10**6, " " * 10**6 + "at" + " " * 10**6, "a at " * 10**5, "a dot " * 10**5 + "at b.c", "1." * 10**6, "a at b.c " * 10**5, "(" * 10**6):
+        pii.candidates(text, pii.base_spans(text))
+    assert time.time() - start < 30
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.find(empty).count() == 0
