@@ -2,11 +2,15 @@
 
 Emails, IPv4 addresses, card numbers and phone numbers are found by fixed
 patterns. The words before these seeds induce lexical patterns. Spark scores the
-graph of patterns and instances (strings seen after them) in rounds: a pattern
-is trusted for a kind if many instances are known to be of it and few that could
-be are not; an instance is adopted if its patterns are trusted on average
-(after Riloff and Jones, and Thelen and Riloff). What trusted patterns precede
-is marked too; seeds stay as they are.
+graph of patterns and instances (strings seen after them) in rounds, until one
+adopts nothing: a pattern is trusted for a kind if many instances are known to
+be of it and few that could be are not; an instance is adopted if any trusted
+pattern precedes it somewhere, with the kind of the most combined trust
+(after Riloff and Jones, and Thelen and Riloff). Other contexts don't count
+against it. Every occurrence of an adopted instance is marked; seeds stay as
+they are. An occurrence is a word, a part of one between signs other than
+@ . + % - _, a spelt-out address, or number groups of a run, in which parts of
+over 64 characters aren't looked for.
 
 Instances have one of four forms: words with @ and spelt-out addresses (ann at
 mail.example, ann (at) mail (dot) example), which only emails can be; numbers of
@@ -37,6 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_NUMBERS = re.compile(r"[0-9]+")
+_PIECE = re.compile(r"[\w@.+%-]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D\0]+")
 _GROUPS = re.compile(r"(?<!\w)\+?[0-9]++(?!\w)(?:[\x20.()\[\]-]{1,3}[0-9]++(?!\w))*+")
 _AT = re.compile(r"(?<=\w)(?:\s{1,3}at\s{1,3}|(\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}))(?=[A-Za-z0-9])", re.I)
@@ -45,10 +51,9 @@ _HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+", re.I)
 _DOT_BEFORE = re.compile(rf"{_DOT}$", re.I)
 _EDGE = ".,;:!?\"'()[]{}<>"
 
-#: Seeds of one kind that a trusted pattern has at least, distinct; its share of known instances; rounds.
+#: Seeds of one kind that a trusted pattern has at least, distinct; its share of known instances.
 MIN_SEEDS = 5
 MIN_TRUST = 0.8
-ROUNDS = 3
 #: A string with so many digits is an identifier by itself. Longer strings move as hashes, longer words of a pattern cut.
 MIN_DIGITS, MAX_CHARS = 6, 64
 #: Forms of instances: address, short number, short word, many digits; and the seeds. Adopted are those of TELLING forms.
@@ -182,79 +187,101 @@ def _edges(batches):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["pattern", "instance", "kind", "form"])
 
 
-def bootstrap(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, instance, kind): identifiers that fixed patterns miss, with the trusted patterns they follow.
+def bootstrap(docs: DataFrame, text_col: str = "text", rounds: int | None = None) -> DataFrame:
+    """(pattern, instance, kind): identifiers that fixed patterns miss, anywhere (null) or after a pattern only.
 
     Edges are counted distinct before they move, so a frequent context is a key
-    of one row a task and instance. Each round is written.
+    of one row a task and instance. Each round is written. A pattern's share only
+    grows, so the rounds end; ``rounds`` may stop them earlier.
     """
     edges = written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, form int").distinct(), "edges")
-    known = edges.where("kind is not null").select("instance", "kind").distinct()
+    seeds = edges.where("kind is not null").select("instance", "kind").distinct()
     graph = edges.groupBy("pattern", "instance").agg(F.min("form").alias("form"))
-    graph = written(graph.join(known.select("instance", F.lit(True).alias("seed")).distinct(), "instance", "left"), "graph")
-    # What could be of a kind, or is of any, counts for a pattern's share.
+    graph = written(graph.join(seeds.select("instance", F.lit(True).alias("seed")).distinct(), "instance", "left"), "graph")
+    # What could be of a kind, or is a seed of any, counts for a pattern's share.
     could = [F.count_if(F.col("seed") | _fits(F.col("form"), F.lit(k))).alias(f"n_{k}") for k in KINDS]
     total = graph.groupBy("pattern").agg(*could)
     n = F.coalesce(*(F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in KINDS))
-    adopted = None
-    for _ in range(rounds):
+    known, adopted, done = seeds, None, 0
+    while True:
         by_kind = graph.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
         trust = by_kind.where(F.col("hits") >= MIN_SEEDS).join(total, "pattern").withColumn("trust", F.col("hits") / n).where(F.col("trust") >= MIN_TRUST)
         trust = written(trust.select("pattern", "kind", "trust"), "patterns")
-        unseen = graph.where(F.col("form").isin(*TELLING)).join(known, "instance", "left_anti")
-        patterns = unseen.groupBy("instance").agg(F.count("*").alias("patterns"))
-        score = unseen.join(trust, "pattern").where(_fits(F.col("form"), F.col("kind"))).groupBy("instance", "kind").agg(F.sum("trust").alias("sum")).join(patterns, "instance")
-        fresh = score.where(F.col("sum") / F.col("patterns") >= MIN_TRUST).groupBy("instance").agg(F.max(F.struct("sum", "kind"))["kind"].alias("kind"))
-        fresh = written(fresh, "instances")
-        adopted = fresh if adopted is None else adopted.union(fresh)
+        side = F.broadcast(trust) if fits_broadcast(trust, 300) else trust
+        follows = graph.join(known, "instance", "left_anti").join(side, "pattern").where(_fits(F.col("form"), F.col("kind")))
+        if rounds is not None and done >= rounds:
+            break
+        score = follows.where(F.col("form").isin(*TELLING)).groupBy("instance", "kind").agg((1 - F.product(1 - F.col("trust"))).alias("combined"), F.sum("trust").alias("sum"))
+        fresh = written(score.groupBy("instance").agg(F.max(F.struct("combined", "sum", "kind"))["kind"].alias("kind")), "instances")
         if not fresh.limit(1).count():
             break
-        known = known.union(fresh)
-    found = graph.join(adopted, "instance").join(trust.select("pattern", "kind"), ["pattern", "kind"]).select("pattern", "instance", "kind")
-    short = graph.where(F.col("form").isin(NUMBER, WORD)).join(known, "instance", "left_anti").join(trust, "pattern").where(_fits(F.col("form"), F.col("kind")))
-    return found.union(short.groupBy("pattern", "instance").agg(F.max(F.struct("trust", "kind"))["kind"].alias("kind")))
+        adopted = fresh if adopted is None else written(adopted.union(fresh), "adopted")
+        known, done = seeds.union(adopted), done + 1
+    short = follows.where(F.col("form").isin(NUMBER, WORD)).groupBy("pattern", "instance").agg(F.max(F.struct("trust", "kind"))["kind"].alias("kind"))
+    if adopted is None:
+        return short
+    return adopted.select(F.lit(None).cast("string").alias("pattern"), "instance", "kind").union(short)
+
+
+def occurrences(text: str, spans: list[tuple[int, int, int]], sizes: set[int]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether only patterns tell) of all places where instances may stand; runs of ``sizes`` numbers within runs."""
+    found = candidates(text, spans)
+    out = {(a, b): form not in TELLING for a, b, form in found}
+    for a, b, _ in found:
+        word = text[a:b]
+        for m in _PIECE.finditer(word):
+            x = a + m.end() - len(m[0].lstrip(_EDGE))
+            y = a + m.start() + len(m[0].rstrip(_EDGE))
+            if x < y and ("@" in text[x:y] or _n_digits(text[x:y]) >= MIN_DIGITS):
+                out[x, y] = False
+        if not sizes:
+            continue
+        for run in _GROUPS.finditer(word):
+            numbers = [m.span() for m in _NUMBERS.finditer(word, run.start(), run.end())]
+            for k, (x, _) in enumerate(numbers):
+                for size in sizes:
+                    if k + size > len(numbers):
+                        continue
+                    y = numbers[k + size - 1][1]
+                    for z in (x, x - 1) if x and word[x - 1] == "+" else (x,):
+                        if y - z <= MAX_CHARS and _n_digits(word[z:y]) >= MIN_DIGITS:
+                            out[a + z, a + y] = False
+    return [(a, b, short) for (a, b), short in sorted(out.items())]
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
-def _added_spans(batches):
-    """(tkey, spans) of texts where trusted patterns precede adopted instances; rows: (tkey, text, found)."""
-    for batch in batches:
-        keys, spans = [], []
-        for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("tkey", "text", "found")), strict=True):
-            want = {(f["pattern"], f["instance"]): f["kind"] for f in found}
-            own = base_spans(text)
-            hits = [{"kind": want[p], "start": a, "end": b} for a, b, _ in candidates(text, own) if (p := (_before(text, a), _name(text[a:b]))) in want]
-            if hits:
-                keys.append(key)
-                spans.append(hits)
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(spans, pa.list_(_SPAN))], names=["tkey", "added"])
-
-
-def _keyed_edges(batches):
-    for batch in batches:
-        key, pattern, instance = [], [], []
-        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for a, b, _ in candidates(text, base_spans(text)):
-                key.append(k)
-                pattern.append(_before(text, a))
-                instance.append(_name(text[a:b]))
-        yield pa.record_batch([pa.array(key, pa.binary()), pa.array(pattern, pa.string()), pa.array(instance, pa.string())], names=["tkey", "pattern", "instance"])
+def _places(sizes: set[int]):
+    """Function for (tkey, text): where instances may stand, with the pattern if only patterns tell."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for a, b, short in occurrences(text, base_spans(text), sizes):
+                    out.append((key, _before(text, a) if short else "", _name(text[a:b]), a, b))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tkey", "pattern", "instance", "start", "end"])
+
+    return run
 
 
-def added_spans(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def added_spans(docs: DataFrame, text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """(tkey, added): spans that bootstrapping adds to the texts with this MD5."""
-    found = written(bootstrap(docs, text_col, rounds), "found")
+    # A pattern is never empty, so that stands for anywhere.
+    found = written(bootstrap(docs, text_col, rounds).withColumn("pattern", F.coalesce("pattern", F.lit(""))), "found")
     keyed = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if not found.limit(1).count():
-        return keyed.select("tkey", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("added")).limit(0)
-    places = keyed.mapInArrow(_keyed_edges, "tkey binary, pattern string, instance string")
+        return keyed.select("tkey", F.array().cast(f"array<{_SPAN}>").alias("added")).limit(0)
+    # Numbers in an adopted instance: few values, as longer instances are hashes and not looked for within runs.
+    sizes = found.where("pattern = '' and instance not like 'sha256:%' and instance not rlike '[A-Za-z@]'")
+    sizes = {r[0] for r in sizes.select(F.size(F.regexp_extract_all("instance", F.lit("[0-9]+"), F.lit(0)))).distinct().collect()}
+    places = keyed.mapInArrow(_places(sizes), "tkey binary, pattern string, instance string, start bigint, end bigint")
     side = F.broadcast(found) if fits_broadcast(found, 300) else found
-    hits = written(places.join(side, ["pattern", "instance"]).groupBy("tkey").agg(F.collect_set(F.struct("pattern", "instance", "kind")).alias("found")), "hits")
-    side = F.broadcast(hits) if fits_broadcast(hits, 500) else hits
-    spans = keyed.join(side, "tkey").mapInArrow(_added_spans, "tkey binary, added array<struct<kind:string,start:bigint,end:bigint>>")
-    return written(spans.groupBy("tkey").agg(F.first("added").alias("added")), "added")
+    hits = places.join(side, ["pattern", "instance"])
+    return written(hits.groupBy("tkey").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")), "added")
 
 
 def _all_spans(base: list[tuple[int, int, int]], added: list | None) -> list[tuple[int, int, int]]:
