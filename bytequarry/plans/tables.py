@@ -5,16 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below spark.checkpoint.dir (unset: a new local folder, as in tests) and read it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and all runs in one local process, a new folder of this machine.
+
+    On a cluster no folder of one machine would do, so there the setting is needed.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='bytequarry-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/waves/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return where.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back, which cuts lineage for good.
+
+    A lost executor then costs only its own tasks. The schema is passed on, so
+    that reading needs no inference, and empty tables work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what ``written`` left; call it when no result that reads it is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

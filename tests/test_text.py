@@ -109,14 +109,19 @@ def test_operand_modes(spark):
 
 
 def test_control_flow_of_a_loop(spark):
-    # 1: jump to 3; 2: unreached; 3: test, branch to 5; 4: jump to 3; 5: return
-    rows = instructions(spark, [(1, 1, 136, 0, 8 * 2, 0), (1, 2, 187, 0, 0, 0), (1, 3, 21, 0, 8 * 4, 0), (1, 4, 136, 0, 8 * 2, 0), (1, 5, 118, 0, 0, 0)])
+    # 1: jump to 3; 2: unreached; 3: test, branch to 5; 4: jump to 3; 5: return. Word q names a register, as an effect needs one.
+    register = 7 + 8 * 9
+    words = [(1, 1, 136, 0, 8 * 2, register), (1, 2, 187, 0, 0, register), (1, 3, 21, 0, 8 * 4, register), (1, 4, 136, 0, 8 * 2, register), (1, 5, 118, 0, 0, register)]
+    # The same words without a register, and with a register that is too small for the test's: nothing is plausible, so all falls through.
+    rows = instructions(spark, words + [(2, *w[1:5], 0) for w in words] + [(3, 1, 21, 8 * 30, 8 * 2, 7), (3, 2, 187, 0, 0, 0), (3, 3, 187, 0, 0, 0)])
     flow = graph.flow(rows)
     blocks = graph.blocks(flow)
     edges = graph.edges(flow, blocks)
-    assert {(r.block_start, r.block_end) for r in blocks.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
-    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 3), (2, 3), (3, 4), (3, 5), (4, 3)}
-    assert {r.block_start for r in graph.reachable(edges, blocks).collect()} == {1, 3, 4, 5}
+    got = {(r.prototype, r.block_start, r.block_end) for r in blocks.collect()}
+    assert got == {(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4), (1, 5, 5), (2, 1, 5), (3, 1, 3)}
+    assert {(r.src, r.dst) for r in edges.where("prototype = 1").collect()} == {(1, 3), (2, 3), (3, 4), (3, 5), (4, 3)}
+    assert edges.where("prototype > 1").count() == 0
+    assert {(r.prototype, r.block_start) for r in graph.reachable(edges, blocks).collect()} == {(1, 1), (1, 3), (1, 4), (1, 5), (2, 1), (3, 1)}
 
 
 def test_dominators_and_loops(spark):
