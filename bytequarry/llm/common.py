@@ -7,15 +7,20 @@ operations per slice and not a Python step per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import drop_tables, shared_dir, written
+
+__all__ = ["drop_tables", "shared_dir", "written"]
+
 #: Bytes of text that the numpy helpers look at together; longer documents stand alone.
 SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,33 +36,6 @@ _S33 = np.uint64(33)
 # --- tables ---------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or (tests) a new local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='bytequarry-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back, which cuts lineage for good.
-
-    A lost executor then costs only its own tasks. The schema is passed on, so
-    that reading needs no inference, and empty tables work.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete what ``written`` left; call it when no result that reads it is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether a table, counted now, stays below ``limit`` bytes."""
     return df.count() * row_bytes <= limit
@@ -77,6 +55,33 @@ def word_count(col: Column) -> Column:
     return F.size(F.array_remove(parts, "")).cast("long")
 
 
+# --- slices of a batch --------------------------------------------------------
+
+
+def pieces(batch: pa.RecordBatch, *sized: str, rows: int = 512, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows, of at most ``rows`` rows and about ``limit`` bytes in the columns named.
+
+    A row of more bytes stands alone. What a task makes of a run stays within a
+    small multiple of this, and below the 2 GB of an array with 32-bit offsets.
+    """
+    size = np.zeros(batch.num_rows, np.int64)
+    for name in sized:
+        size += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + limit, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def tidy() -> None:
+    """Give memory that this worker holds but doesn't use back to the machine; called at a task's end."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- numpy over slices of a text column -------------------------------------
 
 

@@ -17,10 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces as runs
+from .common import tidy, written
 
-#: Words, and letter runs, that a worker remembers with their ids; later new ones are encoded each time.
-CACHE_WORDS, CACHE_UNITS = 200_000, 300_000
+#: Words, and letter runs, that a task remembers with their ids; later new ones are encoded each time.
+CACHE_WORDS, CACHE_UNITS = 100_000, 150_000
 #: Words of these characters lower-case letter by letter and are their own NFC form, and the
 #: tokenizer's pattern cuts them into runs of letters, single digits and runs of other signs.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
@@ -82,52 +83,60 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One table for each worker process, kept between tasks."""
+    """One table for each worker process, until the task that uses it ends."""
     return WordIds(path)
 
 
+def _drop_table() -> None:
+    """An idle worker keeps no table: many may be idle while others work."""
+    word_ids.cache_clear()
+    tidy()
+
+
 def _tokens(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         table, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for rows in runs(batch, "text"):
                 ids = [table.ids(t or "") + end for t in rows.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
-                data = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int64()), pa.array(np.frombuffer(b"".join(ids), "<i4"))).cast(pa.list_(pa.int32()))
-                yield pa.record_batch([rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(start), pa.array(n), data], names=["doc_id", "part", "start", "n", "ids"])
+                yield pa.record_batch([rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(start), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
+        del table
+        _drop_table()
 
     return run
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part, start, n, ids): each row's ids with ``end_id``, and where they start in their partition."""
+    """(doc_id, part, start, n, ids): each row's ids with ``end_id`` as uint32 bytes, and where they start in their partition."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, part int, start long, n long, ids array<int>")
+    return rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, part int, start long, n long, ids binary")
 
 
 def _cut(length: int):
+    """Cut (doc_id, at, ids) at multiples of ``length``, a few rows at a time: pieces leave as they are made."""
+
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-            ids = batch.column("ids")
-            flat, offs = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for k, (doc, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), strict=True)):
-                own = flat[offs[k] : offs[k + 1]]
-                a = 0
-                while a < len(own):
-                    b = min(len(own), a + length - (at + a) % length)
-                    piece = own[a:b].astype("<u4").tobytes()
-                    for name, v in zip(out, (doc, a, b - a, zlib.crc32(piece), len(own), (at + a) // length, (at + a) % length, piece), strict=True):
-                        out[name].append(v)
-                    a = b
-            yield pa.record_batch([pa.array(v, pa.binary() if name == "ids" else pa.int64()) for name, v in out.items()], names=list(out))
+            for part in runs(batch, "ids"):
+                out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
+                for doc, at, ids in zip(*(part.column(c).to_pylist() for c in ("doc_id", "at", "ids")), strict=True):
+                    own = np.frombuffer(ids, "<u4")
+                    a = 0
+                    while a < len(own):
+                        b = min(len(own), a + length - (at + a) % length)
+                        piece = ids[4 * a : 4 * b]
+                        for name, v in zip(out, (doc, a, b - a, zlib.crc32(piece), len(own), (at + a) // length, (at + a) % length, piece), strict=True):
+                            out[name].append(v)
+                        a = b
+                yield pa.record_batch([pa.array(v, pa.binary() if name == "ids" else pa.int64()) for name, v in out.items()], names=list(out))
+        tidy()
 
     return run
 
@@ -245,9 +254,8 @@ def _pack(path: str, end_id: int, length: int, block_tokens: int, pad_id: int):
     tokens = _tokens(path, end_id)
     kinds = {"sequence_id": pa.int64(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "position_ids": pa.binary(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "id_bytes": pa.int32()}
 
-    def emit(part, number, pieces):
+    def emit(part, number, pieces, size):
         bins = best_fit_decreasing([len(x) for *_, x in pieces], length)
-        size = id_bytes(path, end_id, pad_id, length)
         for at in range(0, len(bins), 64):
             out = {k: [] for k in kinds}
             for k, members in enumerate(bins[at : at + 64], at):
@@ -259,21 +267,21 @@ def _pack(path: str, end_id: int, length: int, block_tokens: int, pad_id: int):
 
     def run(batches):
         part, pieces, held, number = TaskContext.get().partitionId(), [], 0, 0
+        size = id_bytes(path, end_id, pad_id, length)
         for batch in tokens(batches):
-            flat, offs = batch.column("ids").values.to_numpy(), batch.column("ids").offsets.to_numpy()
-            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                own = flat[offs[k] : offs[k + 1]]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                own = np.frombuffer(ids, "<i4")
                 for a in range(0, len(own), length):
                     pieces.append((doc, a, own[a : a + length]))
                     held += len(pieces[-1][2])
                     if held >= block_tokens:
                         base = number
-                        for rows, out in emit(part, base, pieces):
+                        for rows, out in emit(part, base, pieces, size):
                             number += rows
                             yield out
                         pieces, held = [], 0
         if pieces:
-            for _, out in emit(part, number, pieces):
+            for _, out in emit(part, number, pieces, size):
                 yield out
 
     return run
