@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -57,12 +58,51 @@ def test_targets_copies_and_columns(spark, tiny):
     assert taken.count() == sum(r.mix_copies for r in got)
 
 
-def test_inclusion_is_by_odds(spark):
-    """Over many seeds, a document is taken about as often as its inclusion probability says."""
-    rows = [(k, "w " * 10, "a") for k in range(50)] + [(100 + k, "w " * 10, "b") for k in range(50)]
-    table = docs(spark, rows).cache()
-    taken = [sum(r.mix_copies for r in mixture.mix(table, seed=s).collect() if r.source == "a") for s in (1, 2)]
-    assert all(abs(n - 100 / 3) <= 1 for n in taken)
+def plain_odds(sizes, rest):
+    """Inclusion probabilities in proportion to size classes, at most 1, by raising one after the other to 1."""
+    measure = [1 << (n.bit_length() - 1) if n else 0 for n in sizes]
+    certain = set()
+    while True:
+        left = rest - sum(sizes[i] for i in certain)
+        level = left / sum(n * m for i, (n, m) in enumerate(zip(sizes, measure)) if i not in certain)
+        over = {i for i, m in enumerate(measure) if i not in certain and level * m > 1}
+        if not over:
+            return [1.0 if i in certain else level * m for i, m in enumerate(measure)]
+        certain |= over
+
+
+def test_inclusion_is_by_size_and_expects_the_rest(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice([1, 2, 3, 5, 9, 20, 40, 300, 1500]) for _ in range(60)] + [0]
+    rows = [("a", n, n.bit_length()) for n in sizes]
+    table = spark.createDataFrame(rows, "source string, size long, class int")
+    for share in (0.0, 0.2, 0.9, 0.99):
+        rest = share * sum(sizes)
+        plan = spark.createDataFrame([("a", rest)], "source string, rest double")
+        odds = mixture.inclusion(table, plan).first().odds
+        want = plain_odds(sizes, rest)
+        assert [odds.get(n.bit_length(), 0.0) for n in sizes] == pytest.approx(want)
+        assert sum(n * p for n, p in zip(sizes, want)) == pytest.approx(rest)
+
+
+def test_documents_are_taken_as_often_as_their_inclusion_probability_says(spark):
+    """Over many seeds; and the words taken are the target's each time, within half a document of the ranks' edge."""
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.choice([2, 4, 8, 64]), "ab"[k % 2]) for k in range(60)]
+    table, times, runs = docs(spark, rows).cache(), {}, 12
+    for seed in range(runs):
+        got = mixture.mix(table, seed=seed).select("doc_id", "source", "mix_size", "mix_copies", "mix_target", "mix_source_size").collect()
+        for r in got:
+            times[r.doc_id] = times.get(r.doc_id, 0) + r.mix_copies
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.mix_size * r.mix_copies for r in own) - own[0].mix_target) <= 32
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        whole, rest = divmod(own[0].mix_target, own[0].mix_source_size)
+        want = plain_odds([r.mix_size for r in own], rest)
+        for r, p in zip(own, want):
+            assert abs(times[r.doc_id] / runs - whole - p) <= 0.08 + 4 * (p * (1 - p) / runs) ** 0.5
 
 
 def test_empty(spark):
