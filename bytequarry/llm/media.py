@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces, tidy, written
 
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
@@ -114,13 +114,34 @@ def _array(data, at, end, kind, width=1, skip=4):
     return np.frombuffer(data, kind, n * width, at + skip + 4).astype(np.int64).reshape(-1, width)
 
 
+def _sizes(data, at, end) -> np.ndarray:
+    """Sizes of an stsz body; equal ones are listed only if the file can hold so many samples."""
+    size, n = struct.unpack_from(">II", data, at + 4)
+    if not size:
+        return _array(data, at, end, ">u4", 1, 8)[:, 0]
+    if size * n > len(data):
+        raise ValueError("samples beyond the file")
+    return np.full(n, size, np.int64)
+
+
+def _small_sizes(data, at, end) -> np.ndarray:
+    """Sizes of an stz2 body, of 4, 8 or 16 bits."""
+    bits, (n,) = data[at + 7], struct.unpack_from(">I", data, at + 8)
+    count = (n * bits + 7) // 8
+    if bits not in (4, 8, 16) or at + 12 + count > end:
+        raise ValueError("truncated table")
+    raw = np.frombuffer(data, np.uint8, count, at + 12)
+    return (np.stack([raw >> 4, raw & 15], 1).ravel()[:n] if bits == 4 else raw if bits == 8 else raw.view(">u2")).astype(np.int64)
+
+
 def _track(data, start, end) -> dict:
+    """Tables of one track: its boxes are walked with a list of what is still to be walked, however deep they nest."""
     t: dict = {"codec": None, "handler": None, "timescale": 0, "duration": 0}
-
-    def walk(a, b):
-        for kind, at, stop in boxes(data, a, b):
+    waiting = [(start, end)]
+    while waiting:
+        for kind, at, stop in boxes(data, *waiting.pop()):
             if kind in CONTAINERS:
-                walk(at, stop)
+                waiting.append((at, stop))
             elif kind == b"mdhd":
                 t["timescale"], t["duration"] = _clock(data, at)
             elif kind == b"hdlr":
@@ -134,37 +155,42 @@ def _track(data, start, end) -> dict:
             elif kind == b"stsc":
                 t["runs"] = _array(data, at, stop, ">u4", 3)
             elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", data, at + 4)
-                t["sizes"] = np.full(n, size, np.int64) if size else _array(data, at, stop, ">u4", 1, 8)[:, 0]
+                t["sizes"] = _sizes(data, at, stop)
             elif kind == b"stz2":
-                bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-                raw = np.frombuffer(data, np.uint8, (n * bits + 7) // 8, at + 12)
-                t["sizes"] = (np.stack([raw >> 4, raw & 15], 1).ravel()[:n] if bits == 4 else raw if bits == 8 else raw.view(">u2")).astype(np.int64)
+                t["sizes"] = _small_sizes(data, at, stop)
             elif kind in (b"stco", b"co64"):
                 t["chunks"] = _array(data, at, stop, ">u4" if kind == b"stco" else ">u8")[:, 0]
-
-    walk(start, end)
     return t
 
 
 def samples(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset, size, time) of each sample, from the track's tables."""
-    sizes, chunks, runs = (track.get(k, np.zeros(s, np.int64)) for k, s in (("sizes", 0), ("chunks", 0), ("runs", (0, 3))))
+    """(offset, size, time) of each sample, from the track's tables; as many rows as there are sizes, whatever other tables say."""
+    sizes, chunks, runs, times = (track.get(k, np.zeros(s, np.int64)) for k, s in (("sizes", 0), ("chunks", 0), ("runs", (0, 3)), ("times", (0, 2))))
     n = len(sizes)
     if not n or not len(chunks) or not len(runs):
         return (np.zeros(0, np.int64),) * 3
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
-    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-    if len(chunk) < n:
+    lasting = np.diff(np.r_[runs[:, 0] - 1, len(chunks)])
+    if runs[0, 0] != 1 or (lasting < 0).any():
         raise ValueError("sample tables disagree")
+    until = np.cumsum(np.repeat(runs[:, 1], lasting))  # samples up to each chunk's end
+    if until[-1] < n:
+        raise ValueError("sample tables disagree")
+    number = np.arange(n)
+    chunk = np.searchsorted(until, number, "right")
     before = np.cumsum(sizes) - sizes
-    first = np.searchsorted(chunk, np.arange(len(chunks)))
-    offset = chunks[chunk] + before - before[np.minimum(first[chunk], n - 1)]
-    steps = np.repeat(track.get("times", np.zeros((0, 2), np.int64))[:, 1], track.get("times", np.zeros((0, 2), np.int64))[:, 0])
-    steps = np.r_[steps, np.zeros(max(0, n - len(steps)), np.int64)][:n]
+    first = np.r_[0, until[:-1]]
+    offset = chunks[chunk] + before - before[first[chunk]]
+    step = np.searchsorted(np.cumsum(times[:, 0]), number, "right")
+    steps = np.r_[times[:, 1], 0][np.minimum(step, len(times))]
     return offset, sizes, np.cumsum(steps) - steps
 
 
+def fragmented(media: bytes) -> bool:
+    """Whether samples are listed in movie fragments, outside the sample tables."""
+    data = memoryview(media)
+    return any(kind == b"moof" or (kind == b"moov" and any(k == b"mvex" for k, _, _ in boxes(data, at, stop))) for kind, at, stop in boxes(data, 0, len(data)))
+
+
 def tracks(media: bytes) -> list[dict]:
     """Tables of every track of a container."""
     data = memoryview(media)
@@ -181,9 +207,13 @@ def describe(media: bytes | None) -> tuple[list[dict], str | None]:
     try:
         for t in tracks(media or b""):
             offset, size, time = samples(t)
-            key = t["sync"][t["sync"] < len(size)] if "sync" in t else np.arange(len(size))
+            if len(size) and (offset.min() < 0 or (offset + size).max() > len(media)):
+                raise ValueError("samples beyond the file")
+            key = t["sync"][(t["sync"] >= 0) & (t["sync"] < len(size))] if "sync" in t else np.arange(len(size))
             ranges = [{"offset": int(o), "length": int(s), "time": int(x)} for o, s, x in zip(offset[key], size[key], time[key], strict=True)]
             out.append({"codec": t["codec"], "handler": t["handler"], "timescale": int(t["timescale"]), "duration": int(t["duration"]), "samples": len(size), "keyframes": ranges})
+        if fragmented(media or b""):
+            return out, "fragmented"
     except (ValueError, struct.error, IndexError) as e:
         return [], str(e) or type(e).__name__
     return out, None if media else "empty"
@@ -197,15 +227,21 @@ TRACKS = "array<struct<codec:string,handler:string,timescale:bigint,duration:big
 def index(df: DataFrame, media_col: str = "media") -> DataFrame:
     """All rows and columns with ``media_tracks`` and ``media_error``: every container's track index.
 
-    Null and empty media, truncated boxes and tables that disagree give no
-    tracks and an error's text; no row is dropped. Repeated rows each have
-    theirs. Columns with these two names are replaced.
+    Null and empty media, truncated boxes, tables that disagree and samples
+    beyond the file give no tracks and an error's text; no row is dropped, and
+    what is allocated stays within a small multiple of the file's size. A file
+    with movie fragments has its tracks, the samples of its sample tables only,
+    and the error 'fragmented'. Repeated rows each have theirs; an empty table
+    gives no rows. Columns with these two names are replaced.
     """
 
     @F.arrow_udf(f"struct<tracks:{TRACKS},error:string>")
     def described(media: pa.Array) -> pa.Array:
-        found = [describe(m) for m in media.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())], names=["tracks", "error"])
+        out = []
+        for part in pieces(pa.record_batch([media], names=["media"]), "media"):
+            found = [describe(m) for m in part.column(0).to_pylist()]
+            out.append(pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())], names=["tracks", "error"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("tracks", pa.list_(_TRACK)), ("error", pa.string())]))
 
     names = [c for c in df.columns if c not in ("media_tracks", "media_error")]
     return df.select(*names, described(F.col(media_col).cast("binary")).alias("_bq_index")).select(*names, F.col("_bq_index.tracks").alias("media_tracks"), F.col("_bq_index.error").alias("media_error"))
@@ -219,14 +255,17 @@ def padded(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
 
 def _store(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in pieces(batch, "text"):
             made = [padded(t) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+    tidy()
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's padded UTF-8 in a container; null texts are empty and have one unit of zeros."""
+    """(doc_id, n_bytes, media): each text's padded UTF-8 in a container; null texts are empty and have one unit of zeros.
+
+    Repeated rows are stored each; an empty table gives no rows; other columns aren't read.
+    """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
@@ -240,23 +279,33 @@ def payload(media: bytes, track: dict) -> bytes:
     return b"".join(media[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _features(batches):
+def _feature(track: dict) -> str:
+    """Codec, duration and keyframes of an indexed track as one line."""
+    keys = np.array([(k["offset"], k["length"], k["time"]) for k in track["keyframes"]], "<i8")
+    return f"codec={track['codec']};handler={track['handler']};seconds={track['duration'] / track['timescale']:.3f};samples={track['samples']};keyframes={len(keys)};ranges_crc32={zlib.crc32(keys.tobytes())}"
+
+
+def _read_back(batches):
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, out = batch.slice(at, 256), []
-            for doc, n, media in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                (t,) = tracks(media)
-                back = payload(media, t)
-                (d,), _ = describe(media)
-                keys = np.array([(k["offset"], k["length"], k["time"]) for k in d["keyframes"]], "<i8")
-                feature = f"codec={d['codec']};handler={d['handler']};seconds={d['duration'] / d['timescale']:.3f};samples={d['samples']};keyframes={len(keys)};ranges_crc32={zlib.crc32(keys.tobytes())}"
-                out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        for part in pieces(batch, "media"):
+            out = []
+            for doc, n, media, indexed, error in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_tracks", "media_error")), strict=True):
+                if error:
+                    raise ValueError(f"stored media of {doc}: {error}")
+                back = payload(media, tracks(media)[0])
+                out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), _feature(indexed[0])))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    tidy()
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Store every text as media, in a table of its own, and index what was stored; see ``store_texts``."""
+    """Store every text as media, in a table of its own, index what was stored, and read its payload back.
+
+    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256 and feature (the index as a line). Nulls, repeats,
+    empty tables and other columns are as in ``store_texts``.
+    """
     stored = written(store_texts(docs), "media")
-    return stored.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return index(stored).mapInArrow(_read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

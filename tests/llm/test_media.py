@@ -61,6 +61,42 @@ def test_damage_is_an_error_and_not_a_crash(spark):
     assert all(not got[k].media_tracks for k in (2, 3, 4, 5))
 
 
+def track(*tables, deep=0):
+    u = lambda *v: struct.pack(f">{len(v)}I", *v)
+    boxes = b"".join(tables)
+    for _ in range(deep):
+        boxes = media.box(b"udta", boxes)
+    mdia = media.box(b"mdia", media.full(b"mdhd", 0, u(0, 0, 100, 70, 0)), media.box(b"minf", media.box(b"stbl", boxes)))
+    return media.box(b"moov", media.box(b"trak", mdia))
+
+
+def test_hostile_tables_allocate_little(spark):
+    """Counts that the file can't hold, boxes nested deep, places out of the file and fragments end in an error's text or in bounded rows."""
+    u = lambda *v: struct.pack(f">{len(v)}I", *v)
+    big = (1 << 32) - 1
+    chunks, one = media.full(b"stco", 0, u(1, 8)), media.full(b"stsz", 0, u(0, 1, 4))
+    run = media.full(b"stsc", 0, u(1, 1, 1, 1))
+    cases = {
+        "stsz": (track(media.full(b"stsz", 0, u(8, big)), chunks, run), "samples beyond the file"),
+        "stsz0": (track(media.full(b"stsz", 0, u(0, big)), chunks, run), "truncated table"),
+        "stz2": (track(media.full(b"stz2", 0, u(8, big)), chunks, run), "truncated table"),
+        "stsc": (track(one, chunks, media.full(b"stsc", 0, u(1, 1, big, 1))), None),
+        "stsc2": (track(one, chunks, media.full(b"stsc", 0, u(2, 1, 1, 1, big, 1, 1))), "sample tables disagree"),
+        "stts": (track(one, chunks, run, media.full(b"stts", 0, u(2, big, 5, big, 5))), None),
+        "stss": (track(one, chunks, run, media.full(b"stss", 0, u(2, 0, 1))), None),
+        "co64": (track(one, media.full(b"co64", 0, u(1, big, big)), run), "samples beyond the file"),
+        "stco": (track(one, media.full(b"stco", 0, u(1, big)), run), "samples beyond the file"),
+        "deep": (track(one, chunks, run, deep=5000), None),
+        "moof": (track(one, chunks, run) + media.box(b"moof"), "fragmented"),
+        "mvex": (media.box(b"moov", media.box(b"mvex")), "fragmented"),
+    }
+    table = spark.createDataFrame([(k, bytearray(m)) for k, (m, _) in cases.items()], "name string, media binary")
+    got = {r.name: r for r in media.index(table).collect()}
+    assert {k: r.media_error for k, r in got.items()} == {k: e for k, (_, e) in cases.items()}
+    assert [k["offset"] for k in got["stss"].media_tracks[0].keyframes] == [8]
+    assert [got[k].media_tracks[0].samples for k in ("stsc", "stts", "deep", "moof")] == [1] * 4
+
+
 def test_texts_as_media(spark):
     rows = awkward()
     got = media.text_media(docs(spark, rows, clash=True)).collect()
