@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,26 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool
     return df.count() * row_bytes <= limit
 
 
+def ranges(df: DataFrame, col: str, parts: int) -> list[int]:
+    """Ascending distinct bounds that cut a column of whole numbers into about ``parts`` ranges of equal counts."""
+    found = df.select(F.percentile_approx(col, [k / parts for k in range(1, parts)] or [0.5], 10000)).first()[0]
+    return sorted(set(found or []))
+
+
+def below(col: Column, bounds: list[int]) -> Column:
+    """How many of ascending bounds are smaller than a number; 0 for null. Two looks, at about the root of their count each."""
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    if not blocks:
+        return F.lit(0)
+    numbers = lambda x: F.array(*(F.lit(v).cast("long") for v in x))
+    smaller = lambda x: F.coalesce(F.size(F.filter(x, lambda v: v < col)), F.lit(0))
+    if len(blocks) == 1:
+        return smaller(numbers(blocks[0]))
+    block = F.greatest(smaller(numbers([b[0] for b in blocks])) - 1, F.lit(0))
+    return F.when(col.isNull(), 0).otherwise(block * step + smaller(F.get(F.array(*(numbers(b) for b in blocks)), block)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

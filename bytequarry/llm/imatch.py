@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, text_or_empty, written
+from .common import below, fits_broadcast, ranges, text_or_empty, written
 
 #: Band of ln(documents / documents with the term): terms of a tenth to a two-thousandth of all documents.
 IDF_BAND = (math.log(10), math.log(2000))
@@ -33,7 +33,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(h, item) of the terms in the band, over all documents: a 64-bit hash, and the sub-lexicons that keep the term.
+    """(h, keeps) of the terms in the band, over all documents: a 64-bit hash, and a bit for each sub-lexicon that keeps the term.
 
     A document has few distinct terms on average, so at most mean / exp(-band[1])
     terms occur in a share of documents that the band allows: the lexicon does
@@ -42,10 +42,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     n = docs.count()
     df = docs.select(F.explode(terms(text_or_empty(text_col))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    # A sub-lexicon keeps a term if low bits of a hash of its own are 0. Above these bits stand 25 of the term's.
+    # A sub-lexicon keeps a term if low bits of a hash of its own are 0.
     bits = [F.when(F.xxhash64("h", F.lit(k)).bitwiseAND(_long((1 << h) - 1)) == 0, _long(1 << k)).otherwise(_long(0)) for k, h in enumerate(HALVINGS)]
-    item = reduce(lambda x, y: x.bitwiseOR(y), bits, F.shiftleft(F.col("h").bitwiseAND(_long((1 << 25) - 1)), len(HALVINGS)))
-    return df.where((idf >= band[0]) & (idf <= band[1])).select("h", item.alias("item"))
+    keeps = reduce(lambda x, y: x.bitwiseOR(y), bits)
+    return df.where((idf >= band[0]) & (idf <= band[1])).select("h", keeps.alias("keeps"))
 
 
 def _long(value: int) -> Column:
@@ -53,12 +53,12 @@ def _long(value: int) -> Column:
 
 
 def _has(k: int):
-    return lambda x: x.bitwiseAND(_long(1 << k)) != 0
+    return lambda x: x["keeps"].bitwiseAND(_long(1 << k)) != 0
 
 
 def signature(found: Column) -> Column:
-    """Hashes of each sub-lexicon's items among sorted ones, as hex strings; a zero string where it has none."""
-    none = F.xxhash64(F.array().cast("array<bigint>"))
+    """Hashes of each sub-lexicon's terms among sorted (h, keeps), as hex strings; a zero string where it has none."""
+    none = F.xxhash64(F.array().cast("array<struct<h:bigint,keeps:bigint>>"))
     hashes = F.array(*(F.xxhash64(F.filter(found, _has(k))) for k in range(len(HALVINGS))))
     return F.transform(hashes, lambda x: F.when(x == none, EMPTY).otherwise(F.lpad(F.lower(F.hex(x.bitwiseAND(_long(0xFFFFFFFF)))), 8, "0")))
 
@@ -77,14 +77,14 @@ def likeness(rest_a: Column, rest_b: Column, counted: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """Rows (part, place, halo, id, text, next) in descending id; after the last row the first is next.
 
-    Ids are cut into ranges at approximate quantiles, so no task sees all rows.
+    Ids are cut into ranges at approximate quantiles, so no task sees all rows;
+    only rows that share one id can't be parted.
     The largest id of a range is added to the range above (the largest of all to
     the lowest one) as a halo row, where it follows the last row. Null ids come
     last; rows with the same id go by text.
     """
-    bounds = docs.select(F.percentile_approx(id_col, [k / parts for k in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    where = F.coalesce(F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b < F.col(id_col))), F.lit(0)) if bounds else F.lit(0)
+    bounds = ranges(docs, id_col, parts)
+    where = below(F.col(id_col), bounds)
     tops = sorted(docs.groupBy(where.alias("part")).agg(F.max(id_col).alias("top")).collect()) if bounds else [(0, None)]
     size = len(bounds) + 1
     top, target = [None] * size, [0] * size
@@ -132,8 +132,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.transform("new", lambda t: item(1, t, none.cast(kind))),
     )
     exploded = both.select("part", "place", F.explode(items).alias("x")).select("part", "place", "x.side", F.xxhash64("x.t").alias("h"), "x.head")
-    exploded = exploded.join(F.broadcast(words) if fits_broadcast(words, 16) else words, "h", "left").where("item is not null or side = 2")
-    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("item")))).alias(f"t{s}")
+    exploded = exploded.join(F.broadcast(words) if fits_broadcast(words, 32) else words, "h", "left").where("keeps is not null or side = 2")
+    of = lambda s: F.sort_array(F.collect_list(F.when((F.col("side") == s) & F.col("keeps").isNotNull(), F.struct("h", "keeps")))).alias(f"t{s}")
     grouped = exploded.groupBy("part", "place").agg(F.max("head").alias("head"), of(0), of(1))
     printed = grouped.select("part", "place", "head", signature(F.col("t0")).alias("a"), signature(F.col("t1")).alias("b"))
     order = Window.partitionBy("part").orderBy("place")

@@ -1,7 +1,9 @@
 """Web archive revisits: not-modified records resolved to the latest earlier full response.
 
 An as-of join by canonical URL and time. It never sorts a URL's whole history
-in one task: times are cut into ranges, the last response of each URL and range
+in one task: times are cut into ranges at quantiles, so that neither outliers nor
+bunched captures put most records in one (only records of one URL and one time
+can't be parted), the last response of each URL and range
 is aggregated before the shuffle, carried over the ranges (few rows a URL), and
 only records of one URL and range are sorted together.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import below, ranges, table
 
 #: Headers that a 304 answer may replace in the stored response (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -54,9 +56,8 @@ def resolve(records: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     added = ("url_key", "refers_to", "refers_time", "status", "merged_headers")
     records = records.select(*(c for c in records.columns if c not in added)).withColumn("url_key", canonical_url(F.col("url")))
-    span = records.agg(F.min("time"), F.max("time")).first()
-    low, width = span[0] or 0, ((span[1] or 0) - (span[0] or 0)) // parts + 1
-    records = records.withColumn("_bq_range", F.floor((F.col("time") - F.lit(low)) / width).cast("long"))
+    bounds = ranges(records, "time", parts)
+    records = records.withColumn("_bq_range", below(F.col("time"), bounds).cast("long"))
     usable = (F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("time").isNotNull()
     offer = F.struct(F.col("time").alias("t"), F.col("record_id").alias("id"), "digest", F.to_json("headers").alias("headers"))
 
@@ -66,7 +67,9 @@ def resolve(records: DataFrame) -> DataFrame:
     carried = points.withColumn("carried", F.last("at", ignorenulls=True).over(earlier)).where("carried is not null").select(F.col("url_key").alias("_bq_k"), F.col("_bq_range").alias("_bq_r"), F.col("carried").alias("_bq_carried"))
 
     # Within a range: the latest response at an earlier time, by ranks of time and not of rows.
-    order = Window.partitionBy("url_key", "_bq_range").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
+    # Rows that have no place there, however many, are dealt out by number.
+    alone = F.when(F.col("url_key").isNull() | F.col("time").isNull() | ~F.coalesce(F.col("kind").isin("response", "revisit"), F.lit(False)), F.xxhash64("record_id", "url", "time"))
+    order = Window.partitionBy("url_key", "_bq_range", alone).orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     near = F.max(F.when(usable, F.struct("time", "record_id"))).over(order)
     keyed = records.withColumn("_bq_near", near)
     keyed = keyed.join(carried, (F.col("url_key") == F.col("_bq_k")) & (F.col("_bq_range") == F.col("_bq_r")), "left").drop("_bq_k", "_bq_r")
