@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, lower_ascii, mix64, ngrams, slices, word_hashes, words
+from .common import fits_broadcast, lower_ascii, mix64, ngrams, slices, tidy, word_hashes, words
 
 FEATURE_BITS = 18
-CHUNK = 1 << 12  # features whose counts travel in one row
 #: Labelled rows of each class that the model is fitted on at most; counts use all rows.
 FIT_ROWS = 6000
 
@@ -55,23 +54,20 @@ def features(buf: np.ndarray, offs: np.ndarray):
 
 
 def _count(batches):
-    """Rows (chunk, counts): documents of class 0 and of class 1 with each feature, summed over the task."""
+    """Rows (feature, n0, n1): documents of either class with each feature that the task has met; feature -1: all of its documents."""
     total = np.zeros((2, 1 << FEATURE_BITS), np.int64)
-    seen = [0, 0]
+    seen = np.zeros(2, np.int64)
     for batch in batches:
         y = batch.column(1).to_numpy()
         for lo, _, buf, offs in slices(batch.column(0)):
             for k, f in enumerate(features(buf, offs)):
                 total[y[lo + k], f] += 1
                 seen[y[lo + k]] += 1
-    if sum(seen):
-        parts = [total[:, at : at + CHUNK].tobytes() for at in range(0, 1 << FEATURE_BITS, CHUNK)]
-        yield pa.record_batch([pa.array([*range(len(parts)), -1]), pa.array([*parts, np.array(seen).tobytes()], pa.binary())], names=["chunk", "counts"])
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    if seen.any():
+        met = np.flatnonzero(total.any(0))
+        n0, n1 = (np.r_[seen[c], total[c, met]] for c in (0, 1))
+        yield pa.record_batch([pa.array(np.r_[-1, met]), pa.array(n0), pa.array(n1)], names=["feature", "n0", "n1"])
+    tidy()
 
 
 def _featurize(batches):
@@ -182,12 +178,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", k
     both classes every text gets the smoothed share of label 1.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 30)).alias("key"))
-    counted = rows.mapInArrow(_count, "chunk long, counts binary").groupBy("chunk").applyInArrow(_sum, "chunk long, counts binary")
-    counts = {r.chunk: np.frombuffer(bytes(r.counts), np.int64) for r in counted.collect()}  # two numbers a feature, whatever the rows
-    seen = tuple(int(x) for x in counts.pop(-1, np.zeros(2, np.int64)))
+    counted = rows.mapInArrow(_count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = counted.toArrow()  # two numbers a feature, whatever the rows
+    number, counts = counted["feature"].to_numpy(), np.array([counted[c].to_numpy() for c in ("n0", "n1")])
+    seen = tuple(int(x) for x in counts[:, number < 0].sum(1))
     if not all(seen):
         return _flat((seen[1] + 1) / (sum(seen) + 2))
-    have = np.concatenate([counts[k].reshape(2, CHUNK) for k in sorted(counts)], 1).astype(float) + 1
+    have = np.ones((2, 1 << FEATURE_BITS))
+    have[:, number[number >= 0]] += counts[:, number >= 0]
     scale = np.log((have[1] / (seen[1] + 2)) / (have[0] / (seen[0] + 2)))
     rate = F.when(F.col("y") == 1, fit_rows / seen[1]).otherwise(fit_rows / seen[0])
     sample = rows.where(F.col("key") < rate * (1 << 30)).select("text", "y", "key")
