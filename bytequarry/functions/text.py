@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
-#: Comments, short strings (which may run over lines), long strings, and what lies between.
-#: Escaped quotes have been replaced before, so that no alternative needs to step.
-_TOKENS = r"""--\[(=*)\[[\s\S]*?(?:\]\1\]|\z)|--[^\n]*+|"[^"]*+"?|'[^']*+'?|\[(=*)\[[\s\S]*?(?:\]\2\]|\z)|[^-"'\[]++|[\s\S]"""
+#: Comments, short strings (which may run over lines, and in which a backslash takes the next sign along), long strings,
+#: and what lies between. Repeats of groups are possessive, so that long literals need no deep stack.
+_TOKENS = r"""--\[(=*)\[[\s\S]*?(?:\]\1\]|\z)|--[^\n]*+|"(?:[^"\\]++|\\[\s\S]?+)*+"?+|'(?:[^'\\]++|\\[\s\S]?+)*+'?+|\[(=*)\[[\s\S]*?(?:\]\2\]|\z)|[^-"'\[]++|[\s\S]"""
+_MASKED = r"""--|["']|\[=*\["""
 
 
 def java(pattern: str) -> str:
-    """The pattern with word boundaries that only ASCII letters, digits and underscores make."""
+    """The pattern with word boundaries that only ASCII letters, digits and underscores make.
+
+    Before a letter, and after a letter or a group of words, one look is enough.
+    """
+    pattern = re.sub(r"\\b(?=(?:\(\?:|\()?(?:[A-Za-z_]|\[A-Za-z_\]))", lambda m: f"(?<!{_WORD})", pattern)
+    pattern = re.sub(r"(?<![\\])([A-Za-z]|(?<=[A-Za-z0-9+])(?<!\(\?i)\))\\b", lambda m: f"{m[1]}(?!{_WORD})", pattern)
     return pattern.replace(r"\b", _BOUNDARY)
 
 
@@ -24,10 +32,10 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """Text with comments and strings blanked; newlines and places stay. Backtick strings stay."""
-    plain = F.regexp_replace(text, r"""\\["'\\]""", "")
-    blank = lambda t: F.when(t.rlike(r"""^(?:--|"|'|\[=*\[)"""), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
-    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(_TOKENS), F.lit(0)), blank), "")
+    """Text with comments and strings blanked; line ends and places stay. Backtick strings stay."""
+    blank = lambda t: F.when(t.rlike(rf"^(?:{_MASKED})"), F.regexp_replace(t, r"[^\r\n]", " ")).otherwise(t)
+    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), blank), "")
+    return F.when(text.rlike(_MASKED), tokens).otherwise(text)
 
 
 def physical_lines(text: Column) -> Column:

@@ -1,26 +1,75 @@
 """Byte statistics: histograms, entropy, windows, parity and printable runs.
 
-Counts of a text's bytes come from one pass of array functions over its hex
-form, so that a byte is never a row: a document's histogram has 256 rows at most.
+Bytes are counted inside tasks, so that a byte is never a row: what leaves a
+task has 256 rows at most for an artifact, or one row for a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 
 
-def byte_array(data: Column) -> Column:
-    """The bytes of binary data as an array of two-digit hex strings."""
-    return F.array_remove(F.split(F.regexp_replace(F.hex(data), "(..)", "$1 "), " "), "")
+def _texts(batch: pa.RecordBatch):
+    """(row, bytes) of a batch's texts that aren't empty."""
+    texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+    _, offs, data = texts.buffers()
+    at = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    for row in np.flatnonzero(np.diff(at)).tolist():
+        yield row, buf[at[row] : at[row + 1]]
+
+
+def _counts(lanes: int):
+    """Rows (artifact_id, lane, byte, n) of the bytes at offsets of each lane (offset modulo ``lanes``)."""
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for row, data in _texts(batch):
+                for lane in range(lanes):
+                    n = np.bincount(data[lane::lanes], minlength=256)
+                    byte = np.flatnonzero(n)
+                    rows += [row] * len(byte)
+                    out.append(np.stack([np.full(len(byte), lane), byte, n[byte]]))
+            if rows:
+                lane, byte, n = np.concatenate(out, 1)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(lane, pa.int64()), pa.array(byte.astype(np.int32)), pa.array(n, pa.int64())], names=["artifact_id", "lane", "byte", "n"])
+
+    return run
+
+
+def _windows(size: int):
+    """Rows (artifact_id, w, total, x) of each window of offsets: its bytes, and the sum of n * log2(n) over its byte values."""
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for row, data in _texts(batch):
+                for w, at in enumerate(range(0, len(data), size)):
+                    n = np.bincount(data[at : at + size])
+                    n = n[n > 0]
+                    rows.append(row)
+                    out.append((w, int(n.sum()), float((n * np.log2(n)).sum())))
+            if rows:
+                w, total, x = zip(*out, strict=True)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(w, pa.int64()), pa.array(total, pa.int64()), pa.array(x, pa.float64())], names=["artifact_id", "w", "total", "x"])
+
+    return run
+
+
+def _each(artifacts: DataFrame, function, columns: str) -> DataFrame:
+    kind = artifacts.schema["artifact_id"].dataType.simpleString()
+    return artifacts.select("artifact_id", F.col("text").cast("binary").alias("text")).mapInArrow(function, f"artifact_id {kind}, {columns}")
 
 
 def histogram(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, byte, n): bytes are summed map-side before the shuffle."""
-    rows = artifacts.select("artifact_id", F.explode(byte_array(F.col("text").cast("binary"))).alias("b"))
-    return rows.groupBy("artifact_id", "b").agg(F.count("*").alias("n")).select("artifact_id", F.conv("b", 16, 10).cast("int").alias("byte"), "n")
+    """(artifact_id, byte, n): bytes are counted before the shuffle. Null and empty texts have no rows."""
+    return _each(artifacts, _counts(1), "lane long, byte int, n long").groupBy("artifact_id", "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(counted: DataFrame, *keys: str) -> DataFrame:
@@ -36,9 +85,8 @@ def entropy(counted: DataFrame, *keys: str) -> DataFrame:
 
 def window_entropy(artifacts: DataFrame, size: int = 65536) -> DataFrame:
     """(artifact_id, windows, min_bits, max_bits, avg_bits) over tumbling windows of byte offsets; the last may be short. The average is cut to millionths."""
-    rows = artifacts.select("artifact_id", F.posexplode(byte_array(F.col("text").cast("binary"))).alias("at", "b"))
-    counted = rows.groupBy("artifact_id", F.floor(F.col("at") / size).alias("w"), F.conv("b", 16, 10).cast("int").alias("byte")).agg(F.count("*").alias("n"))
-    each = entropy(counted, "artifact_id", "w")
+    each = _each(artifacts, _windows(size), "w long, total long, x double")
+    each = each.withColumn("bits", F.round(F.greatest(F.lit(0.0), F.log2("total") - F.col("x") / F.col("total")), 6))
     return each.groupBy("artifact_id").agg(F.count("*").alias("windows"), F.min("bits").alias("min_bits"), F.max("bits").alias("max_bits"), (F.floor(F.round(F.sum("bits") * 1e6) / F.count("*")) / 1e6).alias("avg_bits"))
 
 
@@ -50,8 +98,7 @@ def top_bytes(counted: DataFrame, k: int = 16) -> DataFrame:
 
 def parity_modes(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, parity, byte, n): the most frequent byte at even and at odd offsets, the lowest among equals."""
-    rows = artifacts.select("artifact_id", F.posexplode(byte_array(F.col("text").cast("binary"))).alias("at", "b"))
-    counted = rows.groupBy("artifact_id", (F.col("at") % 2).alias("parity"), F.conv("b", 16, 10).cast("int").alias("byte")).agg(F.count("*").alias("n"))
+    counted = _each(artifacts, _counts(2), "lane long, byte int, n long").groupBy("artifact_id", F.col("lane").alias("parity"), "byte").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("artifact_id", "parity").orderBy(F.col("n").desc(), "byte")
     return counted.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 

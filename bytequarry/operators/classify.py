@@ -11,6 +11,9 @@ from ..functions import fixed
 from ..functions.text import control_share, count, java, masked, physical_lines
 
 
+GENERIC = "generic-static"
+
+
 def _joined(parts: list[Column]) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), ";")
 
@@ -71,8 +74,8 @@ def counts(classified: DataFrame) -> DataFrame:
     })
 
 
-def detect(counted: DataFrame) -> DataFrame:
-    """(artifact_id, plugin_id, confidence, evidence): a row for each artifact and detector.
+def detections() -> Column:
+    """What every detector says of a row with counts: an array of (plugin_id, confidence, evidence).
 
     Weights are added in their fixed order to the detector's base, kept within 0
     and 1 and rounded to three places.
@@ -83,7 +86,26 @@ def detect(counted: DataFrame) -> DataFrame:
         score = reduce(lambda s, e: s + F.when(F.expr(e[2]), F.lit(e[3])).otherwise(0.0), own, F.lit(base))
         ids = F.array_join(F.array_compact(F.array(*(F.when(F.expr(e[2]), F.lit(e[1])) for e in own))), ";")
         rows.append(F.struct(F.lit(plugin).alias("plugin_id"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("confidence"), ids.alias("evidence")))
-    return counted.select("artifact_id", F.explode(F.array(*rows)).alias("d")).select("artifact_id", "d.*")
+    return F.array(*rows)
+
+
+def detect(counted: DataFrame) -> DataFrame:
+    """(artifact_id, plugin_id, confidence, evidence): a row for each artifact and detector."""
+    return counted.select("artifact_id", F.explode(detections()).alias("d")).select("artifact_id", "d.*")
+
+
+def _route(first: Column, following: Column) -> list[Column]:
+    """Columns of the selected route from the best family detector's (plugin_id, confidence) and the next one's."""
+    margin = F.round(first["confidence"] - following["confidence"], 6)
+    high = first["confidence"] >= fixed.SELECT_AT
+    clear = following.isNull() | (margin >= fixed.SELECT_MARGIN)
+    return [
+        F.when(high & clear, first["plugin_id"]).otherwise(GENERIC).alias("plugin_id"),
+        (high & ~clear).cast("int").alias("ambiguous"),
+        first["plugin_id"].alias("first_id"),
+        first["confidence"].alias("first_confidence"),
+        margin.alias("margin"),
+    ]
 
 
 def select_route(detections: DataFrame) -> DataFrame:
@@ -92,19 +114,17 @@ def select_route(detections: DataFrame) -> DataFrame:
     Four rows an artifact at most, so the ranking window is bounded.
     """
     order = Window.partitionBy("artifact_id").orderBy(F.col("confidence").desc(), "plugin_id")
-    family = detections.where("plugin_id <> 'generic-static'")
-    ranked = family.withColumns({"rank": F.row_number().over(order), "next": F.lead("confidence").over(order)}).where("rank = 1")
-    margin = F.round(F.col("confidence") - F.col("next"), 6)
-    high = F.col("confidence") >= fixed.SELECT_AT
-    clear = F.col("next").isNull() | (margin >= fixed.SELECT_MARGIN)
-    return ranked.select(
-        "artifact_id",
-        F.when(high & clear, F.col("plugin_id")).otherwise("generic-static").alias("plugin_id"),
-        (high & ~clear).cast("int").alias("ambiguous"),
-        F.col("plugin_id").alias("first_id"),
-        F.col("confidence").alias("first_confidence"),
-        margin.alias("margin"),
-    )
+    one = F.struct("plugin_id", "confidence")
+    family = detections.where(F.col("plugin_id") != GENERIC)
+    ranked = family.withColumns({"rank": F.row_number().over(order), "first": one, "next": F.lead(one).over(order)}).where("rank = 1")
+    return ranked.select("artifact_id", *_route(F.col("first"), F.col("next")))
+
+
+def with_route(counted: DataFrame) -> DataFrame:
+    """The same choice within the row: counted artifacts with the columns of their route, without a shuffle."""
+    family = F.filter(detections(), lambda d: d["plugin_id"] != GENERIC)
+    best = F.array_sort(F.transform(family, lambda d: F.struct((-d["confidence"]).alias("o"), d["plugin_id"].alias("plugin_id"), d["confidence"].alias("confidence"))))
+    return counted.withColumn("_best", best).select(*counted.columns, *_route(F.get("_best", F.lit(0)), F.get("_best", F.lit(1))))
 
 
 def static_facts(classified: DataFrame) -> DataFrame:

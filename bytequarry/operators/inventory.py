@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,19 @@ from ..functions.text import count, java
 def capabilities(sources: DataFrame, code_col: str = "code") -> DataFrame:
     """(artifact_id, category, api, occurrences, lines): what code mentions, with the first lines that do.
 
-    Code is split into numbered lines once; a spec's lines are those it matches.
-    No pattern reaches over a line's end but through white space, so counts are
-    of the whole code. Nothing is shuffled: lines are filtered within their row.
+    Each spec is a literal pattern of one projection, tried only where a word
+    that all its matches hold is in the code; what is found makes a row, and only
+    then are the code's lines looked at. No pattern reaches over a line's end but
+    through white space, so counts are of the whole code. Nothing is shuffled.
     """
-    specs = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(a).alias("api"), F.lit(java(p)).alias("pattern")) for c, a, p in fixed.CAPABILITIES))
-    numbered = F.expr(f"transform(split({code_col}, r'\\n'), (line, k) -> named_struct('n', k + 1, 'line', line))")
-    rows = sources.select("artifact_id", F.col(code_col).alias("code"), numbered.alias("lines"), F.explode(specs).alias("s"))
-    rows = rows.select("artifact_id", "s.category", "s.api", F.expr("regexp_count(code, s.pattern)").cast("long").alias("occurrences"), F.expr(f"slice(transform(filter(lines, x -> x.line rlike s.pattern), x -> x.n), 1, {fixed.CAPABILITY_LINES})").alias("lines"))
-    return rows.where("occurrences > 0").withColumn("lines", F.array_join("lines", ","))
+    code = F.col(code_col)
+    some = lambda p: F.greatest(F.lit(False), *(F.contains(code, F.lit(w)) for w in sorted(set(re.findall("[A-Za-z_]{4,}", re.sub(r"\\.", " ", p))))))
+    specs = [F.when(some(p), F.struct(F.lit(c).alias("category"), F.lit(a).alias("api"), F.lit(java(p)).alias("pattern"), count(code, p).alias("occurrences"))) for c, a, p in fixed.CAPABILITIES]
+    rows = sources.select("artifact_id", code.alias("code"), F.filter(F.array(*specs), lambda s: s["occurrences"] > 0).alias("found")).where(F.size("found") > 0)
+    numbered = F.expr(r"transform(split(code, r'\n'), (line, k) -> named_struct('n', k + 1, 'line', line))")
+    rows = rows.select("artifact_id", numbered.alias("lines"), F.explode("found").alias("s"))
+    lines = F.expr(f"slice(transform(filter(lines, x -> x.line rlike s.pattern), x -> x.n), 1, {fixed.CAPABILITY_LINES})")
+    return rows.select("artifact_id", "s.category", "s.api", "s.occurrences", F.array_join(lines, ",").alias("lines"))
 
 
 def urls(sources: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,10 +10,9 @@ from ..operators import inventory
 
 
 def detect(artifacts: DataFrame) -> DataFrame:
-    """Artifacts with their kind and the selected route; one scan, and one shuffle of four short rows an artifact."""
-    counted = C.counts(C.classify(artifacts))
-    route = C.select_route(C.detect(counted))
-    return counted.select("artifact_id", "file_name", "kind", "dialect", "confidence").join(route, "artifact_id")
+    """Artifacts with their kind and the selected route: one scan and no shuffle."""
+    routed = C.with_route(C.counts(C.classify(artifacts)))
+    return routed.select("artifact_id", "file_name", "kind", "dialect", "confidence", "plugin_id", "ambiguous", "first_id", "first_confidence", "margin")
 
 
 def analyze(artifacts: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ _AUDIT = f"""concat('-- LURAPH PAYLOAD x DEVIRTUALIZED REGISTER-LEVEL', {_NL}, '
  'local function f', {_ID}, '(a)', {_NL}, '::L1:: MOVE', {_NL}, '::L2:: MOVE goto L1', {_NL}, '::L3:: goto L2', {_NL}, '::L4:: goto L9', {_NL}, '::L5:: goto L', cast(doc_id % 7 as string), {_NL}, 'end', {_NL},
  'local function g', {_ID}, '(a)', {_NL}, '::L1:: MOVE', {_NL}, case when doc_id % 2 = 0 then '::L1:: VM_FRAGMENT' else '::L6:: goto L4' end, {_NL}, '::L7:: MOVE', {_NL}, '::L8:: goto L7', {_NL}, 'end', {_NL})"""
 
-#: One invented program of each document: calls, comments and strings that must not count, URLs, and by turns what the
-#: classifier and the detectors look for.
+#: One program of each document: calls, comments and strings that must not count, escapes in and out of literals, URLs, by
+#: turns what the classifier and the detectors look for, and the document's whole text as code, in a comment or in a string.
 PROGRAMS = f"""
 select doc_id as artifact_id, concat('f', {_ID}, case when doc_id % 3 = 0 then '.lua' when doc_id % 8 = 1 then '.luau' else '.txt' end) as file_name,
  concat(
@@ -41,6 +41,9 @@ select doc_id as artifact_id, concat('f', {_ID}, case when doc_id % 3 = 0 then '
   case when doc_id % 5 = 0 then {_AUDIT} else '' end,
   case when doc_id % 11 = 0 then concat('MoonSec V3 ', repeat('while n%0x19<0x10 do n=(n+0x1f)%0x1f9; end; ', 40), 's="', repeat(concat({_BS}, '123'), 120), '" getfenv()') else '' end,
   case when doc_id % 13 = 0 then repeat(chr(1), 50) else '' end,
+  'w ', {_BS}, '"', {_api("doc_id + 3")}, '" z', {_NL}, 'e = ', chr(39), 'it', {_BS}, chr(39), 's ', {_api("doc_id + 5")}, {_BS}, {_BS}, chr(39), ' .. ', {_api("doc_id + 13")}, {_NL},
+  'g = [=[ ', {_BS}, '" ]] ', {_api("doc_id + 9")}, {_NL}, ' ]=] --[[ ', {_api("doc_id + 2")}, {_NL}, ' ]] h = o', {_ID}, '.m(o', {_ID}, ', 1)', {_NL},
+  case doc_id % 4 when 0 then concat('--[==[ ', coalesce(text, ''), {_NL}, ']==]') when 1 then concat('t = [[', coalesce(text, ''), ']] ', {_NL}) when 2 then concat('t = "', coalesce(text, ''), {_NL}) else coalesce(text, '') end, {_NL},
   case when doc_id % 17 = 0 then concat('-- protected using Luraph Obfuscator v14.7', {_NL}, 'local V,y=Y([=[LPH@Vabc]=]),Y([==[LPH!xyz]==])', {_NL}) else '' end
  ) as text
 from documents

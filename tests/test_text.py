@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,8 +37,76 @@ def test_mask_keeps_places(spark, text, want):
 
 
 def test_long_strings_do_not_overflow(spark):
-    text = "x = '" + "\\'" * 50_000 + "' y"
-    assert one(spark, text, masked).strip().split() == ["x", "=", "y"]
+    for text in ("x = '" + "\\'" * 500_000 + "' y", 'x = "' + "a\\n" * 500_000 + '" y', "x = [[" + "a]" * 500_000 + "a]] y"):
+        assert one(spark, text, masked).strip().split() == ["x", "=", "y"]
+
+
+def scanned(text):
+    """Masking by a plain scanner."""
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        bracket = lambda k: re.compile(r"\[(=*)\[").match(text, k)
+        long = bracket(at + 2) if text.startswith("--", at) else bracket(at)
+        if long:
+            close = text.find(f"]{long[1]}]", long.end())
+            end = len(text) if close < 0 else close + len(long[1]) + 2
+        elif text.startswith("--", at):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+        elif text[at] in "\"'":
+            end = at + 1
+            while end < len(text) and text[end] != text[at]:
+                end += 2 if text[end] == "\\" else 1
+            end = min(len(text), end + 1)
+        out.append(text[at] if end is None else re.sub(r"[^\r\n]", " ", text[at:end]))
+        at = at + 1 if end is None else end
+    return "".join(out)
+
+
+def test_masking_equals_a_plain_scanner(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["\\", '"', "'", "[", "[[", "]]", "[=[", "]=]", "=", "--", "\n", "\r", "a", "load", " ", "é"]) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    texts += ['x \\"load" z', "[==[ ]] ]=] ]==] a", "--[=[ \\]=] a", "'\\", "[[\\]] a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", masked(F.col("t")).alias("m")).collect()
+    for r in rows:
+        assert r.m == scanned(r.t), r.t
+
+
+def test_boundaries_equal_general_ones(spark):
+    """The shorter looks that java() writes match as two-sided boundaries do."""
+    words = "0x1f load request syn.request debug . getinfo :HttpGet x_load load_ éload L1_2 A1_2b goto L3 MoonSec V3 MoonSec while do local if function ".split()
+    rng = random.Random(2)
+    texts = [("".join(rng.choice([*words, " ", " ", ".", "=", "é", "1", "_"]) for _ in range(rng.randint(1, 12))),) for _ in range(300)]
+    rows = spark.createDataFrame(texts, "t string")
+    patterns = [p for *_, p in fixed.CAPABILITIES] + [p for _, p, _ in fixed.AUDIT_SIGNALS] + [p for _, p in fixed.LUAU_SIGNALS] + [p for *_, p in fixed.COUNTS] + [fixed.STATEMENTS, fixed.REGISTERS, fixed.CALLS, fixed.GOTO]
+    got = rows.select("t", *(count(F.col("t"), p).alias(f"c{k}") for k, p in enumerate(patterns))).collect()
+    for k, p in enumerate(patterns):
+        plain = re.compile(p.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"), re.A)
+        for r in got:
+            assert r[f"c{k}"] == len(plain.findall(r.t)), (p, r.t)
+
+
+def test_self_calls_equal_plain_ones(spark, sf_dir):
+    from bytequarry.plans import catalogue, views
+
+    name, pattern = fixed.HAZARDS[-1]
+    want = {}
+    for r in views.programs(spark, sf_dir).select("artifact_id", "text").collect():
+        n = sum(1 for _ in re.finditer(pattern, scanned(r.text), re.A))
+        if n:
+            want[r.artifact_id] = n
+    got = {r.artifact_id: r.occurrences for r in catalogue.hazard_self_calls(spark, sf_dir).collect()}
+    assert got == want
+    assert len(got) > 50
+
+
+def test_route_in_the_row_equals_the_relation(spark):
+    text = "-- Luraph\nMoonSec V3 " + "n=(n+0x1f)%0x1f9; while x do " * 40
+    counted = C.counts(C.classify(artifacts(spark, [(1, "a.lua", text, False), (2, "b.txt", "plain", False), (3, "c", None, False)])))
+    want = {r.artifact_id: tuple(r)[1:] for r in C.select_route(C.detect(counted)).collect()}
+    got = {r.artifact_id: (r.plugin_id, r.ambiguous, r.first_id, r.first_confidence, r.margin) for r in C.with_route(counted).collect()}
+    assert got == want
 
 
 def test_words_end_at_ascii_boundaries(spark):
