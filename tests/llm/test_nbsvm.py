@@ -58,3 +58,32 @@ def test_solution_is_optimal():
     objective = lambda v: v @ v / 2 + cost @ np.maximum(0, 1 - y * (x @ v))
     best = objective(w)
     assert all(objective(w + rng.normal(0, 1e-2, 21)) > best - 1e-4 for _ in range(300))
+
+
+def test_counts_and_scores_equal_plain_ones(spark):
+    """Log-count ratios from plain counts over all training rows, and every score from the model's numbers one by one."""
+    import math
+
+    rows = corpus(1)
+    table = docs(spark, rows + awkward())
+    model = nbsvm.fit(docs(spark, rows).selectExpr("text", "doc_id", "int(doc_id % 3 > 0) as label").repartition(5))
+
+    def plain(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        (found,) = nbsvm.features(data, np.array([0, len(data)]))
+        return found.tolist()
+
+    seen, met = [0, 0], {}
+    for i, text, _ in rows:
+        y = int(i % 3 > 0)
+        seen[y] += 1
+        for f in plain(text):
+            met.setdefault(f, [0, 0])[y] += 1
+    ratio = lambda f: math.log(((met.get(f, (0, 0))[1] + 1) / (seen[1] + 2)) / ((met.get(f, (0, 0))[0] + 1) / (seen[0] + 2)))
+    assert all(abs(model.scale2[f] - ratio(f) ** 2) < 1e-9 for f in range(0, 1 << nbsvm.FEATURE_BITS, 7))
+    assert all(abs(model.scale2[f] - ratio(f) ** 2) < 1e-9 for f in met)
+    for r in table.select("text", nbsvm.score(table, model).alias("s")).collect():
+        found = plain(r.text)
+        norm = math.sqrt(sum(ratio(f) ** 2 for f in found))
+        margin = sum(model.weight[f] for f in found) / max(norm, 1e-9) + model.bias
+        assert abs(r.s - 1 / (1 + math.exp(-max(-30, min(30, model.slope * margin + model.offset))))) < 1e-4
