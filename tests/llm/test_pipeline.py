@@ -6,6 +6,7 @@ import corpus_pipeline
 from bytequarry.llm import pii
 from bytequarry.llm.queries import QUERIES
 from tests.llm.test_neardup import brute
+from tests.llm.test_pii import plain_bootstrap
 from tests.llm.test_tokens import plain  # noqa: F401
 
 
@@ -25,9 +26,13 @@ def test_stages_against_plain_versions(spark, sf_dir, plain):  # noqa: F811
     group = {i: g for i, _, g in brute([(r.doc_id, r.text, None) for r in b], 5)}
     blank = {r.doc_id for r in b if not re.search(r"[^\x20\x09-\x0D]", r.text or "")}
     assert sorted(r.doc_id for r in unique) == sorted(i for i, g in group.items() if i == g or i in blank)
+    adopted, _ = plain_bootstrap([r.text for r in c])
+    sizes = set(range(1, 20))
     for old, new in zip(sorted(c), sorted(masked)):
         assert old.doc_id == new.doc_id
-        assert new.text == pii._masked(old.text, [])
+        places = pii.occurrences(old.text, pii.base_spans(old.text), sizes)
+        added = [{"kind": adopted[old.text[x:y]], "start": x, "end": y} for x, y, short in places if not short and old.text[x:y] in adopted]
+        assert new.text == pii._masked(old.text, added)
         assert new.n_chars == len(new.text)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert abs(sum(size(r.text) for r in mixed) - sum(size(r.text) for r in d)) < 0.1 * sum(size(r.text) for r in d)
