@@ -247,3 +247,22 @@ LUA51 = (
 ).split()
 LUA51_ABX = [1, 5, 7, 36]
 LUA51_ASBX = [22, 31, 32]
+
+# Unresolved opcodes of the record machine that keep state between instructions.
+MICRO_OPCODES = [3, 7, 32, 38, 39, 52, 55, 56, 61, 109, 141, 151, 174, 175, 184, 206, 211, 214, 223, 237, 241, 243, 246, 275, 280]
+
+# Buffer functions that a loader may use.
+BUFFER_APIS = (
+    "fromstring len readi8 readu8 readi16 readu16 readi32 readu32 readf32 readf64 writei8 writeu8 writei16 writeu16 writei32 writeu32 writef32 writef64"
+).split()
+METHODS_REPORTED = 30
+
+# Readable strings of a payload: signs kept, strings reported, least letters and readable share, points.
+STRING_CHARS, STRING_VALUE_CHARS, STRINGS_REPORTED = 1024, 240, 160
+STRING_LETTERS, STRING_SHARE = 3, 0.55
+INDICATOR_POINTS, SHARE_POINTS, LENGTH_POINTS = 10_000, 1_000, 300
+READABLE = r"[A-Za-z0-9 _.:/()\[\]{}-]"
+
+# Media types of inputs, and the share of printable signs from which on text counts as source.
+MEDIA_SOURCE, MEDIA_BYTES, PRINTABLE_SHARE = "text/x-lua; charset=utf-8", "application/octet-stream", 0.97
+LUA51_SIGNATURE = "1B4C756151"

@@ -111,3 +111,24 @@ def printable_runs(artifacts: DataFrame, least: int = 4) -> DataFrame:
     hits = F.array_sort(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in fixed.INDICATORS))))
     longest = F.coalesce(F.array_max(F.transform("runs", F.length)), F.lit(0))
     return found.select("artifact_id", F.size("runs").cast("long").alias("runs"), longest.cast("long").alias("longest"), F.array_join(hits, ",").alias("indicators"))
+
+
+def readable_strings(artifacts: DataFrame, k: int = fixed.STRINGS_REPORTED) -> DataFrame:
+    """(artifact_id, value, score, rank): the printable runs of each artifact that say most, k at most.
+
+    A run counts if it holds an indicator, or enough letters and readable signs. Equal values count once, with their best
+    score; values stand in order of code points among equals. All runs are candidates.
+    """
+    low = F.lower("run")
+    matched = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in fixed.INDICATORS), F.lit(0))
+    letters, readable = (lambda c: F.regexp_count(c, F.lit("[A-Za-z]"))), (lambda c: F.regexp_count(c, F.lit(fixed.READABLE)))
+    runs = artifacts.select("artifact_id", F.explode(F.regexp_extract_all("text", F.lit("[ -~]{4,}"), F.lit(0))).alias("run"))
+    runs = runs.select("artifact_id", F.substring("run", 1, fixed.STRING_CHARS).alias("run")).withColumn("matched", matched)
+    runs = runs.where((F.col("matched") > 0) | ((letters(F.col("run")) >= fixed.STRING_LETTERS) & (readable(F.col("run")) / F.length("run") >= fixed.STRING_SHARE)))
+    value = F.substring("run", 1, fixed.STRING_VALUE_CHARS)
+    runs = runs.select("artifact_id", value.alias("value"), "matched").groupBy("artifact_id", "value").agg(F.max("matched").alias("matched"))
+    v = F.col("value")
+    score = F.col("matched") * fixed.INDICATOR_POINTS + F.round(readable(v) / F.length(v) * fixed.SHARE_POINTS) + F.least(F.lit(fixed.LENGTH_POINTS), F.length(v)) + letters(v)
+    order = Window.partitionBy("artifact_id").orderBy(F.col("score").desc(), "value")
+    scored = runs.select("artifact_id", "value", score.cast("long").alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -18,13 +18,15 @@ def capabilities(sources: DataFrame, code_col: str = "code") -> DataFrame:
     that all its matches hold is in the code; what is found makes a row, and only
     then are the code's lines looked at. No pattern reaches over a line's end but
     through white space, so counts are of the whole code. Nothing is shuffled.
+    Rows without a find go only after the explode: a filter before it would move
+    below the projection and mask the text again for each spec.
     """
     code = F.col(code_col)
     some = lambda p: F.greatest(F.lit(False), *(F.contains(code, F.lit(w)) for w in sorted(set(re.findall("[A-Za-z_]{4,}", re.sub(r"\\.", " ", p))))))
     specs = [F.when(some(p), F.struct(F.lit(c).alias("category"), F.lit(a).alias("api"), F.lit(java(p)).alias("pattern"), count(code, p).alias("occurrences"))) for c, a, p in fixed.CAPABILITIES]
-    rows = sources.select("artifact_id", code.alias("code"), F.filter(F.array(*specs), lambda s: s["occurrences"] > 0).alias("found")).where(F.size("found") > 0)
-    numbered = F.expr(r"transform(split(code, r'\n'), (line, k) -> named_struct('n', k + 1, 'line', line))")
-    rows = rows.select("artifact_id", numbered.alias("lines"), F.explode("found").alias("s"))
+    rows = sources.select("artifact_id", code.alias("code"), F.filter(F.array(*specs), lambda s: s["occurrences"] > 0).alias("found"))
+    numbered = F.expr(r"case when size(found) > 0 then transform(split(code, r'\n'), (line, k) -> named_struct('n', k + 1, 'line', line)) end")
+    rows = rows.select("artifact_id", numbered.alias("lines"), F.explode_outer("found").alias("s")).where("s is not null")
     lines = F.expr(f"slice(transform(filter(lines, x -> x.line rlike s.pattern), x -> x.n), 1, {fixed.CAPABILITY_LINES})")
     return rows.select("artifact_id", "s.category", "s.api", "s.occurrences", F.array_join(lines, ",").alias("lines"))
 
@@ -51,3 +53,26 @@ def budget_prefix(sources: DataFrame, budget: int, text_col: str = "text") -> Da
     order = Window.partitionBy("artifact_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("running", F.sum(F.octet_length("text") + 1).over(order))
     return lines.where(F.col("running") <= budget).select("artifact_id", (F.col("at") + 1).cast("long").alias("line"), "running")
+
+
+def loader_facts(classified: DataFrame) -> DataFrame:
+    """What a loader's masked code declares: functions, named handlers and library aliases in order, entry point, distinct keys of two digits and more, buffer functions."""
+    code = F.col("code")
+    every = lambda p, k: F.regexp_extract_all(code, F.lit(java(p)), F.lit(k))
+    library = r"(?:math|string|bit32|buffer|table|coroutine)(?:\s*\.\s*[A-Za-z_]\w*)?"
+    alias = rf"\b([A-Za-z_]\w*)\s*=\s*({library})"
+    names, values = every(alias, 1), F.transform(every(alias, 2), lambda v: F.regexp_replace(v, r"\s+", ""))
+    aliases = F.zip_with(names, values, lambda n, v: F.concat(n, F.lit(" -> "), v))
+    api = F.array_compact(F.array(*(F.when(code.rlike(java(rf"\b{a}\b")), F.lit(a)) for a in fixed.BUFFER_APIS)))
+    return classified.select(
+        "artifact_id", count(code, r"\bfunction\b").alias("functions"), F.array_join(F.array_distinct(every(r"\b([A-Za-z_]\w*)\s*=\s*function\s*\(", 1)), ",").alias("handlers"),
+        F.nullif(F.regexp_extract(code, r"\}\)\s*:\s*([A-Za-z_]\w*)\s*\(\s*\)\s*;?\s*\z", 1), F.lit("")).alias("entrypoint"), F.array_join(aliases, ",").alias("aliases"),
+        F.size(F.array_distinct(every(r"\[\s*(\d{2,})\s*\]", 1))).cast("long").alias("numeric_keys"), F.array_join(api, ",").alias("buffer_apis"),
+    )
+
+
+def called_methods(classified: DataFrame, k: int = fixed.METHODS_REPORTED) -> DataFrame:
+    """(artifact_id, method, n, rank): the methods that each artifact's masked code calls most, by name among equals."""
+    calls = classified.select("artifact_id", F.explode_outer(F.regexp_extract_all("code", F.lit(r":\s*([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("method")).where("method is not null")
+    order = Window.partitionBy("artifact_id").orderBy(F.col("n").desc(), "method")
+    return calls.groupBy("artifact_id", "method").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -139,3 +139,82 @@ def running_totals(sizes: DataFrame, limit: int, group: str = "section") -> Data
     """(section, prototype, instructions, running, within): running totals in order against a limit, within each section."""
     order = Window.partitionBy(group).orderBy("prototype").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return sizes.withColumn("running", F.sum("instructions").over(order)).withColumn("within", (F.col("running") <= limit).cast("int"))
+
+
+def opcode_coverage(instructions: DataFrame, section: Column, selector: Column) -> DataFrame:
+    """(section, status, raw_opcode, n, micro): how often each opcode is proven, protocol or unresolved in a section.
+
+    Opcodes have their meaning at selector 0 only; at others all are unresolved. micro counts unresolved instructions
+    that keep state. Counts are summed before they move, and a section has as many rows as opcodes.
+    """
+    known = opcode_dimension(instructions.sparkSession).select("raw_opcode", F.col("status").alias("_status"))
+    rows = instructions.select(section.alias("section"), selector.alias("selector"), "raw_opcode").join(F.broadcast(known), "raw_opcode", "left")
+    status = F.when((F.col("selector") == 0) & F.col("_status").isNotNull(), F.col("_status")).otherwise("unresolved")
+    counted = rows.select("section", status.alias("status"), "raw_opcode").groupBy("section", "status", "raw_opcode").agg(F.count("*").alias("n"))
+    return counted.withColumn("micro", F.when((F.col("status") == "unresolved") & F.col("raw_opcode").isin(fixed.MICRO_OPCODES), F.col("n")).otherwise(F.lit(0)))
+
+
+def coverage_manifest(opcodes: DataFrame) -> DataFrame:
+    """(section, total, proven, protocol, unresolved, micro, proven_ratio, explained_ratio, *_opcodes) of each section and (null) of all.
+
+    The last three are JSON objects of counts by opcode, in order of opcodes.
+    """
+    both = opcodes.unionByName(opcodes.groupBy("status", "raw_opcode").agg(F.sum("n").alias("n"), F.sum("micro").alias("micro")).withColumn("section", F.lit(None).cast(opcodes.schema["section"].dataType)))
+    of = lambda s, c="n": F.coalesce(F.sum(F.when(F.col("status") == s, F.col(c))), F.lit(0))
+    pairs = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("raw_opcode", "n"))))
+    kinds = ("proven", "protocol", "unresolved")
+    rows = both.groupBy("section").agg(F.sum("n").alias("total"), *(of(k).alias(k) for k in kinds), F.sum("micro").alias("micro"), *(pairs(k).alias(f"{k}_opcodes") for k in kinds))
+    entry = lambda p: F.concat(F.lit('"'), p["raw_opcode"].cast("string"), F.lit('":'), p["n"].cast("string"))
+    as_json = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(c, entry), ","), F.lit("}")).alias(c)
+    ratios = [F.round(F.col("proven") / F.col("total"), 6).alias("proven_ratio"), F.round((F.col("proven") + F.col("protocol")) / F.col("total"), 6).alias("explained_ratio")]
+    return rows.select("section", "total", *kinds, "micro", *ratios, *(as_json(f"{k}_opcodes") for k in kinds))
+
+
+def live_coverage(instructions: DataFrame, blocks: DataFrame, reached: DataFrame) -> DataFrame:
+    """(prototype, total, reachable, proven, protocol, unresolved, proven_ratio, explained_ratio) over instructions of reached blocks.
+
+    Reached blocks become their places, so that instructions are joined by key, once. Ratios are of what is reached, or of all
+    instructions of a prototype of which nothing is.
+    """
+    places = blocks.join(reached.select("prototype", "block_start"), ["prototype", "block_start"]).select("prototype", F.explode(F.sequence("block_start", "block_end")).alias("pc"), F.lit(1).alias("live"))
+    known = opcode_dimension(instructions.sparkSession).select("raw_opcode", "status")
+    rows = instructions.select("prototype", "pc", "raw_opcode").join(F.broadcast(known), "raw_opcode", "left").join(places, ["prototype", "pc"], "left")
+    live = F.col("live") == 1
+    out = rows.groupBy("prototype").agg(
+        F.count("*").alias("total"), F.count_if(live).alias("reachable"), F.count_if(live & (F.col("status") == "proven")).alias("proven"),
+        F.count_if(live & (F.col("status") == "protocol")).alias("protocol"), F.count_if(live & F.col("status").isNull()).alias("unresolved"),
+    )
+    least = F.when(F.col("reachable") == 0, F.col("total")).otherwise(F.col("reachable"))
+    return out.select("*", F.round(F.col("proven") / least, 6).alias("proven_ratio"), F.round((F.col("proven") + F.col("protocol")) / least, 6).alias("explained_ratio"))
+
+
+def runs_of(instructions: DataFrame, opcodes: list[int]) -> DataFrame:
+    """(prototype, pc): places at which the given opcodes follow each other; one window over a prototype's rows."""
+    order = Window.partitionBy("prototype").orderBy("pc")
+    columns = [F.col("raw_opcode") if k == 0 else F.lead("raw_opcode", k).over(order) for k in range(len(opcodes))]
+    rows = instructions.select("prototype", "pc", *(c.alias(f"_{k}") for k, c in enumerate(columns)))
+    for k, o in enumerate(opcodes):
+        rows = rows.where(F.col(f"_{k}") == o)
+    return rows.select("prototype", "pc")
+
+
+def root_first(prototypes: DataFrame, root: Column) -> DataFrame:
+    """Prototypes (section, prototype) with place: the root first, then in order of numbers, from 1 within each section."""
+    order = Window.partitionBy("section").orderBy(F.col("root").desc(), "prototype")
+    return prototypes.withColumn("root", root.cast("int")).withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def coherent(sections: DataFrame) -> DataFrame:
+    """Sections (prototypes, instructions, unresolved, root) that make sense: not empty, no reference unresolved, the root among the prototypes."""
+    return sections.where((F.col("prototypes") > 0) & (F.col("instructions") > 0) & (F.col("unresolved") == 0) & F.col("root").between(1, F.col("prototypes")))
+
+
+def broken_invariants(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, want, got): expected values (name, value) that the observed ones lack or contradict."""
+    rows = expected.select("name", F.col("value").alias("want")).join(observed.select("name", F.col("value").alias("got")), "name", "left")
+    return rows.where(~F.col("want").eqNullSafe(F.col("got")))
+
+
+def known_profiles(artifacts: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Artifacts of which loader_sha and payload_sha are pinned together."""
+    return artifacts.join(pinned.select("loader_sha", "payload_sha"), ["loader_sha", "payload_sha"], "left_semi")

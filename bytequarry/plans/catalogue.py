@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..operators import audit, bytestats, chunk, graph, inventory, records, streams
+from ..functions import arithmetic, fixed
+from ..operators import audit, bytestats, chunk, exports, graph, inventory, records, streams, validate
 from ..operators import classify as C
 from . import routes, views
 
@@ -546,3 +546,270 @@ def uleb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("word") * 1009
     rows = _words(spark, sf_dir).select("l_orderkey", "l_linenumber", value.alias("value"), chunk.uleb_bytes(value).alias("bytes"))
     return rows.select("l_orderkey", "l_linenumber", "value", chunk.uleb_value(F.col("bytes")).alias("back"), F.size("bytes").alias("n_bytes"))
+
+
+# --- Lua 5.1 prototypes ------------------------------------------------------------------------------
+
+_HEADS = f"protos as ({views.PROTOTYPES}), consts as (select prototype, unnest(range(n_constants)) as index from protos), kids as (select prototype, index, (prototype + index) % 3 as upvalues from (select prototype, unnest(range(n_children)) as index from protos))"
+#: Data words are found one after the other here; the operator looks at runs.
+_CODE = f"""w as (select *, word % 64 as op, (word // 64) % 256 as a, (word // 16384) % 512 as c, (word // 8388608) % 512 as b, (word // 16384) % 262144 as bx from ({views.WORDS})),
+ d as (select *, false as is_data from w where pc = 0 union all select w.*, d.op = 34 and d.c = 0 and not d.is_data from d join w on w.prototype = d.prototype and w.pc = d.pc + 1),
+ r as (select d.*, pc + 1 + bx - 131071 as place, max_stack, upvalues, n_constants, n_children, n_instructions from d join protos using (prototype) where not is_data)"""
+_WORD_CHECKS = [
+    ("op > 37", "LUA51_INVALID_OPCODE", "opcode"),
+    ("op <= 37 and op not in (22, 23, 24, 25) and a >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "A"),
+    ("(op in (0, 3, 6, 11, 18, 19, 20, 21, 27) or op in (9, 12, 13, 14, 15, 16, 17, 23, 24, 25) and b < 256) and b >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "B"),
+    ("op in (9, 12, 13, 14, 15, 16, 17, 23, 24, 25) and b >= 256 and b - 256 >= n_constants", "LUA51_CONSTANT_OUT_OF_RANGE", "B"),
+    ("(op = 21 or op in (6, 9, 11, 12, 13, 14, 15, 16, 17, 23, 24, 25) and c < 256) and c >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "C"),
+    ("op in (6, 9, 11, 12, 13, 14, 15, 16, 17, 23, 24, 25) and c >= 256 and c - 256 >= n_constants", "LUA51_CONSTANT_OUT_OF_RANGE", "C"),
+    ("op in (4, 8) and b >= upvalues", "LUA51_UPVALUE_OUT_OF_RANGE", "B"),
+    ("op = 21 and b > c", "LUA51_INVALID_CONCAT_RANGE", "B..C"),
+    ("op = 3 and a > b", "LUA51_INVALID_LOADNIL_RANGE", "A..B"),
+    ("op = 11 and a + 1 >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "A+1"),
+    ("op in (31, 32) and a + 3 >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "A+3"),
+    ("op = 33 and a + 2 + c >= max_stack", "LUA51_REGISTER_OUT_OF_RANGE", "A+2+C"),
+    ("op in (1, 5, 7) and bx >= n_constants", "LUA51_CONSTANT_OUT_OF_RANGE", "Bx"),
+    ("op in (22, 31, 32) and place not between 0 and n_instructions - 1", "LUA51_BRANCH_OUT_OF_RANGE", "sBx"),
+    ("op = 34 and c = 0 and pc + 1 >= n_instructions", "LUA51_MISSING_SETLIST_EXTRA", "C"),
+    ("op = 36 and bx >= n_children", "LUA51_PROTOTYPE_OUT_OF_RANGE", "Bx"),
+]
+
+
+def _lua(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    protos = views.prototypes(spark, sf_dir)
+    constants = views.parts_of(protos, "n_constants", "index % 3 = 0 as is_string")
+    children = views.parts_of(protos, "n_children", "(prototype + index) % 3 as upvalues")
+    return validate.decoded(views.words(spark, sf_dir)), protos.drop("chunk"), constants, children
+
+
+@query(f"with recursive {_HEADS}, {_CODE} select prototype, pc, is_data::int as is_data from d")
+def list_data_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lua(spark, sf_dir)[0].select("prototype", "pc", F.col("is_data").cast("int").alias("is_data"))
+
+
+@query(f"with recursive {_HEADS}, {_CODE} select r.prototype, pc as owner_pc, bx as child, u as upvalue, pc + 1 + u as pc from (select r.prototype, pc, bx, unnest(range(k.upvalues)) as u from r join kids k on k.prototype = r.prototype and k.index = bx where op = 36) r")
+def closure_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, _, _, children = _lua(spark, sf_dir)
+    return validate.bindings(code, children)
+
+
+@query(f"with recursive {_HEADS}, {_CODE} " + " union all ".join(f"select prototype, pc, '{code}' as code, '{operand}' as operand, 'error' as severity from r where {cond}" for cond, code, operand in _WORD_CHECKS))
+def lua51_word_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, protos, _, _ = _lua(spark, sf_dir)
+    return validate.severity(validate.words(code, protos))
+
+
+@query(f"""with recursive {_HEADS}, {_CODE}, bound as (select o.*, d.op as bop, d.b as bb, d.is_data as bdata from (select prototype, pc as owner_pc, max_stack, upvalues, n_instructions, pc + 1 + unnest(range(k)) as spot from (select r.*, k.upvalues as k from r join kids k on k.prototype = r.prototype and k.index = bx where op = 36)) o left join d on d.prototype = o.prototype and d.pc = o.spot)
+ select prototype, pc, 'LUA51_GLOBAL_NAME_NOT_STRING' as code, 'Bx' as operand from r where op in (5, 7) and bx < n_constants and bx % 3 <> 0
+ union all select r.prototype, r.pc, 'LUA51_BRANCH_TO_DATA_WORD', 'sBx' from r join d t on t.prototype = r.prototype and t.pc = r.place and t.is_data where r.op in (22, 31, 32)
+ union all select distinct prototype, owner_pc, 'LUA51_MISSING_CLOSURE_BINDING', 'pc' from bound where bop is null
+ union all select prototype, spot, 'LUA51_INVALID_CLOSURE_BINDING', 'pc' from bound where bop is not null and (bdata or bop not in (0, 4))
+ union all select prototype, spot, 'LUA51_REGISTER_OUT_OF_RANGE', 'B' from bound where not bdata and bop = 0 and bb >= max_stack
+ union all select prototype, spot, 'LUA51_UPVALUE_OUT_OF_RANGE', 'B' from bound where not bdata and bop = 4 and bb >= upvalues""")
+def lua51_link_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.links(*_lua(spark, sf_dir))
+
+
+_LOCALS = "select l_orderkey as prototype, cast(l_linenumber as bigint) as index, case when l_tax > 0 then l_returnflag end as name, cast(l_linenumber - 2 as bigint) as start_pc, cast(l_quantity as bigint) % 8 as end_pc from lineitem"
+
+
+@query(f"""with {_HEADS}, names as (select prototype, index, case when (prototype + index) % 7 > 0 then 'u' end as name from (select prototype, unnest(range(n_upvalue_names)) as index from protos)), v as (select * from ({_LOCALS}) join protos using (prototype))
+ select prototype, null::bigint as pc, code, operand, case when code like '%DEBUG%' then 'warning' else 'error' end as severity from (select prototype, 'LUA51_DEBUG_LINE_COUNT_MISMATCH' as code, 'lines' as operand from protos where n_lines not in (0, n_instructions)
+ union all select prototype, 'LUA51_DEBUG_UPVALUE_COUNT_MISMATCH', 'upvalues' from protos where n_upvalue_names not in (0, upvalues) union all select prototype, 'LUA51_NULL_LOCAL_NAME', 'local' from v where name is null
+ union all select prototype, 'LUA51_INVALID_LOCAL_RANGE', 'local' from v where not (start_pc >= 0 and end_pc between start_pc and n_instructions) union all select prototype, 'LUA51_NULL_UPVALUE_NAME', 'upvalue' from names where name is null)""")
+def lua51_header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    protos = views.prototypes(spark, sf_dir)
+    variables = spark.sql(_LOCALS.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    names = views.parts_of(protos, "n_upvalue_names", "case when (prototype + index) % 7 > 0 then 'u' end as name")
+    return validate.severity(validate.headers(protos, variables, names))
+
+
+@query(f"""with {_HEADS} select chunk, count(*) as prototypes, sum(n_instructions)::bigint as instructions, sum(n_lines)::bigint as lines, sum(n_upvalue_names)::bigint as upvalue_names, sum(n_constants)::bigint as constants,
+ coalesce((select sum(index)::bigint from consts c join protos q using (prototype) where q.chunk = p.chunk and index % 3 = 0), 0) as string_bytes, (select count(*) from lineitem join protos q on q.prototype = l_orderkey where q.chunk = p.chunk) as locals from protos p group by chunk""")
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    protos = views.prototypes(spark, sf_dir)
+    constants = views.parts_of(protos, "n_constants", "chunk", "case when index % 3 = 0 then index end as n_bytes")
+    variables = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("prototype")).join(protos.select("prototype", "chunk"), "prototype")
+    return validate.chunk_statistics(protos, constants, variables)
+
+
+# --- coverage, order, sequences ------------------------------------------------------------------------
+
+_SELECTED = "counted as (select section, case when selector = 0 then coalesce(status, 'unresolved') else 'unresolved' end as status, raw_opcode, count(*) as n from (select prototype % 5 as section, prototype % 3 as selector, raw_opcode, status from ins left join dim using (raw_opcode)) group by all)"
+_MICRO = f"case when status = 'unresolved' and raw_opcode in {tuple(fixed.MICRO_OPCODES)} then n else 0 end"
+
+
+def _opcode_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.opcode_coverage(views.instructions(spark, sf_dir), F.col("prototype") % 5, F.col("prototype") % 3)
+
+
+@query(f"with {_INS}, {_DIM}, {_SELECTED} select *, {_MICRO} as micro from counted")
+def opcode_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _opcode_coverage(spark, sf_dir)
+
+
+_pairs = lambda s: f"""'{{' || coalesce(string_agg('"' || raw_opcode || '":' || n, ',' order by raw_opcode) filter (status = '{s}'), '') || '}}' as {s}_opcodes"""
+_part = lambda s: f"coalesce(sum(n) filter (status = '{s}'), 0)::bigint as {s}"
+
+
+@query(f"""with {_INS}, {_DIM}, {_SELECTED}, both_ as (select * from counted union all select null, status, raw_opcode, sum(n)::bigint from counted group by all),
+ g as (select section, sum(n)::bigint as total, {_part("proven")}, {_part("protocol")}, {_part("unresolved")}, sum({_MICRO})::bigint as micro, {_pairs("proven")}, {_pairs("protocol")}, {_pairs("unresolved")} from both_ group by section)
+ select *, round(proven / total, 6) as proven_ratio, round((proven + protocol) / total, 6) as explained_ratio from g""")
+def coverage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.coverage_manifest(_opcode_coverage(spark, sf_dir))
+
+
+@query(f"""with recursive {_EDGES}, reached as (select prototype, 1::bigint as block_start from blocks where block_start = 1 union select e.prototype, e.dst from reached r join edges e on e.prototype = r.prototype and e.src = r.block_start),
+ rows_ as (select i.prototype, status, exists (select 1 from reached r join blocks b using (prototype, block_start) where r.prototype = i.prototype and i.pc between block_start and block_end) as live from ins i left join dim using (raw_opcode)),
+ g as (select prototype, count(*) as total, count(*) filter (live) as reachable, count(*) filter (live and status = 'proven') as proven, count(*) filter (live and status = 'protocol') as protocol, count(*) filter (live and status is null) as unresolved from rows_ group by all)
+ select *, round(proven / (case when reachable = 0 then total else reachable end), 6) as proven_ratio, round((proven + protocol) / (case when reachable = 0 then total else reachable end), 6) as explained_ratio from g""")
+def live_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, blocks = _graph(spark, sf_dir)
+    return records.live_coverage(views.instructions(spark, sf_dir), blocks, graph.reachable(edges, blocks))
+
+
+@query(f"with {_INS} select a.prototype, a.pc from ins a join ins b on b.prototype = a.prototype and b.pc = a.pc + 1 where a.raw_opcode = 301 and b.raw_opcode = 21")
+def opcode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.runs_of(views.instructions(spark, sf_dir), [301, 21])
+
+
+@query("select section, prototype, root, row_number() over (partition by section order by root desc, prototype) as place from (select o_custkey as section, o_orderkey as prototype, (o_orderkey % 7 = 3)::int as root from orders)")
+def root_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("prototype"))
+    return records.root_first(rows, F.col("prototype") % 7 == 3)
+
+
+_SECTIONS = "select o_custkey as section, count(*) as prototypes, sum(o_orderkey % 4) as instructions, count(*) filter (where o_orderkey % 11 = 0) as unresolved, o_custkey % 30 as root from orders group by o_custkey"
+
+
+@query(f"select * replace (instructions::bigint as instructions) from ({_SECTIONS}) where prototypes > 0 and instructions > 0 and unresolved = 0 and root >= 1 and root <= prototypes")
+def coherent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.coherent(spark.sql(_SECTIONS.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet")))
+
+
+@query(f"with {_INS} select raw_opcode::varchar as name, 100 as want, n as got from (select raw_opcode, count(*) as n from ins group by all) where n <> 100")
+def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opcodes that don't occur a hundred times."""
+    observed = records.histogram(views.instructions(spark, sf_dir)).select(F.col("raw_opcode").cast("string").alias("name"), F.col("n").alias("value"))
+    return records.broken_invariants(observed, observed.select("name", F.lit(100).cast("long").alias("value")))
+
+
+@query("select doc_id as artifact_id, sha256(text) as loader_sha, sha256(source) as payload_sha from documents d where exists (select 1 from labels l join documents p using (doc_id) where l.quality = 1 and p.text = d.text and p.source = d.source)")
+def known_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("loader_sha"), F.sha2("source", 256).alias("payload_sha"))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("artifact_id"))
+    return records.known_profiles(docs, docs.join(good, "artifact_id", "left_semi"))
+
+
+# --- exports --------------------------------------------------------------------------------------------
+
+_groups = lambda v: f"greatest(1, ceil(length(ltrim(bin({v}), '0')) / 7.0))::bigint"
+_FOUR = ("word_a", "raw_opcode", "word_n", "word_q")
+
+
+@query(f"""with {_INS}, g as (select prototype % 3 as section, *, {", ".join(f"{_groups(w)} as n_{w}" for w in _FOUR)} from ins),
+ s as (select *, (sum({" + ".join(f"n_{w}" for w in _FOUR)}) over (partition by section, prototype order by pc) - ({" + ".join(f"n_{w}" for w in _FOUR)}))::bigint as start from g)
+ select section, prototype, pc, '[' || concat_ws(',', section, prototype, pc, start, {", ".join(_FOUR)}, {", ".join(f"n_{w}" for w in _FOUR)}) || ']' as line from s""")
+def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.instruction_lines(views.instructions(spark, sf_dir), F.col("prototype") % 3)
+
+
+@query(f"""with {_HEADS}, caps as (select l_orderkey as prototype, list([index, l_suppkey, l_suppkey % 4, l_suppkey // 4] order by index, l_suppkey) as captures from (select l_orderkey, l_linenumber::bigint as index, l_suppkey from lineitem) group by all)
+ select chunk as section, prototype, to_json({{'section': chunk, 'prototype': prototype, 'instructions': n_instructions, 'selector': prototype % 2, 'max_stack': max_stack, 'root': prototype % 9 = 1, 'captures': coalesce(captures, [])}})::varchar as line from protos left join caps using (prototype)""")
+def prototype_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    protos = views.prototypes(spark, sf_dir).select(F.col("chunk").alias("section"), "prototype", F.col("n_instructions").alias("instructions"), (F.col("prototype") % 2).alias("selector"), "max_stack")
+    captures = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("prototype"), F.col("l_linenumber").cast("long").alias("index"), F.col("l_suppkey").alias("encoded"))
+    return exports.prototype_lines(protos, captures, F.col("prototype") % 9 == 1)
+
+
+_CONSTANTS = """select p_partkey % 4 as section, p_partkey as index, case p_partkey % 3 when 0 then 'string' when 1 then 'integer' else 'boolean' end as kind,
+ case p_partkey % 3 when 0 then p_name when 1 then cast(p_size as string) else case when p_size > 20 then 'true' else 'false' end end as value from part"""
+
+
+@query(f"""select section, index, (case kind when 'string' then to_json({{'section': section, 'index': index, 'kind': kind, 'byteLength': strlen(value), 'utf8Text': value, 'encodedBase64': base64(encode(value))}})
+ when 'boolean' then to_json({{'section': section, 'index': index, 'kind': kind, 'value': value = 'true'}}) else to_json({{'section': section, 'index': index, 'kind': kind, 'exactDecimal': value}}) end)::varchar as line from ({_CONSTANTS})""")
+def constant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.constant_lines(spark.sql(_CONSTANTS.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet")))
+
+
+_NAMED = """select doc_id as artifact_id, concat(source, case when doc_id % 6 = 0 then '.LUA' when doc_id % 6 = 1 then '.luau' when doc_id % 6 = 2 then '.exe' else '' end) as file_name,
+ case when doc_id % 2 = 0 then 'luau-source' else 'lua-source' end as kind, case when doc_id % 5 = 0 then 'register-pseudocode' when doc_id % 5 = 1 then 'vm-loader' when doc_id % 5 = 2 then 'source-code' end as readable from documents"""
+
+
+@query(f"""with n as (select *, lower(coalesce(nullif(regexp_extract(file_name, '\\.([^./]+)$', 1), ''), '')) as ending from ({_NAMED}))
+ select artifact_id, 'original' as role, 'original.' || case when ending in ('lua', 'luau', 'luac', 'txt') then ending else 'bin' end as file_name from n
+ union all select artifact_id, 'readable', case when readable = 'register-pseudocode' then 'readable-ir.txt' when readable = 'vm-loader' then 'readable-loader.lua' when kind = 'luau-source' then 'readable.luau' else 'readable.lua' end from n where readable is not null""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.output_names(spark.sql(_NAMED.replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_CONTROLS = "regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+
+
+@query(f"""select artifact_id, case when text <> '' and length({_CONTROLS}) / length(text) > 0.97 then '{fixed.MEDIA_SOURCE}' else '{fixed.MEDIA_BYTES}' end as media_type,
+ trim(regexp_replace(lower(substr(hex(encode(text)), 1, 128)), '(..)', '\\1 ', 'g')) as preview, (hex(encode(text)) like '{fixed.LUA51_SIGNATURE}%')::int as is_lua51 from ({views.PROGRAMS})""")
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.col("text").cast("binary")
+    return views.programs(spark, sf_dir).select("artifact_id", exports.media_type(F.col("text")).alias("media_type"), exports.hex_preview(content).alias("preview"), exports.is_lua51(content).cast("int").alias("is_lua51"))
+
+
+_DIAGNOSTICS = "select o_custkey as artifact_id, case when o_orderkey % 3 = 0 then 'info' when o_orderkey % 3 = 1 then 'warning' else 'error' end as severity, o_orderstatus as code, o_orderpriority as message from orders"
+
+
+@query(f"""select artifact_id, '# Warnings' || chr(10) || chr(10) || coalesce(string_agg('- **' || upper(severity) || ' - ' || code || '**: ' || message, chr(10) order by code, message, severity) filter (severity <> 'info'), 'No warnings or errors were reported.') || chr(10) as body
+ from ({_DIAGNOSTICS}) group by artifact_id""")
+def diagnostics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.diagnostics_report(spark.sql(_DIAGNOSTICS.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet")))
+
+
+@query()
+def behavior_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts have queries with SQL of their own; a test holds the report against them."""
+    programs = views.programs(spark, sf_dir)
+    return exports.behavior_report(programs, inventory.capabilities(C.classify(programs)), inventory.urls(programs))
+
+
+# --- loaders and payloads ---------------------------------------------------------------------------------
+
+
+@query()
+def loader_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests hold it against plain patterns."""
+    return inventory.loader_facts(C.classify(views.programs(spark, sf_dir)))
+
+
+@query(f"""select * from (select *, row_number() over (partition by artifact_id order by n desc, method) as rank from (select artifact_id, method, count(*) as n from (
+ select artifact_id, unnest(regexp_extract_all({_MASK}, ':\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) as method from ({views.PROGRAMS})) group by all)) where rank <= 30""")
+def called_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.called_methods(C.classify(views.programs(spark, sf_dir)))
+
+
+_LETTERS, _READ = (lambda c: f"len(regexp_extract_all({c}, '[A-Za-z]'))"), (lambda c: f"len(regexp_extract_all({c}, {_q(fixed.READABLE)}))")
+
+
+@query(f"""with runs as (select artifact_id, run, {" + ".join(f"contains(lower(run), '{w.lower()}')::int" for w in fixed.INDICATORS)} as matched from (select page_id as artifact_id, substr(unnest(regexp_extract_all(html, '[ -~]{{4,}}')), 1, 1024) as run from pages)),
+ v as (select artifact_id, substr(run, 1, 240) as value, max(matched) as matched from runs where matched > 0 or ({_LETTERS("run")} >= 3 and {_READ("run")} / length(run) >= 0.55) group by all)
+ select * from (select *, row_number() over (partition by artifact_id order by score desc, value) as rank from (select artifact_id, value, (matched * 10000 + round({_READ("value")} / length(value) * 1000) + least(300, length(value)) + {_LETTERS("value")})::bigint as score from v)) where rank <= 160""")
+def readable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytestats.readable_strings(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("artifact_id"), F.col("html").alias("text")))
+
+
+# --- arithmetic ---------------------------------------------------------------------------------------------
+
+_PAIRS = """select l_orderkey, l_linenumber, a, b, a / 7.0e0 as x, b / 3.0e0 as y from (
+ select l_orderkey, l_linenumber, case when l_partkey % 17 = 0 then cast(-9223372036854775807 as bigint) - 1 else (l_partkey * 2654435761 - 3000000000000) * 40503 end as a,
+  case when l_suppkey % 5 = 0 then cast(-1 as bigint) when l_suppkey % 7 = 0 then cast(0 as bigint) else (l_suppkey - 40) * cast(l_quantity as bigint) * 1000003 end as b from lineitem) t"""
+_wrap = lambda e: f"((({e}) % 18446744073709551616::hugeint + 27670116110564327424::hugeint) % 18446744073709551616::hugeint - 9223372036854775808::hugeint)::bigint"
+_H = "a::hugeint", "b::hugeint"
+_FLOOR = f"case when b <> 0 then {_H[0]} // {_H[1]} - case when {_H[0]} % {_H[1]} <> 0 and (a < 0) <> (b < 0) then 1 else 0 end end"
+
+
+@query(f"""select l_orderkey, l_linenumber, a, b, {_wrap(f"{_H[0]} + {_H[1]}")} as added, {_wrap(f"{_H[0]} - {_H[1]}")} as subtracted, {_wrap(f"{_H[0]} * {_H[1]}")} as multiplied,
+ {_wrap(_FLOOR)} as divided, (case when b <> 0 then {_H[0]} - ({_FLOOR}) * {_H[1]} end)::bigint as rest, (x < y)::int as less, (x = x)::int as same from ({_PAIRS})""")
+def script_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_PAIRS.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    a, b, x, y = (F.col(c) for c in "abxy")
+    return rows.select(
+        "l_orderkey", "l_linenumber", "a", "b", arithmetic.add(a, b).alias("added"), arithmetic.subtract(a, b).alias("subtracted"), arithmetic.multiply(a, b).alias("multiplied"),
+        arithmetic.floor_divide(a, b).alias("divided"), arithmetic.floor_mod(a, b).alias("rest"), arithmetic.less(x, y).cast("int").alias("less"), arithmetic.equal(x, x).cast("int").alias("same"),
+    )

@@ -61,6 +61,25 @@ from (
  from lineitem) t
 """
 
+#: Line items as Lua 5.1 words, many of them list assignments and closures, by place from 0 in their order.
+WORDS = """
+select prototype, pc, case when k < 3 then 34 + a * 64 + b * 8388608 when k = 3 then 36 + a * 64 + (b % 5) * 16384 when k = 4 then cast(22 + a * 64 as bigint) + (131071 + b % 9 - 4) * 16384
+ else p % 40 + a * 64 + c * 16384 + b * 8388608 end as word
+from (
+ select l_orderkey as prototype, l_suppkey % 60 as a, (l_partkey * 7) % 300 as b, (l_partkey * 31) % 300 as c, l_partkey % 10 as k, l_partkey as p,
+  cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as bigint) as pc
+ from lineitem) t
+"""
+
+#: Orders as the headers of Lua 5.1 prototypes.
+PROTOTYPES = """
+select prototype, max_stack, upvalues, n_constants, n_children, n_instructions, case when prototype % 3 = 0 then 0 when prototype % 3 = 1 then n_instructions else 5 end as n_lines, n_upvalue_names, chunk
+from (
+ select o_orderkey as prototype, 2 + o_custkey % 60 as max_stack, o_custkey % 3 as upvalues, o_orderkey % 40 as n_constants, o_orderkey % 4 as n_children, coalesce(n, 0) as n_instructions,
+  o_orderkey % 5 as n_upvalue_names, o_custkey % 50 as chunk
+ from orders left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) c on l_orderkey = o_orderkey) t
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,3 +100,18 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INSTRUCTIONS.replace("from lineitem", "from {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WORDS.replace("from lineitem", "from {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
+
+
+def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = PROTOTYPES.replace("from lineitem", "from {lineitem}").replace("from orders", "from {orders}")
+    return spark.sql(text, lineitem=_table(spark, sf_dir, "lineitem"), orders=_table(spark, sf_dir, "orders"))
+
+
+def parts_of(prototypes: DataFrame, count: str, *columns: str) -> DataFrame:
+    """(prototype, index, ..): a prototype's numbered parts from 0, as many as the named column says."""
+    rows = prototypes.where(f"{count} > 0").selectExpr("*", f"explode(sequence(0L, {count} - 1)) as index")
+    return rows.selectExpr("prototype", "index", *columns)
