@@ -72,6 +72,11 @@ LUAU_SIGNALS = [
 ]
 STATEMENTS = r"\b(?:local|function|return|if|then|end|for|while|repeat)\b"
 LUA_SIGNATURE = "1B4C7561"
+LUA51_SIGNATURE = "1B4C756151"
+PRINTABLE_SHARE = 0.97
+TEXT_MEDIA_TYPE = "text/x-lua; charset=utf-8"
+BINARY_MEDIA_TYPE = "application/octet-stream"
+PREVIEW_BYTES = 32
 CONTROL_SHARE = 0.01
 
 # Counts that the detectors look at (name, on masked code, pattern).

@@ -59,6 +59,25 @@ def reference_statistics(refs: DataFrame) -> DataFrame:
     return refs.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("is_string").alias("strings"), F.count_if("found").alias("resolved"), F.count_if(~F.col("found")).alias("unresolved"))
 
 
+def structural_coherence(instructions: DataFrame, refs: DataFrame, section: Column, root: Column) -> DataFrame:
+    """(section, prototypes, instructions, unresolved_constants, unresolved_prototypes, root, coherent).
+
+    A section that was read in step has a prototype and an instruction, no
+    reference that points outside its pool, and a root among its prototypes,
+    counted from 1. ``section`` is an expression of prototype, ``root`` of
+    section. One shuffle, after partial sums.
+    """
+    none = F.lit(None)
+    rows = instructions.select(section.alias("section"), "prototype", none.cast("string").alias("kind"))
+    rows = rows.union(refs.where(~F.col("found")).select(section, none.cast("long"), "kind"))
+    out = rows.groupBy("section").agg(
+        F.count_distinct("prototype").alias("prototypes"), F.count("prototype").alias("instructions"),
+        F.count_if(F.col("kind") == "constant").alias("unresolved_constants"), F.count_if(F.col("kind") == "prototype").alias("unresolved_prototypes"),
+    )
+    good = (F.col("instructions") > 0) & (F.col("unresolved_constants") == 0) & (F.col("unresolved_prototypes") == 0) & F.col("root").between(F.lit(1), F.col("prototypes"))
+    return out.withColumn("root", root.cast("long")).withColumn("coherent", good)
+
+
 def plausible(instructions: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """Instructions of known opcodes (or all, the others with nulls) with largest_register, ceiling and plausible.
 

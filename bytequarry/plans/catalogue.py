@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic, fixed
-from ..operators import audit, bytestats, chunk, exports, graph, inventory, records, streams, validate
+from ..operators import audit, bytestats, chunk, exports, graph, inventory, payloads, records, streams, validate
 from ..operators import classify as C
 from . import routes, views
 
@@ -157,6 +157,24 @@ def hash_and_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.documents(spark, sf_dir).select("artifact_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"), physical_lines(F.col("text")).alias("n_lines"))
 
 
+@query(rf"""with raw as ({views.PAYLOADS}), texts as (select *, case when starts_with(hex(content), 'FF') then null else regexp_replace(decode(case when starts_with(hex(content), 'FF') then ''::blob else content end), '^\x{{FEFF}}', '') end as text from raw)
+ select artifact_id, octet_length(content) as n_bytes, starts_with(hex(content), '1B4C756151') as lua51, starts_with(hex(content), '00') as raw_lzma, lower(hex(content)[1:64]) as head,
+ case when (length(text) - {_n("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")}) / greatest(1, length(text) + {_n("text", "[\\x{10000}-\\x{10FFFF}]")})::double > 0.97 then 'text/x-lua; charset=utf-8' else 'application/octet-stream' end as media_type from texts""")
+def payload_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.payload_facts(views.payloads(spark, sf_dir))
+
+
+_PINNED = "select sha256(text) as loader_sha256, sha256(source) as payload_sha256 from documents where text is not null group by text, source having count(*) > 1"
+
+
+@query(f"select doc_id, sha256(text) as loader_sha256, sha256(source) as payload_sha256 from documents where (sha256(text), sha256(source)) in ({_PINNED})")
+def known_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pairs of a loader (text) and a payload (source); pinned are the pairs that stand there more than once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("loader_sha256"), F.sha2("source", 256).alias("payload_sha256"))
+    pinned = docs.groupBy("loader_sha256", "payload_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    return payloads.known_profiles(docs, pinned)
+
+
 # --- inventories ----------------------------------------------------------------
 
 
@@ -288,6 +306,14 @@ def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _references(spark, sf_dir).where("not found").select("kind", "prototype", "pc", "channel", "index")
 
 
+@query(f"""with {_REFS}, parts as (select prototype // 8 as section, count(distinct prototype) as prototypes, count(*) as instructions from ins group by 1),
+ lost as (select prototype // 8 as section, count(*) filter (kind = 'constant') as c, count(*) filter (kind = 'prototype') as p from refs where not found group by 1)
+ select section, prototypes, instructions, coalesce(c, 0) as unresolved_constants, coalesce(p, 0) as unresolved_prototypes, section % 10 as root,
+ coalesce(c, 0) = 0 and coalesce(p, 0) = 0 and section % 10 between 1 and prototypes as coherent from parts left join lost using (section)""")
+def structural_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.structural_coherence(views.instructions(spark, sf_dir), _references(spark, sf_dir), F.floor(F.col("prototype") / 8), F.col("section") % 10)
+
+
 @query(f"with {_INS} select raw_opcode, count(*) as n from ins group by all")
 def opcode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.histogram(views.instructions(spark, sf_dir))

@@ -81,6 +81,16 @@ from (
 """
 
 
+#: Documents as payloads: chunks of two versions, streams that start with zero, bytes that are no UTF-8, a mark, control bytes, nothing.
+PAYLOADS = """
+select doc_id as artifact_id, unhex(concat(
+ case cast(doc_id % 8 as int) when 0 then '1B4C756151' when 1 then '1B4C756152' when 2 then '00' when 3 then 'FF' when 4 then 'EFBBBF' when 5 then 'F09F9880' else '' end,
+ case when doc_id % 5 = 0 then repeat('01', cast(coalesce(n_chars, 0) % 60 as int)) else '' end,
+ case when doc_id % 11 = 0 then '' else hex(coalesce(text, '')) end)) as content
+from documents
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,6 +108,10 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("is_bytecode", F.lit(False))
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PAYLOADS.replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INSTRUCTIONS.replace("from lineitem", "from {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
 

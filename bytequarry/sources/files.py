@@ -28,7 +28,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_INPUT_BYTES)
 def from_bytes(rows: DataFrame) -> DataFrame:
     """Artifacts of rows (artifact_id, file_name, content); null content is empty."""
     content = F.coalesce("content", F.lit(b""))
-    text = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", ""))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\\ufeff", ""))
     signed = F.hex(F.substring(content, 1, 4)) == fixed.LUA_SIGNATURE
     return rows.select("artifact_id", "file_name", F.octet_length(content).cast("long").alias("n_bytes"), content.alias("content"), text.alias("text"), signed.alias("is_bytecode"))
 

@@ -108,3 +108,27 @@ def test_invariants_and_order(spark):
     assert {tuple(r) for r in records.broken_invariants(seen, want).collect()} == {("b", 3, 2), ("c", 4, None)}
     rows = spark.createDataFrame([(1, 5), (1, 2), (1, 9)], "section long, prototype long")
     assert [r.prototype for r in records.root_first(rows, F.col("prototype") == 9).orderBy("place").collect()] == [9, 2, 5]
+
+
+def test_payload_facts_and_known_profiles(spark):
+    from bytequarry.operators import payloads
+
+    rows = [(1, b"\x1bLuaQ\x00"), (2, b"\x00ab"), (3, b"\xff"), (4, b"\xef\xbb\xbf" + b"a" * 100), (5, b"a" * 97 + b"\x01" * 3), (6, b""), (7, None), (8, "\U0001f600".encode() * 9), (9, b"a" * 98 + b"\x01" * 2)]
+    got = {r.artifact_id: r for r in payloads.payload_facts(spark.createDataFrame(rows, "artifact_id long, content binary")).collect()}
+    assert [k for k, r in got.items() if r.lua51] == [1] and [k for k, r in got.items() if r.raw_lzma] == [2]
+    assert {k for k, r in got.items() if r.media_type.startswith("text")} == {4, 9}
+    assert got[4].head == "efbbbf" + "61" * 29 and (got[7].head, got[7].n_bytes) == ("", 0)
+    pairs = "id int, loader_sha256 string, payload_sha256 string"
+    found = payloads.known_profiles(spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (2, "a", "c"), (3, None, "b")], pairs), spark.createDataFrame([(9, "a", "b"), (9, "a", "b"), (9, None, "b")], pairs))
+    assert sorted(r.id for r in found.collect()) == [1, 1]
+
+
+def test_structural_coherence(spark):
+    from pyspark.sql import functions as F
+
+    from bytequarry.operators import records
+
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (11, 1), (21, 1), (31, 1)], "prototype long, pc long")
+    refs = spark.createDataFrame([("constant", 11, False), ("prototype", 21, False), ("constant", 1, True), ("constant", 41, False)], "kind string, prototype long, found boolean")
+    got = {r.section: (r.prototypes, r.instructions, r.coherent) for r in records.structural_coherence(rows, refs, F.floor(F.col("prototype") / 10), F.when(F.col("section") == 3, 2).otherwise(1)).collect()}
+    assert got == {0: (2, 3, True), 1: (1, 1, False), 2: (1, 1, False), 3: (1, 1, False), 4: (0, 0, False)}
