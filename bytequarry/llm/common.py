@@ -125,6 +125,39 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def stretches(buf: np.ndarray, cut: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of a long text's stretches of about ``limit`` bytes, which end after one of the bytes that ``cut`` marks.
+
+    Where no such byte follows, the last stretch is longer: no word or piece is torn.
+    """
+    lo, n = 0, len(buf)
+    while n - lo > limit:
+        hi, step = lo + limit, 1 << 16
+        while hi < n:
+            found = np.flatnonzero(cut[buf[hi : hi + step]])
+            if len(found):
+                hi += int(found[0]) + 1
+                break
+            hi += step
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+    if lo < n or not n:
+        yield lo, n
+
+
+def vocabulary(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each word in the list, the distinct words) for words at the given places of a slice."""
+    if not len(s):
+        return np.zeros(0, np.int64), []
+    size = e - s
+    ends = np.r_[0, np.cumsum(size)]
+    inside = np.arange(ends[-1]) - np.repeat(ends[:-1] - s, size)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[inside])])
+    coded = packed.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> _S33)
@@ -146,12 +179,15 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each document with the total at the end) of words in a slice."""
+def words(buf: np.ndarray, offs: np.ndarray, letter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each document with the total at the end) of words in a slice.
+
+    letter: which of the 256 bytes words consist of, if not of all but space and U+0009 to U+000D.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
+    solid = letter[buf] if letter is not None else ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     start = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, media, mixture, nbsvm, neardup, pii, suffix, tokens, warc
+from . import imatch, media, mixture, nbsvm, neardup, pii, resample, suffix, tokens, warc
 from .common import table
 
 END_ID = 2
@@ -64,14 +64,20 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_revisits(spark, sf_dir)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10000, percent=10, least_words=20, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_imatch, op2_pareto_mixture, op3_best_fit_packing, op4_media_index, op5_near_duplicates,
         op6_personal_data, op7_concatenate_and_cut, op8_quality, op9_suffix_arrays, op10_revisits,
+        op11_importance_resampling,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mixture": mixture.MIX_SQL.format(docs="documents"),
     "op10_revisits": warc.REVISIT_SQL,
+    "op11_importance_resampling": resample.RESAMPLE_SQL,
 }
