@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, media, mixture, nbsvm, neardup, pii, resample, suffix, tiles, tokens, warc
+from . import imatch, media, mixture, nbsvm, neardup, phrases, pii, resample, suffix, tiles, tokens, warc
 from .common import table
 
 END_ID = 2
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10000, percent=10, least_words=20, seed=2024)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), most=5, least=100, top=2000)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.jaccard_join(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -77,12 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_imatch, op2_pareto_mixture, op3_best_fit_packing, op4_media_index, op5_near_duplicates,
         op6_personal_data, op7_concatenate_and_cut, op8_quality, op9_suffix_arrays, op10_revisits,
-        op11_importance_resampling, op13_jaccard_join,
+        op11_importance_resampling, op12_collocations, op13_jaccard_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mixture": mixture.MIX_SQL.format(docs="documents"),
     "op10_revisits": warc.REVISIT_SQL,
     "op11_importance_resampling": resample.RESAMPLE_SQL,
+    "op12_collocations": phrases.PHRASE_SQL.format(most=5, least=100, top=2000),
     "op13_jaccard_join": tiles.JOIN_SQL.format(n=3, percent=90),
 }
