@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, mix64, shingle_sets, slices, written
+from .common import fits_broadcast, mix64, pieces, shingle_sets, slices, tidy, written
 from .graph import components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -122,14 +122,14 @@ def _sign(n: int, percent: int):
 
 
 def _members(batches):
-    """(tile, node, size) of rows (node, size, tiles)."""
+    """(tile, node) of rows (node, tiles)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            blobs = part.column(2).to_pylist()
+            blobs = part.column(1).to_pylist()
             row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
             key = np.frombuffer(b"".join(blobs), np.int64)
-            yield pa.record_batch([pa.array(key), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["tile", "nid", "n"])
+            yield pa.record_batch([pa.array(key), part.column(0).take(pa.array(row))], names=["tile", "nid"])
 
 
 def _likely(percent: int):
@@ -158,15 +158,16 @@ def _verify_star(n: int, percent: int):
 
     def run(batches):
         at, hub = None, None
-        for batch in batches:
+        for part in (p for batch in batches for p in pieces(batch, "text")):
             a, b = [], []
-            for h, salt, kind, nid, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "kind", "nid")), _sets(batch.column("text"), n), strict=True):
+            for h, salt, kind, nid, s in zip(*(part.column(c).to_pylist() for c in ("hub", "salt", "kind", "nid")), _sets(part.column("text"), n), strict=True):
                 if kind == 0:
                     at, hub = (h, salt), s
                 elif at == (h, salt) and linked(hub, s, percent):
                     a.append(h)
                     b.append(nid)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        tidy()
 
     return run
 
@@ -187,11 +188,12 @@ def _own_tiles(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _MEMBER[:-1]), pa.array(tiles, pa.binary())], names=_MEMBER)
 
 
-def _blocks(batches, columns):
-    """Runs of rows with equal (tile, x, y), across batches, as lists; a node stands once."""
+def _blocks(batches, n: int = 0):
+    """Runs of rows with equal (tile, x, y), across batches, as lists; a node stands once. With n, texts become sets of n-word shingles."""
     key, rows = None, {}
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+    for part in (p for batch in batches for p in pieces(batch, "bits", "tiles", *["text"] * (n > 0))):
+        columns = [part.column(c).to_pylist() for c in _MEMBER]
+        for row in zip(*columns, *([_sets(part.column("text"), n)] if n else []), strict=True):
             if row[:3] != key:
                 if rows:
                     yield key, list(rows.values())
@@ -225,7 +227,7 @@ def _active(percent: int):
     """Members of a block that have a likely partner in another component."""
 
     def run(batches):
-        for key, rows in _blocks(batches, _MEMBER):
+        for key, rows in _blocks(batches):
             live = set()
             for i, j in _cross(rows, key[1], key[2], percent):
                 live.add(i)
@@ -241,8 +243,7 @@ def _verify_block(n: int, percent: int):
     """Links that join components of a block, on full sets; pairs already joined are skipped."""
 
     def run(batches):
-        for key, rows in _blocks(batches, [*_MEMBER, "text"]):
-            sets = list(_sets(pa.array([r[6] for r in rows], pa.large_string()), n))
+        for key, rows in _blocks(batches, n):
             root = {r[1]: r[1] for r in rows}
 
             def find(c):
@@ -255,12 +256,13 @@ def _verify_block(n: int, percent: int):
             for i, js in _cross(rows, key[1], key[2], percent):
                 for j in js.tolist():
                     p, q = find(rows[i][1]), find(rows[j][1])
-                    if p != q and linked(sets[i], sets[j], percent):
+                    if p != q and linked(rows[i][6], rows[j][6], percent):
                         root[p] = q
                         a.append(rows[i][2])
                         b.append(rows[j][2])
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        tidy()
 
     return run
 
@@ -289,9 +291,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = some.groupBy("digest").agg(*(F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("bits", "bits"), ("tiles", "tiles"), ("own", "own"))), at)
     classes = written(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
 
-    members = classes.select("nid", "n", "tiles").mapInArrow(_members, "tile long, nid long, n long")
-    hubs = members.groupBy("tile").agg(F.count("*").alias("k"), F.min("nid").alias("hub")).where("k > 1")
-    shared = written(members.join(hubs, "tile"), "shared")
+    # Most tiles that are shared have two members, which their smallest and largest are; members move again only for larger tiles.
+    members = classes.select("nid", "tiles").mapInArrow(_members, "tile long, nid long")
+    hubs = written(members.groupBy("tile").agg(F.count("*").alias("k"), F.min("nid").alias("hub"), F.max("nid").alias("last")).where("k > 1"), "hubs")
+    large = hubs.where("k > 2").select("tile", "hub")
+    shared = hubs.where("k = 2").select("tile", F.explode(F.array("hub", "last")).alias("nid"), "hub")
+    shared = written(shared.unionByName(members.join(F.broadcast(large) if fits_broadcast(large, 32) else large, "tile")), "shared")
     repeats = bool(signed.groupBy("doc_id", "tkey").count().where("count > 1").limit(1).count())
 
     def with_texts(rows: DataFrame) -> DataFrame:
@@ -317,7 +322,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = shared.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
     mixed = member.groupBy("tile", "hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("tile", F.coalesce("root", "hub").alias("main"))
-    member = written(member.join(mixed, "tile").select("tile", "nid", "n", "comp", (F.col("comp") != F.col("main")).alias("other")), "mixed")
+    member = member.join(mixed, "tile").join(classes.select("nid", "n"), "nid")
+    member = written(member.select("tile", "nid", "n", "comp", (F.col("comp") != F.col("main")).alias("other")), "mixed")
     blocks_of = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES))
     count = member.groupBy("tile").agg(F.coalesce(blocks_of(~F.col("other")), F.lit(0)).alias("mains"), F.coalesce(blocks_of(F.col("other")), F.lit(0)).alias("others"))
     member = member.join(count, "tile").withColumn("side", F.when(F.col("other"), F.pmod(F.xxhash64("nid"), "others")).otherwise(-1 - F.pmod(F.xxhash64("nid"), "mains")))
