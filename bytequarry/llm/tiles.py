@@ -9,9 +9,9 @@ below that are large enough, that agree in one part. No link is lost.
 
 Within a tile, hashed bitmaps bound from above how many shingles two sets share:
 a bit that one has and the other lacks is a shingle that they don't share. What
-passes is decided on full sets. Only connectivity is needed, so members are first
-compared with their tiles' smallest member; what stays in different components
-within a tile is compared in blocks, inside tasks, and only links leave them.
+passes is decided on full sets. Only connectivity is needed, so each set is first
+compared with one other, of its tiles' smallest members; what stays in different
+components within a tile is compared in blocks, inside tasks, and only links leave them.
 """
 
 from __future__ import annotations
@@ -306,9 +306,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = written(keyed.join(side, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("tkey") == F.col("wkey"))).select("nid", "text"), "texts")
         return rows.join(texts.dropDuplicates(["nid"]) if repeats else texts, "nid")
 
-    # Each set with the smallest member of all its tiles.
+    # Each set with one other: of its tiles' smallest members the one that it meets most often, which is most like it.
     size = classes.select("nid", "n", "bits")
-    pairs = shared.where("nid <> hub").groupBy("nid").agg(F.min("hub").alias("a")).withColumnRenamed("nid", "b")
+    met = shared.where("nid <> hub").groupBy("nid", "hub").agg(F.count("*").alias("tiles"))
+    pairs = met.groupBy(F.col("nid").alias("b")).agg((-F.max(F.struct("tiles", (-F.col("hub")).alias("less")))["less"]).alias("a"))
     pairs = pairs.join(size.toDF("a", "na", "xa"), "a").join(size.toDF("b", "nb", "xb"), "b")
     pairs = written(pairs.mapInArrow(_likely(percent), "a long, b long"), "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("salts"))
