@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections import Counter
 from operator import itemgetter
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix64, ngrams, slices, stretches, vocabulary, word_hashes, words, written
+from .common import lower_ascii, mix64, ngrams, slices, stretches, tidy, vocabulary, word_hashes, words, written
 
 #: Bytes that end a piece; space and tab part the words of one.
 BREAK = np.zeros(256, bool)
@@ -31,12 +32,14 @@ BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 LETTER = ~BREAK
 LETTER[[0x20, 0x09]] = False
 #: Bytes of text that a task looks at together.
-LOOK_BYTES = 8 << 20
+LOOK_BYTES = 2 << 20
 #: Bits of the bitmap of frequent cells: 8 MB, whatever the corpus.
 BITS = 1 << 26
 LEAST_CELLS = 1 << 24
 #: Letters of candidates in one automaton; further ones go to further scans.
 AUTOMATON_LETTERS = 4 << 20
+#: Phrases whose counts a task gives as one row; distinct candidates that a task holds before it gives them.
+CHUNK, HELD = 1024, 200_000
 
 
 class Look:
@@ -99,6 +102,7 @@ def looks(batches):
             else:
                 for a, b in stretches(buf, BREAK, LOOK_BYTES):
                     yield Look(buf[a:b], np.array([0, b - a]), langs)
+    tidy()
 
 
 def _words(batches):
@@ -131,23 +135,49 @@ def _cells(orders, bits, cells: int):
     return run
 
 
-def _candidates(most: int, bits, cells: int):
-    """A look's distinct runs of 2 to ``most`` words that all bounds allow."""
+def _candidates(most: int, bits, cells: int, parts: int):
+    """A task's distinct runs of 2 to ``most`` words that all bounds allow, packed by part: rows (part, langs, phrases)."""
+
+    def packed(held):
+        by_part: dict[int, list[tuple[str, str]]] = {}
+        for lang, phrase in held:
+            by_part.setdefault(zlib.crc32(phrase.encode()) % parts, []).append((lang, phrase))
+        rows = list(by_part.items())
+        return pa.record_batch([pa.array([p for p, _ in rows], pa.int64()), *(pa.array([[x[c] for x in g] for _, g in rows], pa.list_(pa.string())) for c in (0, 1))], names=["part", "langs", "phrases"])
 
     def run(batches):
+        held = set()
         for look in looks(batches):
-            lang, phrase, data = [], [], look.low.tobytes()
-            s, e = look.s.tolist(), look.e.tolist()
+            data, s, e = look.low.tobytes(), look.s.tolist(), look.e.tolist()
             for n in range(2, most + 1):
                 at, h = look.frequent(n, bits.value, cells)
                 for p in at[np.unique(h, return_index=True)[1]].tolist():
-                    lang.append(look.langs[look.lang[p]])
-                    phrase.append(b" ".join(data[s[k] : e[k]] for k in range(p, p + n)).decode())
-            yield pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.string())], names=["lang", "phrase"])
+                    held.add((look.langs[look.lang[p]], b" ".join(data[s[k] : e[k]] for k in range(p, p + n)).decode()))
+            if len(held) > HELD:
+                yield packed(held)
+                held = set()
+        yield packed(held)
 
     return run
 
 
+def _distinct(batches):
+    """Rows come by part: its distinct (lang, phrase)."""
+    last, held = None, set()
+
+    def emit():
+        rows = sorted(held)
+        return pa.record_batch([pa.array([x[c] for x in rows], pa.string()) for c in (0, 1)], names=["lang", "phrase"])
+
+    for batch in batches:
+        for part, langs, phrases in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if part != last:
+                yield emit()
+                last, held = part, set()
+            held.update(zip(langs, phrases, strict=True))
+    yield emit()
+
+
 def guarded(look: Look, lang: int) -> str:
     """The pieces of one language's texts: a space before each word and after a piece's last, and then a line end."""
     mine = look.lang == lang
@@ -182,7 +212,7 @@ def automata(key: str, phrases: list[tuple[str, str]]) -> dict:
 
 
 def _scan(key: str, phrases):
-    """One task's occurrences of each phrase it has met, overlapping ones included."""
+    """One task's occurrences of every phrase, overlapping ones included: rows (chunk, counts of its phrases)."""
 
     def run(batches):
         built, total = automata(key, phrases.value), Counter()
@@ -190,8 +220,34 @@ def _scan(key: str, phrases):
             for k, lang in enumerate(look.langs):
                 if lang in built:
                     total.update(map(itemgetter(1), built[lang].iter(guarded(look, k))))
-        met = sorted(total)
-        yield pa.record_batch([*(pa.array([phrases.value[k][c] for k in met], pa.string()) for c in (0, 1)), pa.array([total[k] for k in met], pa.int64())], names=["lang", "phrase", "n"])
+        counts = np.zeros(len(phrases.value), np.int64)
+        counts[list(total)] = list(total.values())
+        for at in range(0, len(counts), CHUNK):
+            if counts[at : at + CHUNK].any():
+                yield pa.record_batch([pa.array([at // CHUNK], pa.int64()), pa.array([counts[at : at + CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    return run
+
+
+def _sum(phrases, least: int):
+    """Rows come by chunk: (lang, phrase, f) of phrases whose counts add up to ``least`` or more."""
+
+    def emit(chunk, total):
+        often = np.flatnonzero(total >= least)
+        named = [phrases.value[chunk * CHUNK + k] for k in often.tolist()]
+        return pa.record_batch([*(pa.array([x[c] for x in named], pa.string()) for c in (0, 1)), pa.array(total[often], pa.int64())], names=["lang", "phrase", "f"])
+
+    def run(batches):
+        last, total = None, None
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != last:
+                    if last is not None:
+                        yield emit(last, total)
+                    last, total = chunk, 0
+                total = total + np.frombuffer(counts.as_buffer(), np.int64)
+        if last is not None:
+            yield emit(last, total)
 
     return run
 
@@ -217,6 +273,7 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most
 def _counted(docs: DataFrame, lang_col: str, text_col: str, most: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(frequent phrases, words of each language)."""
     context = docs.sparkSession.sparkContext
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("text <> ''")
     word = written(texts.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     total = word.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -228,7 +285,8 @@ def _counted(docs: DataFrame, lang_col: str, text_col: str, most: int, least: in
         if orders and orders[0] <= most:
             cell = texts.mapInArrow(_cells(orders, context.broadcast(bits), cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
             bits = [*bits, _bitmap(cell.where(F.col("n") >= least).select((F.col("cell") % BITS).alias("bit")))]
-    candidate = written(texts.mapInArrow(_candidates(most, context.broadcast(bits), cells), "lang string, phrase string").distinct(), "candidates")
+    candidate = texts.mapInArrow(_candidates(most, context.broadcast(bits), cells, 4 * parts), "part long, langs array<string>, phrases array<string>")
+    candidate = written(candidate.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_distinct, "lang string, phrase string"), "candidates")
 
     # One scan of all texts for each automaton's worth of candidates.
     letters = candidate.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
@@ -237,8 +295,8 @@ def _counted(docs: DataFrame, lang_col: str, text_col: str, most: int, least: in
     for scan in range(scans):
         rows = candidate.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(scans)) == scan).collect()
         rows = context.broadcast([(r["lang"], r["phrase"]) for r in rows])
-        hits = texts.mapInArrow(_scan(uuid.uuid4().hex, rows), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        hits = written(hits, "phrases")
+        hits = texts.mapInArrow(_scan(uuid.uuid4().hex, rows), "chunk long, counts binary").repartition(parts, "chunk").sortWithinPartitions("chunk")
+        hits = written(hits.mapInArrow(_sum(rows, least), "lang string, phrase string, f long"), "phrases")
         rows.destroy()
         found = found.unionByName(hits.withColumn("size", F.size(F.split("phrase", " "))))
     return found, total
