@@ -271,3 +271,21 @@ READABLE = r"[A-Za-z0-9 _.:/()\[\]{}-]"
 # Media types of inputs, and the share of printable signs from which on text counts as source.
 MEDIA_SOURCE, MEDIA_BYTES, PRINTABLE_SHARE = "text/x-lua; charset=utf-8", "application/octet-stream", 0.97
 LUA51_SIGNATURE = "1B4C756151"
+
+# The registers that each opcode's effect reads and writes, of the payloads a, n, q; lo..hi is a span, and
+# of calls with an open number of arguments or results only the first is named.
+REGISTER_EFFECTS = {
+    1: ("", "a"), 5: ("a, n", "q"), 9: ("n", ""), 10: ("q", "n"), 14: ("a, q", "n"), 20: ("n..n + 1", ""), 21: ("a", ""), 22: ("n", "q"), 25: ("", "q"), 34: ("q, n", "a"),
+    36: ("n, n + 1..n + q - 1", "n"), 41: ("q", "n"), 50: ("n..n + 1", ""), 58: ("a", ""), 59: ("n", "q"),
+    62: ("a, a + 1..a + n - 1", "a..a + q - 2"), 69: ("a", ""), 71: ("", "n"), 72: ("", "n"), 73: ("", "q + 3"),
+    75: ("a, a + 1..a + n", ""), 77: ("n", "a"), 79: ("n..n + q - 2", ""), 84: ("", "a"), 87: ("q..q + 2", "q"), 97: ("n", "a..a + 1"), 105: ("a, n", "q"), 118: ("", ""), 120: ("", "q"), 123: ("n..n + 1", "n"),
+    125: ("a, q", "n"), 126: ("a, n", ""), 127: ("a, q", "n"), 129: ("", "1..q"), 131: ("n", ""), 135: ("", "n"), 136: ("", ""), 137: ("", "q"), 138: ("n", "a"), 143: ("a, q", "n"),
+    144: ("q", ""), 147: ("a", "q"), 150: ("q", "a"), 154: ("", "q..q + a - 1"), 155: ("q", "n"), 161: ("n, q", ""), 162: ("q", "n"), 164: ("n", "a"), 176: ("q", ""), 187: ("a", "n"),
+    188: ("", "q"), 192: ("", "a..q"), 193: ("n..n + 2", ""), 198: ("n, q", "a"), 199: ("q", ""), 208: ("n, q", "a"), 212: ("n", "q"), 215: ("n, a", "q"), 216: ("q, a", ""), 219: ("q", ""),
+    230: ("q", "n"), 233: ("a, a + 1..a + q - 1", ""), 250: ("q, n", "a"), 251: ("a..a + 1", "a"), 252: ("q", "a"), 253: ("q, n, a", ""), 255: ("n", "q"), 259: ("q", "q"), 263: ("a", "n"), 266: ("q", "n"),
+    267: ("", "q"), 271: ("", "q"),
+}
+# What a call with an open number of arguments or results reads and writes instead: (opcode, access, payload that is 0, register).
+OPEN_EFFECTS = [(62, "read", "n", "a + 1"), (62, "write", "q", "a")]
+# Opcodes whose result the pool alone decides: (opcode, nil or the sign between operands, operands in order).
+POOL_VALUES = [(25, "nil", ""), (71, "", "a"), (72, "*", "qa"), (135, "+", "aq"), (137, "-", "na")]

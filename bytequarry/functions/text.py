@@ -12,7 +12,7 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 #: Comments, short strings (which may run over lines, and in which a backslash takes the next sign along), long strings,
 #: and what lies between. Repeats of groups are possessive, so that long literals need no deep stack.
-_TOKENS = r"""--\[(=*)\[[\s\S]*?(?:\]\1\]|\z)|--[^\n]*+|"(?:[^"\\]++|\\[\s\S]?+)*+"?+|'(?:[^'\\]++|\\[\s\S]?+)*+'?+|\[(=*)\[[\s\S]*?(?:\]\2\]|\z)|[^-"'\[]++|[\s\S]"""
+TOKENS = r"""--\[(=*)\[[\s\S]*?(?:\]\1\]|\z)|--[^\n]*+|"(?:[^"\\]++|\\[\s\S]?+)*+"?+|'(?:[^'\\]++|\\[\s\S]?+)*+'?+|\[(=*)\[[\s\S]*?(?:\]\2\]|\z)|[^-"'\[]++|[\s\S]"""
 _MASKED = r"""--|["']|\[=*\["""
 
 
@@ -34,7 +34,7 @@ def count(text: Column, pattern: str) -> Column:
 def masked(text: Column) -> Column:
     """Text with comments and strings blanked; line ends and places stay. Backtick strings stay."""
     blank = lambda t: F.when(t.rlike(rf"^(?:{_MASKED})"), F.regexp_replace(t, r"[^\r\n]", " ")).otherwise(t)
-    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), blank), "")
+    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), blank), "")
     return F.when(text.rlike(_MASKED), tokens).otherwise(text)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic, fixed
-from ..operators import audit, bytestats, chunk, exports, graph, inventory, payloads, records, streams, validate
+from ..operators import audit, bytestats, chunk, dataflow, exports, flowtree, graph, inventory, lexical, payloads, records, streams, validate
 from ..operators import classify as C
 from . import routes, views
 
@@ -221,6 +221,31 @@ def loader_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.loader_surface(C.classify(views.programs(spark, sf_dir)))
 
 
+# --- regions and lines ---------------------------------------------------------------
+
+_TOKEN_LIST = f"select artifact_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as k from (select artifact_id, regexp_extract_all(text, {_q(_LEXEMES)}) as tokens from ({views.PROGRAMS}))"
+_REGIONS = f"""placed as (select artifact_id, token, (sum(length(token)) over (partition by artifact_id order by k))::bigint as ends from ({_TOKEN_LIST})),
+ regions as (select artifact_id, case when starts_with(token, '--') then 'comment' else 'string' end as kind, ends - length(token) as start, ends as "end" from placed where regexp_matches(token, {_q(r"""^(--|"|'|\[=*\[)""")}))"""
+_LINE = "length(substr(text, 1, ({at})::bigint)) - length(replace(substr(text, 1, ({at})::bigint), chr(10), '')) + 1"
+
+
+@query(f"with {_REGIONS} select * from regions")
+def lexical_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.regions(views.programs(spark, sf_dir))
+
+
+@query(f"""with {_REGIONS}, texts as (select artifact_id, text from ({views.PROGRAMS}))
+ select artifact_id, kind, start, "end", {_LINE.format(at="start")} as first_line, {_LINE.format(at='"end" - 1')} as last_line from regions join texts using (artifact_id)""")
+def offsets_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and the lines of their first and last signs."""
+    return lexical.regions_with_lines(views.programs(spark, sf_dir))
+
+
+@query("select doc_id as artifact_id, unnest(range(1, len(sizes) + 1)) as line, unnest(list_transform(range(0, len(sizes)), lambda k: list_sum(sizes[1:k]) + k)) as start from (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: length(t)) as sizes from documents)".replace("list_sum(sizes[1:k]) + k", "coalesce(list_sum(sizes[1:k]), 0)::bigint + k"))
+def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.line_starts(views.documents(spark, sf_dir))
+
+
 # --- bytes --------------------------------------------------------------------------
 
 _BYTES = "bytes as (select doc_id as artifact_id, unnest(list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::int)) as byte, unnest(range(0, strlen(text))) as pos from (select doc_id, text, hex(encode(text)) as h from documents))"
@@ -453,6 +478,119 @@ def natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.natural_loops(edges, graph.dominators(edges, blocks))
 
 
+_TREE = f"""{_DOMINATORS}, ranks as (select prototype, block_start, count(*) as depth from dom group by all),
+ idom as (select d.prototype, d.block_start as node, (arg_max(d.dominator, r.depth) filter (d.dominator <> d.block_start)) as parent from dom d join ranks r on r.prototype = d.prototype and r.block_start = d.dominator group by d.prototype, d.block_start),
+ paths as (select prototype, block_start as node, list(dominator order by depth) as path from (select d.*, r.depth from dom d join ranks r on r.prototype = d.prototype and r.block_start = d.dominator) group by all),
+ pre as (select prototype, node, row_number() over (partition by prototype order by path) as enter from paths),
+ tree as (select i.prototype, i.node, i.parent, p.enter, p.enter + (select count(*) from dom d where d.prototype = i.prototype and d.dominator = i.node) - 1 as leave from idom i join pre p using (prototype, node))"""
+
+
+@query(f"with recursive {_TREE} select prototype, node as block_start, parent as dominator, enter, leave from tree")
+def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Immediate dominators with intervals: a row a block."""
+    return flowtree.dominator_tree(*_graph(spark, sf_dir)).select("prototype", F.col("node").alias("block_start"), F.col("parent").alias("dominator"), "enter", "leave")
+
+
+@query(f"""with recursive {_DOMINATORS}, live as (select e.* from edges e join reached r on r.prototype = e.prototype and r.block_start = e.src),
+ body as (select e.prototype, e.dst as header, e.src as block from live e join dom d on d.prototype = e.prototype and d.block_start = e.src and d.dominator = e.dst
+  union select b.prototype, b.header, e.src from body b join live e on e.prototype = b.prototype and e.dst = b.block where b.block <> b.header),
+ held as (select *, count(*) over (partition by prototype, header) as size from body)
+select h.prototype, h.block as block_start, count(*) as depth, arg_min(h.header, (h.size, h.header)) as loop,
+ (select arg_min(o.header, (o.size, o.header)) from held o where o.prototype = h.prototype and o.header <> arg_min(h.header, (h.size, h.header)) and o.block = arg_min(h.header, (h.size, h.header))) as outer from held h group by h.prototype, h.block""")
+def loop_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, blocks = _graph(spark, sf_dir)
+    return flowtree.loop_nesting(edges, flowtree.dominator_tree(edges, blocks))
+
+
+@query(f"""with recursive {_INS}, creates as (select o.o_custkey as prototype, i.prototype as node, c.o_orderkey as child from ins i join orders o on o.o_orderkey = i.prototype join orders c on c.o_custkey = o.o_custkey and c.o_orderkey <> i.prototype and (c.o_orderkey + i.word_a // 8) % 3 = 0),
+ made as (select prototype, child as node, min(node) as up from creates group by all), known as (select o_custkey as prototype, o_orderkey as node from orders),
+ ways as (select prototype, node as start, up as node, 1 as steps from made union all select w.prototype, w.start, m.up, w.steps + 1 from ways w join made m on m.prototype = w.prototype and m.node = w.node where w.steps < 60),
+ circle as (select prototype, start from ways group by prototype, start having bool_or(node = start)), least as (select c.prototype, c.start as node from circle c join ways w on w.prototype = c.prototype and w.start = c.start group by all having min(w.node) = c.start),
+ forest as (select k.prototype, k.node, case when l.node is null then m.up end as parent from known k left join made m using (prototype, node) left join least l using (prototype, node)),
+ paths as (select prototype, node, [node] as path from forest where parent is null union all select f.prototype, f.node, list_append(p.path, f.node) from paths p join forest f on f.prototype = p.prototype and f.parent = p.node)
+select p.prototype, p.node, f.parent, row_number() over (partition by p.prototype order by list_append(p.path, 9223372036854775807)) as place from paths p join forest f using (prototype, node)""")
+def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as prototypes; an instruction creates those of them whose numbers, with its first operand, three divides."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("prototype"), F.col("o_orderkey").alias("node"))
+    made = views.instructions(spark, sf_dir).select(F.col("prototype").alias("node"), F.floor(F.col("word_a") / 8).alias("a")).join(orders, "node")
+    made = made.join(orders.withColumnRenamed("node", "child"), "prototype").where("child <> node and (child + a) % 3 = 0").select("prototype", "node", "child").distinct()
+    return flowtree.emission_order(made, orders)
+
+
+# --- registers ---------------------------------------------------------------------
+
+
+def _spans(k: int) -> str:
+    one = lambda e: "range(({0})::bigint, greatest(({0})::bigint, ({1})::bigint + 1))".format(e.split("..")[0], e.split("..")[-1])
+    opened = lambda o: [f"case when {z} = 0 then [({r})::bigint] else [] end" for p, access, z, r in fixed.OPEN_EFFECTS if p == o and access == ("read", "write")[k]]
+    return "case raw_opcode " + " ".join(f"when {o} then list_distinct(flatten([{', '.join([one(s) for s in e[k].split(',')] + opened(o))}]))" for o, e in fixed.REGISTER_EFFECTS.items() if e[k]) + " else [] end"
+
+
+_EFFECTS = f"effects as (select * from (select prototype, pc, 'read' as access, unnest({_spans(0)}) as register from checked where ceiling >= 0 and largest_register <= ceiling + 4 union all select prototype, pc, 'write', unnest({_spans(1)}) from checked where ceiling >= 0 and largest_register <= ceiling + 4) where register >= 0)"
+_USES = f"""{_EDGES}, {_EFFECTS}, access as (select e.*, block_start from effects e join blocks b on b.prototype = e.prototype and e.pc between b.block_start and b.block_end),
+ uses as (select r.prototype, r.block_start, r.register, r.pc, max(w.pc) as def_pc from access r left join access w on w.access = 'write' and w.prototype = r.prototype and w.block_start = r.block_start and w.register = r.register and w.pc < r.pc where r.access = 'read' group by all)"""
+_LIVE = f"""{_USES}, killed as (select distinct prototype, block_start, register from access where access = 'write'),
+ live as (select distinct prototype, block_start, register from uses where def_pc is null union select l.prototype, e.src, l.register from live l join edges e on e.prototype = l.prototype and e.dst = l.block_start
+  where not exists (select 1 from killed k where k.prototype = l.prototype and k.block_start = e.src and k.register = l.register))"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(instructions, edges, effects with their blocks)."""
+    from .tables import written
+
+    ins = written(views.instructions(spark, sf_dir), "instructions")
+    flow = written(graph.flow(ins), "flow")
+    blocks = written(graph.blocks(flow), "blocks")
+    edges = written(graph.edges(flow, blocks), "edges")
+    return ins, edges, written(dataflow.in_blocks(dataflow.register_effects(ins), blocks), "effects")
+
+
+@query(f"with {_INS}, {_PLAUSIBLE}, {_EFFECTS} select * from effects")
+def register_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tables import written
+
+    return dataflow.register_effects(written(views.instructions(spark, sf_dir), "instructions"))
+
+
+@query(f"with {_USES} select * from uses")
+def def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.def_use(_placed(spark, sf_dir)[2])
+
+
+@query(f"with recursive {_LIVE} select * from live")
+def live_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, placed = _placed(spark, sf_dir)
+    return dataflow.liveness(placed, edges)
+
+
+@query(f"""with recursive {_LIVE}, once as (select prototype, block_start, register, def_pc, min(pc) as use_pc from uses where def_pc is not null group by all having count(*) = 1)
+ select * from once o where exists (select 1 from access w where w.access = 'write' and w.prototype = o.prototype and w.block_start = o.block_start and w.register = o.register and w.pc > o.def_pc)
+ or not exists (select 1 from edges e join live l on l.prototype = e.prototype and l.block_start = e.dst where e.prototype = o.prototype and e.src = o.block_start and l.register = o.register)""")
+def single_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, placed = _placed(spark, sf_dir)
+    return dataflow.single_use(placed, edges)
+
+
+_OPERAND = lambda c: f"case word_{c} % 8 when 2 then 'k' when 4 then 'p' else '' end || case word_{c} % 8 when 3 then i.pc + word_{c} // 8 when 6 then i.pc - word_{c} // 8 else word_{c} // 8 end"
+_POOL = "case raw_opcode " + " ".join(f"when {o} then " + (f" || '{sign}' || ".join(_OPERAND(c) for c in used) if used else f"'{sign}'") for o, sign, used in fixed.POOL_VALUES) + " else '?' end"
+
+
+@query(f"""with recursive {_USES}, reached as (select prototype, 1::bigint as block_start from blocks where block_start = 1 union select e.prototype, e.dst from reached r join edges e on e.prototype = r.prototype and e.src = r.block_start),
+ lasts as (select prototype, block_start, register, max(pc) as pc from access where access = 'write' group by all),
+ finals as (select l.prototype, block_start, register, {_POOL} as value from lasts l join ins i on i.prototype = l.prototype and i.pc = l.pc),
+ arrive as (select distinct prototype, 1::bigint as block_start, register, '?' as value from finals
+  union select e.prototype, e.dst, d.register, d.value from finals d join edges e on e.prototype = d.prototype and e.src = d.block_start join reached r on r.prototype = e.prototype and r.block_start = e.src
+  union select e.prototype, e.dst, a.register, a.value from arrive a join edges e on e.prototype = a.prototype and e.src = a.block_start
+   where not exists (select 1 from finals d where d.prototype = a.prototype and d.block_start = a.block_start and d.register = a.register))
+select prototype, block_start, register, min(value) as value from arrive group by prototype, block_start, register having count(distinct value) = 1 and min(value) <> '?'""")
+def known_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What registers hold at each block's start, on whatever way it is reached."""
+    ins, edges, placed = _placed(spark, sf_dir)
+    blocks = edges.select("prototype", F.col("src").alias("block_start")).union(edges.select("prototype", "dst")).distinct()
+    reached = flowtree.spanning_tree(edges, blocks).select("prototype", F.col("node").alias("block_start"))
+    return dataflow.known_values(dataflow.assigned_values(placed, ins), edges, reached)
+
+
 # --- encoded streams ------------------------------------------------------------------------------
 
 _LITERALS = r"""\[\[LPH[\s\S]*?\]\]|\[=\[LPH[\s\S]*?\]=\]|\[==\[LPH[\s\S]*?\]==\]|"LPH[^"\n]*"|'LPH[^'\n]*'"""
