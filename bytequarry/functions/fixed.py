@@ -289,3 +289,34 @@ REGISTER_EFFECTS = {
 OPEN_EFFECTS = [(62, "read", "n", "a + 1"), (62, "write", "q", "a")]
 # Opcodes whose result the pool alone decides: (opcode, nil or the sign between operands, operands in order).
 POOL_VALUES = [(25, "nil", ""), (71, "", "a"), (72, "*", "qa"), (135, "+", "aq"), (137, "-", "na")]
+
+# Signs that every match of a pattern holds: of each list one at least; in lower case where the pattern ignores case.
+HELD = {
+    r"(?i)\bMoonSec(?:\s+V3)?\b": [["moonsec"]],
+    r"(?i)\b0x[0-9a-f]+\b": [["0x"]],
+    r"\\\d{1,3}": [["\\"]],
+    r"\bwhile\b[\s\S]{0,100}\bdo\b": [["while"], ["do"]],
+    r"(?i)%\s*0x[0-9a-f]+": [["%"], ["0x"]],
+    r"\b(?:getfenv|setfenv|_ENV)\b": [["getfenv", "setfenv", "_ENV"]],
+    r"(?i)LURAPH PAYLOAD[\s\S]{0,100}DEVIRTUALIZED REGISTER-LEVEL": [["luraph payload"]],
+    r"(?i)LURAPH PAYLOAD[\s\S]{0,80}DEVIRTUALIZED REGISTER-LEVEL": [["luraph payload"]],
+    r"(?i)\bLuraph\b": [["luraph"]],
+    r"::L\d+::": [["::L"]],
+    r"\bgoto\s+L\d+\b": [["goto"]],
+    r"(?i)stack slots:\s*\d+;\s*decoded instructions:\s*\d+;\s*reachable CFG instructions:\s*\d+": [["stack slots:"]],
+    r"(?i)--\s*stack slots:\s*\d+;\s*decoded instructions:": [["stack slots:"]],
+    r"\bVM_FRAGMENT\b": [["VM_FRAGMENT"]],
+    r"(?i)protected\s+using\s+Luraph\s+Obfuscator\s+v14\.7": [["luraph"], ["protected"]],
+    r"local\s+V\s*,\s*y\s*=\s*Y\s*\(\s*\[=\[LPH@V[\s\S]*?\]=\]\s*\)\s*,\s*Y\s*\(\s*\[==\[LPH!": [["LPH@V"]],
+    r"(?i)--\s*source path:\s*root(?:\.M\[\d+\])*": [["source path:"]],
+    r"\bcontinue\b": [["continue"]],
+    r"(?:\+=|-=|\*=|/=|//=|\.\.=)": [["+=", "-=", "*=", "/=", "..="]],
+    r"\bexport\s+type\b|\btype\s+[A-Za-z_]\w*\s*=": [["type"], ["export", "="]],
+    r"(?:local\s+[A-Za-z_]\w*|function\s*\([^)]*)\s*:\s*[A-Za-z_{(]": [["local", "function"], [":"]],
+    r"`(?:\\.|[^`])*`": [["`"]],
+    r"=\s*if\b[^\n;]+\bthen\b[^\n;]+\belse\b": [["then"], ["else"], ["="]],
+    r"\bfunction\b": [["function"]],
+    r"\.\.\.": [["..."]],
+    r"\b(?:L\d+_\d+|A\d+_\d+)\b": [["_"]],
+    r"\b[A-Za-z_]\w*(?:\s*[.:]\s*[A-Za-z_]\w*)*\s*\(": [["("]],
+}

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
+
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
@@ -26,9 +30,18 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
-def count(text: Column, pattern: str) -> Column:
-    """Number of matches, from left to right without overlap."""
-    return F.regexp_count(text, F.lit(java(pattern))).cast("long")
+def may_match(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a text holds the signs without which the pattern can't match; true if none are known. low: the text in lower case."""
+    low = F.lower(text) if low is None else low
+    side = low if pattern.startswith("(?i)") else text
+    found = [reduce(or_, (F.contains(side, F.lit(w)) for w in words)) for words in fixed.HELD.get(pattern, [])]
+    return reduce(and_, found) if found else F.lit(True)
+
+
+def count(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Number of matches, from left to right without overlap; a pattern runs only over texts that it may match. low: the text in lower case."""
+    found = F.regexp_count(text, F.lit(java(pattern))).cast("long")
+    return F.when(may_match(text, pattern, low), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long"))) if pattern in fixed.HELD else found
 
 
 def masked(text: Column) -> Column:

@@ -22,21 +22,6 @@ def branch_targets(fields: DataFrame, pc: Column) -> DataFrame:
     return fields.where(F.col("opcode").isin(fixed.LUA51_ASBX)).withColumn("target", pc + 1 + F.col("sbx"))
 
 
-def range_checks(fields: DataFrame, max_stack: int, constants: int) -> DataFrame:
-    """(.., code): one row for each check that a word fails: opcode, register a, constant operands b and c."""
-    constant = lambda c: (F.col(c) >= 256) & (F.col(c) - 256 >= constants)
-    rk = F.col("format") == "iABC"
-    checks = [
-        (F.col("name").isNull(), "INVALID_OPCODE"),
-        (F.col("name").isNotNull() & (F.col("name") != "JMP") & (F.col("a") >= max_stack), "REGISTER_OUT_OF_RANGE"),
-        (F.col("name").isin("ADD", "SUB", "MUL", "DIV", "MOD", "POW", "EQ", "LT", "LE", "SETTABLE") & rk & (constant("b") | constant("c")), "CONSTANT_OUT_OF_RANGE"),
-        ((F.col("name") == "LOADK") & (F.col("bx") >= constants), "CONSTANT_OUT_OF_RANGE"),
-        ((F.col("name") == "CONCAT") & (F.col("b") >= F.col("c")), "INVALID_CONCAT_RANGE"),
-        ((F.col("name") == "LOADNIL") & (F.col("a") > F.col("b")), "INVALID_LOADNIL_RANGE"),
-    ]
-    return fields.withColumn("code", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(v)) for c, v in checks)))))
-
-
 def uleb_bytes(value: Column) -> Column:
     """The little-endian groups of seven bits of a number below 2**53, with continuation bits, as an array of ints."""
     groups = F.array(*(F.shiftrightunsigned(value, 7 * k).bitwiseAND(F.lit(127).cast("long")).cast("int") for k in range(8)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import control_share, count, java, masked, physical_lines
+from ..functions.text import control_share, count, java, masked, may_match, physical_lines
 
 
 GENERIC = "generic-static"
@@ -26,17 +26,17 @@ def classify(artifacts: DataFrame) -> DataFrame:
     is one projection over the scan.
     """
     text = F.coalesce("text", F.lit(""))
-    out = artifacts.withColumn("code", masked(text))
-    audit = [F.when(count(text, p) >= n, F.lit(name)) for name, p, n in fixed.AUDIT_SIGNALS]
-    luau = [F.when(F.col("code").rlike(java(p)), F.lit(name)) for name, p in fixed.LUAU_SIGNALS]
-    out = out.withColumns({"_audit": F.array_compact(F.array(*audit)), "_luau": F.array_compact(F.array(*luau)), "_tokens": count(F.col("code"), fixed.STATEMENTS)})
+    out = artifacts.withColumns({"code": masked(text), "_low": F.lower(text)})
+    audit = [F.when(count(text, p, F.col("_low")) >= n, F.lit(name)) for name, p, n in fixed.AUDIT_SIGNALS]
+    luau = [F.when(may_match(F.col("code"), p) & F.col("code").rlike(java(p)), F.lit(name)) for name, p in fixed.LUAU_SIGNALS]
+    control = F.contains(text, F.lit("\0")) | (control_share(text) > fixed.CONTROL_SHARE)
+    out = out.withColumns({"_audit": F.array_compact(F.array(*audit)), "_luau": F.array_compact(F.array(*luau)), "_tokens": count(F.col("code"), fixed.STATEMENTS), "_control": control})
     ext = F.lower(F.regexp_extract("file_name", r"(\.[^./\\]+)$", 1))
     n_audit, n_luau = F.size("_audit"), F.size("_luau")
-    binary = F.contains(text, F.lit("\0")) | (control_share(text) > fixed.CONTROL_SHARE)
     rules = [
         (F.col("is_bytecode"), "lua-bytecode", "lua-5.1", F.lit(1.0), F.lit("signature")),
         (F.col("text").isNull(), "binary", "unknown", F.lit(0.98), F.lit("not UTF-8")),
-        (binary, "binary", "unknown", F.lit(0.9), F.lit("control bytes")),
+        (F.col("_control"), "binary", "unknown", F.lit(0.9), F.lit("control bytes")),
         (n_audit >= 3, "vm-audit-ir", "vm-ir", F.least(F.lit(1.0), F.lit(0.65) + n_audit * F.lit(0.06)), F.array_join("_audit", ";")),
         ((n_luau > 0) | (ext == ".luau"), "luau-source", "luau", F.when(n_luau > 0, 0.88).otherwise(0.62), F.when(n_luau > 0, F.array_join("_luau", ";")).otherwise("extension")),
         (
@@ -46,12 +46,11 @@ def classify(artifacts: DataFrame) -> DataFrame:
         (F.lit(True), "text", "unknown", F.lit(0.7), F.lit("no syntax evidence")),
     ]
 
-    def first(k: int) -> Column:
-        cases = [(r[0], r[k] if isinstance(r[k], Column) else F.lit(r[k])) for r in rules]
-        return reduce(lambda c, r: c.when(*r), cases[1:], F.when(*cases[0]))
-
-    out = out.withColumns({"kind": first(1), "dialect": first(2), "confidence": F.round(first(3), 6), "reasons": first(4)})
-    return out.drop("_audit", "_luau", "_tokens")
+    fields = ("kind", "dialect", "confidence", "reasons")
+    cases = [(r[0], F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(f) for f, v in zip(fields, r[1:], strict=True)))) for r in rules]
+    out = out.withColumn("_first", reduce(lambda c, r: c.when(*r), cases[1:], F.when(*cases[0])))
+    out = out.withColumns({f: F.col("_first")[f] for f in fields}).withColumn("confidence", F.round("confidence", 6))
+    return out.drop("_audit", "_luau", "_tokens", "_control", "_first", "_low")
 
 
 def signals(classified: DataFrame) -> DataFrame:
@@ -65,7 +64,9 @@ def signals(classified: DataFrame) -> DataFrame:
 def counts(classified: DataFrame) -> DataFrame:
     """Classified artifacts with the numbers that detectors look at."""
     text = F.coalesce("text", F.lit(""))
-    out = classified.withColumns({name: count(F.col("code") if on_code else text, p) for name, on_code, p in fixed.COUNTS})
+    low = {True: F.col("_low_code"), False: F.col("_low")}
+    out = classified.withColumns({"_low": F.lower(text), "_low_code": F.lower("code")})
+    out = out.withColumns({name: count(F.col("code") if on_code else text, p, low[on_code]) for name, on_code, p in fixed.COUNTS}).drop("_low", "_low_code")
     return out.withColumns({
         "n_chars": F.length(text).cast("long"),
         "n_lines": physical_lines(text),

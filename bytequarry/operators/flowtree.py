@@ -59,6 +59,11 @@ def spanning_tree(edges: DataFrame, blocks: DataFrame, entry: int = ENTRY) -> Da
     return seen.union(below.select("prototype", "node", F.col("to").alias("parent")))
 
 
+def reachable(edges: DataFrame, blocks: DataFrame, entry: int = ENTRY) -> DataFrame:
+    """(prototype, block_start) of blocks that the entry reaches."""
+    return spanning_tree(edges, blocks, entry).select("prototype", F.col("node").alias("block_start"))
+
+
 def numbered(tree: DataFrame) -> DataFrame:
     """(prototype, node, parent, enter, leave, post): intervals of a forest; children and roots in order of their numbers.
 

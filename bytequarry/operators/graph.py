@@ -95,15 +95,3 @@ def natural_loops(edges: DataFrame, dominators: DataFrame) -> DataFrame:
     sized = body.groupBy(*keys).agg(F.count("*").alias("body")).join(leaving, keys, "left")
     order = Window.partitionBy("prototype").orderBy("body", "header", "latch")
     return sized.select(*keys, "body", F.coalesce("exits", F.lit(0).cast("long")).alias("exits"), F.row_number().over(order).alias("rank"))
-
-
-def reachable(edges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(prototype, block_start) of blocks that the block at 1 reaches, by waves; every wave is written and only new blocks go on."""
-    front = written(blocks.where("block_start = 1").select("prototype", "block_start"), "wave")
-    seen = front
-    while True:
-        step = front.join(edges, (edges.prototype == front.prototype) & (edges.src == front.block_start)).select(edges.prototype, edges.dst.alias("block_start")).distinct()
-        front = written(step.join(seen, ["prototype", "block_start"], "left_anti"), "wave")
-        if not front.limit(1).count():
-            return seen
-        seen = seen.union(front)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def urls(sources: DataFrame, text_col: str = "text") -> DataFrame:
 def loader_surface(classified: DataFrame) -> DataFrame:
     """Counts of control words and method calls of each artifact."""
     code = F.col("code")
-    words = {w: count(code, rf"\b{w}\b").alias(f"n_{w}") for w in ("if", "for", "while", "continue", "return")}
+    words = {w: count(code, rf"\b{w}\b").alias(f"n_{w}") for w in ("if", "for", "while", "repeat", "continue", "return")}
     methods = F.regexp_extract_all(code, F.lit(r":\s*([A-Za-z_]\w*)\s*\("), F.lit(1))
     return classified.select("artifact_id", *words.values(), F.size(methods).cast("long").alias("method_calls"), F.size(F.array_distinct(methods)).cast("long").alias("distinct_methods"))
 
@@ -55,6 +56,37 @@ def budget_prefix(sources: DataFrame, budget: int, text_col: str = "text") -> Da
     return lines.where(F.col("running") <= budget).select("artifact_id", (F.col("at") + 1).cast("long").alias("line"), "running")
 
 
+def line_bytes(sources: DataFrame, text_col: str = "text") -> DataFrame:
+    """(artifact_id, line, size): bytes of each line with its line end; only sizes become rows."""
+    sizes = F.transform(F.split(text_col, "\n"), lambda t: (F.octet_length(t) + 1).cast("long"))
+    return sources.select("artifact_id", F.posexplode(sizes).alias("at", "size")).select("artifact_id", (F.col("at") + 1).cast("long").alias("line"), "size")
+
+
+def budget_selection(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    """The rows of each key that fit a budget, taken in order: one that doesn't fit is skipped and the next is tried.
+
+    What is left after a skip depends on all that was taken before, so no window
+    sum says it: sorted rows are folded as they pass, and a task holds one number,
+    however long a key's rows are. Rows larger than the budget never move. A null
+    key is a key; rows of null size are left out, equal places go by size.
+    """
+
+    def fold(batches):
+        last, left = object(), 0
+        for batch in batches:
+            keep = []
+            for k, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if k != last:
+                    last, left = k, budget
+                keep.append(n <= left)
+                left -= n if n <= left else 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitting = rows.where(F.col(size) <= budget).repartition(parts, key).sortWithinPartitions(key, order, size)
+    return fitting.mapInArrow(fold, rows.schema)
+
+
 def loader_facts(classified: DataFrame) -> DataFrame:
     """What a loader's masked code declares: functions, named handlers and library aliases in order, entry point, distinct keys of two digits and more, buffer functions."""
     code = F.col("code")

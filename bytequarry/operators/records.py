@@ -232,8 +232,3 @@ def broken_invariants(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """(name, want, got): expected values (name, value) that the observed ones lack or contradict."""
     rows = expected.select("name", F.col("value").alias("want")).join(observed.select("name", F.col("value").alias("got")), "name", "left")
     return rows.where(~F.col("want").eqNullSafe(F.col("got")))
-
-
-def known_profiles(artifacts: DataFrame, pinned: DataFrame) -> DataFrame:
-    """Artifacts of which loader_sha and payload_sha are pinned together."""
-    return artifacts.join(pinned.select("loader_sha", "payload_sha"), ["loader_sha", "payload_sha"], "left_semi")

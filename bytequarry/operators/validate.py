@@ -48,15 +48,15 @@ def bindings(decoded: DataFrame, children: DataFrame) -> DataFrame:
     return rows.select("prototype", "owner_pc", "child", F.col("upvalue").cast("long").alias("upvalue"), (F.col("owner_pc") + 1 + F.col("upvalue")).alias("pc"))
 
 
-def _found(rows: DataFrame, checks: list[tuple[Column, str, str]]) -> DataFrame:
-    """(prototype, pc, code, operand): a row for each check that holds; checks are evaluated in one projection."""
+def _found(rows: DataFrame, checks: list[tuple[Column, str, str]], *more: str) -> DataFrame:
+    """(prototype, pc, code, operand) and other columns: a row for each check that holds; checks are evaluated in one projection."""
     hit = lambda cond, code, operand: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(operand).alias("operand")))
-    rows = rows.select("prototype", "pc", F.explode(F.array_compact(F.array(*(hit(*c) for c in checks)))).alias("d"))
-    return rows.select("prototype", "pc", "d.code", "d.operand")
+    rows = rows.select("prototype", "pc", *more, F.explode(F.array_compact(F.array(*(hit(*c) for c in checks)))).alias("d"))
+    return rows.select("prototype", "pc", *more, "d.code", "d.operand")
 
 
-def words(decoded: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """What each word alone shows against its prototype's header: one join on the prototype."""
+def words(decoded: DataFrame, prototypes: DataFrame, *more: str) -> DataFrame:
+    """What each word alone shows against its prototype's header, with more of the word's columns if asked: one join on the prototype."""
     rows = decoded.where(~F.col("is_data")).join(prototypes, "prototype")
     name, a, b, c, bx = (F.col(x) for x in ("name", "a", "b", "c", "bx"))
     beyond = lambda r: r >= F.col("max_stack")
@@ -82,7 +82,7 @@ def words(decoded: DataFrame, prototypes: DataFrame) -> DataFrame:
         (of(["SETLIST"]) & (c == 0) & (F.col("pc") + 1 >= F.col("n_instructions")), "LUA51_MISSING_SETLIST_EXTRA", "C"),
         (of(["CLOSURE"]) & (bx >= F.col("n_children")), "LUA51_PROTOTYPE_OUT_OF_RANGE", "Bx"),
     ]
-    return _found(rows, checks)
+    return _found(rows, checks, *more)
 
 
 def links(decoded: DataFrame, prototypes: DataFrame, constants: DataFrame, children: DataFrame) -> DataFrame:
@@ -119,6 +119,25 @@ def headers(prototypes: DataFrame, variables: DataFrame, upvalue_names: DataFram
     return out.union(_found(upvalue_names.join(own.select("prototype", "pc"), "prototype"), [(F.col("name").isNull(), "LUA51_NULL_UPVALUE_NAME", "upvalue")]))
 
 
+def declarations(prototypes: DataFrame, lines: DataFrame, strings: DataFrame) -> DataFrame:
+    """(prototype, index, code, severity): what a prototype's header, its debug lines and its string constants show alone.
+
+    prototypes: (prototype, max_stack, parameters, upvalues, vararg_flags,
+    first_line, last_line); lines: (prototype, index, line); strings: (prototype,
+    index, n_bytes), the encoded length. index is null for the header. Nulls fail no check. No shuffle.
+    """
+    n = F.col("max_stack")
+    checks = [
+        ((n < 1) | (n > 250), "LUA51_INVALID_MAX_STACK", "error"), (F.col("parameters") > n, "LUA51_PARAMETERS_EXCEED_STACK", "error"), (F.col("vararg_flags") > 7, "LUA51_INVALID_VARARG_FLAGS", "error"),
+        (F.col("upvalues") > 60, "LUA51_NONCANONICAL_UPVALUE_COUNT", "warning"), ((F.col("first_line") < 0) | (F.col("last_line") < 0), "LUA51_NEGATIVE_SOURCE_LINE", "warning"),
+    ]
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for c, code, level in checks)))
+    out = prototypes.select("prototype", F.lit(None).cast("long").alias("index"), F.explode(found).alias("d")).select("prototype", "index", "d.code", "d.severity")
+    row = lambda rows, code, level: rows.select("prototype", "index", F.lit(code).alias("code"), F.lit(level).alias("severity"))
+    out = out.union(row(lines.where("line < 0"), "LUA51_NEGATIVE_DEBUG_LINE", "warning"))
+    return out.union(row(strings.where("n_bytes = 0"), "LUA51_NULL_STRING_CONSTANT", "error"))
+
+
 def severity(diagnostics: DataFrame) -> DataFrame:
     """Diagnostics with severity: debug counts that don't fit are warnings, all else is an error."""
     return diagnostics.withColumn("severity", F.when(F.col("code").startswith("LUA51_DEBUG_"), "warning").otherwise("error"))

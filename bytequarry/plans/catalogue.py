@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
@@ -216,11 +218,20 @@ def url_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.urls(pages).groupBy("scheme").agg(F.count("*").alias("urls"), F.count_distinct("artifact_id").alias("artifacts"))
 
 
-@query(f"with {_classify(views.PROGRAMS)} select artifact_id, " + ", ".join(f"{_n('code', rf'\b{w}\b')} as n_{w}" for w in ("if", "for", "while", "continue", "return")) + rf", {_n('code', r':\s*[A-Za-z_]\w*\s*\(')} as method_calls, len(list_distinct(regexp_extract_all(code, ':\s*([A-Za-z_]\w*)\s*\(', 1))) as distinct_methods from classified")
+@query(f"with {_classify(views.PROGRAMS)} select artifact_id, " + ", ".join(f"{_n('code', rf'\b{w}\b')} as n_{w}" for w in ("if", "for", "while", "repeat", "continue", "return")) + rf", {_n('code', r':\s*[A-Za-z_]\w*\s*\(')} as method_calls, len(list_distinct(regexp_extract_all(code, ':\s*([A-Za-z_]\w*)\s*\(', 1))) as distinct_methods from classified")
 def loader_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.loader_surface(C.classify(views.programs(spark, sf_dir)))
 
 
+@query(f"""with sized as (select artifact_id, unnest(sizes) as size, generate_subscripts(sizes, 1) as line from (select artifact_id, list_transform(string_split(text, chr(10)), lambda t: strlen(t) + 1) as sizes from ({views.PROGRAMS}))),
+ folded as (select artifact_id, list_reduce(list(struct_pack(left := size::bigint, picked := [struct_pack(line := line::bigint, size := size::bigint)]) order by line), lambda s, x: case when x.left <= s.left then struct_pack(left := s.left - x.left, picked := list_concat(s.picked, x.picked)) else s end, struct_pack(left := 400::bigint, picked := []::struct(line bigint, size bigint)[])) as f from sized group by artifact_id)
+select artifact_id, p.line as line, p.size as size from (select artifact_id, unnest(f.picked) as p from folded)""")
+def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each program that fit a budget of bytes, in order; a line that doesn't fit is skipped and the next is tried."""
+    lines = inventory.line_bytes(views.programs(spark, sf_dir))
+    return inventory.budget_selection(lines, "artifact_id", "line", "size", 400)
+
+
 # --- regions and lines ---------------------------------------------------------------
 
 _TOKEN_LIST = f"select artifact_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as k from (select artifact_id, regexp_extract_all(text, {_q(_LEXEMES)}) as tokens from ({views.PROGRAMS}))"
@@ -434,7 +445,7 @@ def cfg_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flow = written(graph.flow(views.instructions(spark, sf_dir)), "flow")
     blocks = written(graph.blocks(flow), "blocks")
-    return graph.reachable(written(graph.edges(flow, blocks), "edges"), blocks)
+    return flowtree.reachable(written(graph.edges(flow, blocks), "edges"), blocks)
 
 
 @query(f"with recursive {_EDGES}, reached as (select prototype, 1::bigint as block_start from blocks where block_start = 1 union select e.prototype, e.dst from reached r join edges e on e.prototype = r.prototype and e.src = r.block_start) select b.prototype, sum(block_end - b.block_start + 1)::bigint as instructions, sum(case when r.prototype is null then 0 else block_end - b.block_start + 1 end)::bigint as reachable from blocks b left join reached r on r.prototype = b.prototype and r.block_start = b.block_start group by b.prototype")
@@ -443,7 +454,7 @@ def reachable_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flow = written(graph.flow(views.instructions(spark, sf_dir)), "flow")
     blocks = written(graph.blocks(flow), "blocks")
-    reached = graph.reachable(written(graph.edges(flow, blocks), "edges"), blocks).withColumn("live", F.lit(1))
+    reached = flowtree.reachable(written(graph.edges(flow, blocks), "edges"), blocks).withColumn("live", F.lit(1))
     size = F.col("block_end") - F.col("block_start") + 1
     return blocks.join(reached, ["prototype", "block_start"], "left").groupBy("prototype").agg(F.sum(size).alias("instructions"), F.sum(F.when(F.col("live") == 1, size).otherwise(0)).alias("reachable"))
 
@@ -690,21 +701,6 @@ def bytecode_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP = lambda *names: "(" + ", ".join(str(fixed.LUA51.index(n)) for n in names) + ")"
-_CHECKS = [
-    ("opcode > 37", "INVALID_OPCODE"),
-    ("opcode <= 37 and opcode <> 22 and a >= 200", "REGISTER_OUT_OF_RANGE"),
-    (f"opcode in {_OP('ADD', 'SUB', 'MUL', 'DIV', 'MOD', 'POW', 'EQ', 'LT', 'LE', 'SETTABLE')} and (b >= 456 or c >= 456)", "CONSTANT_OUT_OF_RANGE"),
-    ("opcode = 1 and bx >= 200", "CONSTANT_OUT_OF_RANGE"),
-    ("opcode = 21 and b >= c", "INVALID_CONCAT_RANGE"),
-    ("opcode = 3 and a > b", "INVALID_LOADNIL_RANGE"),
-]
-
-
-@query(f"with {_FIELDS} select code, opcode, count(*) as n from (" + " union all ".join(f"select opcode, '{v}' as code from fields where {c}" for c, v in _CHECKS) + ") group by all")
-def bytecode_range_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.range_checks(chunk.fields(_words(spark, sf_dir)), 200, 200).groupBy("code", "opcode").agg(F.count("*").alias("n"))
-
-
 @query(f"select l_orderkey, l_linenumber, word * 1009 as value, word * 1009 as back, greatest(1, ceil(length(ltrim(bin(word * 1009), '0')) / 7.0))::int as n_bytes from ({_WORD})")
 def uleb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("word") * 1009
@@ -763,6 +759,18 @@ def lua51_word_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.severity(validate.words(code, protos))
 
 
+_LIMITS = {"max_stack": 200, "n_constants": 200, "upvalues": 60, "n_children": 8, "n_instructions": 1000}
+
+
+@query(f"with {_FIELDS}, r as (select opcode as op, l_linenumber as pc, a, b, c, bx, l_linenumber + 1 + bx - 131071 as place, {', '.join(f'{v} as {k}' for k, v in _LIMITS.items())} from fields) select code, opcode, operand, count(*) as n from (" + " union all ".join(f"select op as opcode, '{code}' as code, '{operand}' as operand from r where {cond}" for cond, code, operand in _WORD_CHECKS) + ") group by all")
+def bytecode_range_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any words against one set of limits; an opcode's place in the list is in the result."""
+    code = chunk.fields(_words(spark, sf_dir)).select(F.col("l_orderkey").alias("prototype"), F.col("l_linenumber").cast("long").alias("pc"), "word", "opcode", "a", "b", "c", "bx", "sbx", "name", "format", F.lit(False).alias("is_data"))
+    protos = code.select("prototype").distinct().select("*", *(F.lit(v).alias(k) for k, v in _LIMITS.items()))
+    found = validate.words(code, protos, "opcode")
+    return found.groupBy("code", "opcode", "operand").agg(F.count("*").alias("n"))
+
+
 @query(f"""with recursive {_HEADS}, {_CODE}, bound as (select o.*, d.op as bop, d.b as bb, d.is_data as bdata from (select prototype, pc as owner_pc, max_stack, upvalues, n_instructions, pc + 1 + unnest(range(k)) as spot from (select r.*, k.upvalues as k from r join kids k on k.prototype = r.prototype and k.index = bx where op = 36)) o left join d on d.prototype = o.prototype and d.pc = o.spot)
  select prototype, pc, 'LUA51_GLOBAL_NAME_NOT_STRING' as code, 'Bx' as operand from r where op in (5, 7) and bx < n_constants and bx % 3 <> 0
  union all select r.prototype, r.pc, 'LUA51_BRANCH_TO_DATA_WORD', 'sBx' from r join d t on t.prototype = r.prototype and t.pc = r.place and t.is_data where r.op in (22, 31, 32)
@@ -788,6 +796,23 @@ def lua51_header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.severity(validate.headers(protos, variables, names))
 
 
+_DECLARED = "select o_orderkey as prototype, 60 + o_custkey % 200 as max_stack, o_custkey % 70 as parameters, o_orderkey % 64 as upvalues, o_orderkey % 11 as vararg_flags, o_orderkey % 9 - 1 as first_line, o_custkey % 8 - 1 as last_line from orders union all select -o_orderkey, 0, 0, 0, 0, 0, 0 from orders where o_orderkey % 50 = 0"
+_DEBUG_LINES = "select l_orderkey as prototype, cast(l_linenumber as bigint) as index, cast(l_quantity as bigint) - 2 as line from lineitem"
+_STRINGS = "select l_orderkey as prototype, cast(l_linenumber as bigint) as index, case when l_tax > 0 then cast(l_quantity as bigint) % 5 end as n_bytes from lineitem"
+
+
+@query(f"""with p as ({_DECLARED}) select prototype, null::bigint as index, code, severity from (
+ select prototype, 'LUA51_INVALID_MAX_STACK' as code, 'error' as severity from p where max_stack not between 1 and 250 union all select prototype, 'LUA51_PARAMETERS_EXCEED_STACK', 'error' from p where parameters > max_stack
+ union all select prototype, 'LUA51_INVALID_VARARG_FLAGS', 'error' from p where vararg_flags > 7 union all select prototype, 'LUA51_NONCANONICAL_UPVALUE_COUNT', 'warning' from p where upvalues > 60
+ union all select prototype, 'LUA51_NEGATIVE_SOURCE_LINE', 'warning' from p where least(first_line, last_line) < 0)
+ union all select prototype, index, 'LUA51_NEGATIVE_DEBUG_LINE', 'warning' from ({_DEBUG_LINES}) where line < 0 union all select prototype, index, 'LUA51_NULL_STRING_CONSTANT', 'error' from ({_STRINGS}) where n_bytes = 0""")
+def lua51_declaration_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lineitem = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem"))
+    protos = spark.sql(_DECLARED.replace("from orders", "from {orders}"), orders=orders)
+    lines, strings = (spark.sql(q.replace("from lineitem", "from {lineitem}"), lineitem=lineitem) for q in (_DEBUG_LINES, _STRINGS))
+    return validate.declarations(protos, lines, strings)
+
+
 @query(f"""with {_HEADS} select chunk, count(*) as prototypes, sum(n_instructions)::bigint as instructions, sum(n_lines)::bigint as lines, sum(n_upvalue_names)::bigint as upvalue_names, sum(n_constants)::bigint as constants,
  coalesce((select sum(index)::bigint from consts c join protos q using (prototype) where q.chunk = p.chunk and index % 3 = 0), 0) as string_bytes, (select count(*) from lineitem join protos q on q.prototype = l_orderkey where q.chunk = p.chunk) as locals from protos p group by chunk""")
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -829,7 +854,7 @@ def coverage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
  select *, round(proven / (case when reachable = 0 then total else reachable end), 6) as proven_ratio, round((proven + protocol) / (case when reachable = 0 then total else reachable end), 6) as explained_ratio from g""")
 def live_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, blocks = _graph(spark, sf_dir)
-    return records.live_coverage(views.instructions(spark, sf_dir), blocks, graph.reachable(edges, blocks))
+    return records.live_coverage(views.instructions(spark, sf_dir), blocks, flowtree.reachable(edges, blocks))
 
 
 @query(f"with {_INS} select a.prototype, a.pc from ins a join ins b on b.prototype = a.prototype and b.pc = a.pc + 1 where a.raw_opcode = 301 and b.raw_opcode = 21")
@@ -858,11 +883,12 @@ def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.broken_invariants(observed, observed.select("name", F.lit(100).cast("long").alias("value")))
 
 
-@query("select doc_id as artifact_id, sha256(text) as loader_sha, sha256(source) as payload_sha from documents d where exists (select 1 from labels l join documents p using (doc_id) where l.quality = 1 and p.text = d.text and p.source = d.source)")
-def known_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("loader_sha"), F.sha2("source", 256).alias("payload_sha"))
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("artifact_id"))
-    return records.known_profiles(docs, docs.join(good, "artifact_id", "left_semi"))
+@query("select doc_id, sha256(text) as loader_sha256, sha256(source) as payload_sha256 from documents d where exists (select 1 from labels l join documents p using (doc_id) where l.quality = 1 and p.text = d.text and p.source = d.source)")
+def labelled_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose loader (text) and payload (source) are together those of a good document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("loader_sha256"), F.sha2("source", 256).alias("payload_sha256"))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return payloads.known_profiles(docs, docs.join(good, "doc_id", "left_semi"))
 
 
 # --- exports --------------------------------------------------------------------------------------------

@@ -274,3 +274,49 @@ def test_values_that_blocks_leave(spark):
     table = spark.createDataFrame(rows, "prototype long, pc long, raw_opcode long, word_a long, word_n long, word_q long")
     placed = spark.createDataFrame([(1, 1, r, "write", pc) for pc, r in [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1)]], "prototype long, block_start long, register long, access string, pc long")
     assert {r.register: r.value for r in dataflow.assigned_values(placed, table).collect()} == {1: "1*k0", 2: "nil", 3: None, 4: "9+-2", 5: "p7-k4"}
+
+
+# --- budgets, declarations, guards ------------------------------------------------
+
+
+def test_budget_skips_and_goes_on(spark):
+    from bytequarry.operators import inventory
+
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice([0, 1, 3, 10, 40, 101, None])) for k in [1, 2, 3, None] for i in range(60)] + [(7, i, 1) for i in range(3000)] + [(8, 0, 101)]
+    table = spark.createDataFrame([(k, i, n, "x") for k, i, n in rows], "key long, line long, size long, note string")
+    got = {(r.key, r.line) for r in inventory.budget_selection(table, "key", "line", "size", 100).collect()}
+    want, left = set(), {}
+    for k, i, n in rows:
+        if n is not None and n <= left.setdefault(k, 100):
+            left[k] -= n
+            want.add((k, i))
+    assert got == want
+    assert inventory.budget_selection(table.limit(0), "key", "line", "size", 100).count() == 0
+
+
+def test_declarations(spark):
+    from bytequarry.operators import validate
+
+    protos = spark.createDataFrame([(1, 0, 0, 0, 0, 0, 0), (2, 250, 251, 61, 8, -1, 5), (3, 251, 3, 60, 7, 0, -1), (4, 1, 1, 0, 0, 0, 0), (5, None, None, None, None, None, None)], "prototype long, max_stack long, parameters long, upvalues long, vararg_flags long, first_line long, last_line long")
+    lines = spark.createDataFrame([(1, 0, -1), (1, 1, 0), (1, 2, None)], "prototype long, index long, line long")
+    strings = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, None)], "prototype long, index long, n_bytes long")
+    rows = sorted(((r.prototype, r.index, r.code.removeprefix("LUA51_"), r.severity) for r in validate.declarations(protos, lines, strings).collect()), key=str)
+    assert rows == sorted([
+        (1, None, "INVALID_MAX_STACK", "error"), (2, None, "PARAMETERS_EXCEED_STACK", "error"), (2, None, "INVALID_VARARG_FLAGS", "error"), (2, None, "NONCANONICAL_UPVALUE_COUNT", "warning"), (2, None, "NEGATIVE_SOURCE_LINE", "warning"),
+        (3, None, "INVALID_MAX_STACK", "error"), (3, None, "NEGATIVE_SOURCE_LINE", "warning"), (1, 0, "NEGATIVE_DEBUG_LINE", "warning"), (1, 0, "NULL_STRING_CONSTANT", "error"),
+    ], key=str)
+
+
+def test_signs_that_patterns_hold_lose_no_match(spark, sf_dir):
+    from bytequarry.functions.text import count, java
+    from bytequarry.plans import views
+
+    known = {p for _, p, _ in fixed.AUDIT_SIGNALS} | {p for _, p in fixed.LUAU_SIGNALS} | {p for _, _, p in fixed.COUNTS}
+    assert known <= set(fixed.HELD)
+    extra = ["0XfF %0x1 %  0XA", "MOONSEC v3 x", "-- STACK SLOTS: 1; decoded instructions: 2; reachable cfg INSTRUCTIONS: 3", "export type A = b", "type B =", "a //= 2 b ..= 'c'", "`x`", "Protected USING luraph obfuscator V14.7", "-- Source Path: root.M[3]", "K K LURAPH"]
+    texts = views.programs(spark, sf_dir).select("text").union(spark.createDataFrame([(t,) for t in extra], "text string"))
+    both = [(F.sum(count(F.col("text"), p)), F.sum(F.regexp_count("text", F.lit(java(p))))) for p in fixed.HELD]
+    row = texts.select(*(c.alias(f"c{k}_{i}") for k, pair in enumerate(both) for i, c in enumerate(pair))).first()
+    for k, p in enumerate(fixed.HELD):
+        assert row[f"c{k}_0"] == row[f"c{k}_1"], p

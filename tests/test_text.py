@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions import fixed
 from bytequarry.functions.text import control_share, count, masked, physical_lines
-from bytequarry.operators import audit, bytestats, chunk, graph, inventory, records, streams
+from bytequarry.operators import audit, bytestats, chunk, flowtree, graph, inventory, records, streams
 from bytequarry.operators import classify as C
 from bytequarry.sources import files
 
@@ -192,7 +192,7 @@ def test_control_flow_of_a_loop(spark):
     assert got == {(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4), (1, 5, 5), (2, 1, 5), (3, 1, 3)}
     assert {(r.src, r.dst) for r in edges.where("prototype = 1").collect()} == {(1, 3), (2, 3), (3, 4), (3, 5), (4, 3)}
     assert edges.where("prototype > 1").count() == 0
-    assert {(r.prototype, r.block_start) for r in graph.reachable(edges, blocks).collect()} == {(1, 1), (1, 3), (1, 4), (1, 5), (2, 1), (3, 1)}
+    assert {(r.prototype, r.block_start) for r in flowtree.reachable(edges, blocks).collect()} == {(1, 1), (1, 3), (1, 4), (1, 5), (2, 1), (3, 1)}
 
 
 def test_dominators_and_loops(spark):
@@ -305,4 +305,4 @@ def test_empty_tables(spark):
     assert C.select_route(C.detect(C.counts(classified))).count() == 0
     assert inventory.capabilities(classified).count() == inventory.urls(classified).count() == 0
     flow = graph.flow(instructions(spark, []))
-    assert graph.reachable(graph.edges(flow, graph.blocks(flow)), graph.blocks(flow)).count() == 0
+    assert flowtree.reachable(graph.edges(flow, graph.blocks(flow)), graph.blocks(flow)).count() == 0
