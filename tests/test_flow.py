@@ -301,7 +301,7 @@ def test_declarations(spark):
     protos = spark.createDataFrame([(1, 0, 0, 0, 0, 0, 0), (2, 250, 251, 61, 8, -1, 5), (3, 251, 3, 60, 7, 0, -1), (4, 1, 1, 0, 0, 0, 0), (5, None, None, None, None, None, None)], "prototype long, max_stack long, parameters long, upvalues long, vararg_flags long, first_line long, last_line long")
     lines = spark.createDataFrame([(1, 0, -1), (1, 1, 0), (1, 2, None)], "prototype long, index long, line long")
     strings = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, None)], "prototype long, index long, n_bytes long")
-    rows = sorted(((r.prototype, r.index, r.code.removeprefix("LUA51_"), r.severity) for r in validate.declarations(protos, lines, strings).collect()), key=str)
+    rows = sorted(((r.prototype, r["index"], r.code.removeprefix("LUA51_"), r.severity) for r in validate.declarations(protos, lines, strings).collect()), key=str)
     assert rows == sorted([
         (1, None, "INVALID_MAX_STACK", "error"), (2, None, "PARAMETERS_EXCEED_STACK", "error"), (2, None, "INVALID_VARARG_FLAGS", "error"), (2, None, "NONCANONICAL_UPVALUE_COUNT", "warning"), (2, None, "NEGATIVE_SOURCE_LINE", "warning"),
         (3, None, "INVALID_MAX_STACK", "error"), (3, None, "NEGATIVE_SOURCE_LINE", "warning"), (1, 0, "NEGATIVE_DEBUG_LINE", "warning"), (1, 0, "NULL_STRING_CONSTANT", "error"),
