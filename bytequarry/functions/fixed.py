@@ -320,3 +320,7 @@ HELD = {
     r"\b(?:L\d+_\d+|A\d+_\d+)\b": [["_"]],
     r"\b[A-Za-z_]\w*(?:\s*[.:]\s*[A-Za-z_]\w*)*\s*\(": [["("]],
 }
+
+# The index that a call gives after a stream, and escapes of quoted literals that stand for control signs.
+DECLARED = r"\s*,\s*(\d{1,4})\s*\)"
+ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}

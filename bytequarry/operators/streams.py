@@ -56,3 +56,46 @@ def accepted(candidates: DataFrame, *keys: str) -> DataFrame:
     """(keys, skip, little, data) of each stream's preferred reading."""
     best = candidates.groupBy(*keys).agg(F.min_by(F.struct("skip", "little", "data"), "rank").alias("best"))
     return best.select(*keys, "best.*")
+
+
+def unescaped(literal: Column) -> Column:
+    """What a quoted literal's text stands for: decimal and control escapes, and any other sign after a backslash as itself."""
+    named = F.create_map(*(F.lit(x) for pair in fixed.ESCAPES.items() for x in pair))
+    parts = F.regexp_extract_all(literal, F.lit(r"\\\d{1,3}|\\[\s\S]|[^\\]+"), F.lit(0))
+    one = lambda t: F.when(~t.startswith("\\"), t).when(t.rlike(r"^\\\d"), F.char(F.substring(t, 2, 3).cast("int"))).otherwise(F.coalesce(F.try_element_at(named, F.substring(t, 2, 1)), F.substring(t, 2, 1)))
+    return F.when(F.contains(literal, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(literal)
+
+
+def stream_pairs(sources: DataFrame, text_col: str = "text") -> DataFrame:
+    """(artifact_id, streams: array of (text, declared), at least two): the streams of each text in their order.
+
+    text is what the literal stands for, marks included; declared the index that
+    a call gives after it (at most four digits), or null. Texts with fewer streams
+    have no row. No shuffle.
+    """
+    after = F.lit(f"(?:{fixed.STREAM})(?:{fixed.DECLARED})?")
+    every = lambda k: F.regexp_extract_all(text_col, after, F.lit(k))
+    plain = lambda t: F.regexp_replace(t, fixed.DECLARED + r"\z", "")
+    quoted = lambda t: unescaped(F.substring(t, F.lit(2), F.length(t) - 2))
+    body = lambda t: F.when(t.startswith("["), F.regexp_replace(F.regexp_replace(t, r"^\[=*\[", ""), r"\]=*\]\z", "")).otherwise(quoted(t))
+    both = F.zip_with(every(0), every(2), lambda t, d: F.struct(body(plain(t)).alias("text"), F.nullif(d, F.lit("")).cast("int").alias("declared")))
+    return sources.select("artifact_id", both.alias("streams")).where(F.size("streams") >= 2)
+
+
+def accepted_pairs(pairs: DataFrame) -> DataFrame:
+    """(artifact_id, streams, skip, little, data: array of bytes) of texts whose streams all decode in one way.
+
+    Ways are tried in order: what the first stream declares, then the fixed
+    numbers of signs to leave out, for each first little-endian words. The first
+    way counts in which every stream decodes and the first one's bytes begin as
+    compressed data do, with zero. Texts without such a way have no row. All in
+    the row: a stream's bytes are never shuffled.
+    """
+    declared = F.col("streams")[0]["declared"] - 1
+    skips = F.array_distinct(F.array_compact(F.array(F.when(declared >= 0, declared), *(F.lit(k) for k in fixed.STREAM_SKIPS))))
+    ways = F.flatten(F.transform(skips, lambda k: F.array(*(F.struct(k.alias("skip"), F.lit(little).alias("little")) for little in (True, False)))))
+    rest = lambda t, w: F.substring(t["text"], w["skip"] + 1, F.length(t["text"]))
+    data = lambda w: F.transform("streams", lambda t: F.when(F.length(t["text"]) > w["skip"], F.when(w["little"], ascii85(rest(t, w), True)).otherwise(ascii85(rest(t, w), False))))
+    read = F.transform(ways, lambda w: F.struct(w["skip"].alias("skip"), w["little"].alias("little"), data(w).alias("data")))
+    good = F.filter(read, lambda r: ~F.exists(r["data"], lambda d: d.isNull() | (F.octet_length(d) == 0)) & (F.substring(F.hex(r["data"][0]), 1, 2) == "00"))
+    return pairs.withColumn("_first", F.get(good, F.lit(0))).where("_first is not null").select("artifact_id", F.size("streams").alias("streams"), "_first.skip", "_first.little", "_first.data")

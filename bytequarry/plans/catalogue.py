@@ -620,6 +620,44 @@ _BODIES = f"""select o_orderkey, v, w, concat({_GROUP("v")}, case when o_orderke
 _BIG = "case when o_orderkey % 9 <> 0 and o_orderkey % 31 <> 0 then concat(lpad(hex(v), 8, '0'), case when o_orderkey % 5 = 0 then '00000000' else '' end, lpad(hex(w), 8, '0')) end"
 
 
+_ESCAPED = lambda t: f"replace(replace({t}, chr(92), concat(chr(92), '092')), chr(34), concat(chr(92), '034'))"
+#: Two streams an order, in long brackets or quoted with escapes, after signs that don't belong to them; some declare where they start, some don't decode.
+_WRAPPERS = f"""select o_orderkey as artifact_id, case when o_orderkey % 6 = 1 then concat('local V,y=Y("', {_ESCAPED("one")}, '"', said, '),Y(', chr(34), {_ESCAPED("two")}, '")') when o_orderkey % 13 = 0 then concat('Y([[', one, ']])')
+  else concat('local V,y=Y([=[', one, ']=]', said, '),Y([==[', two, ']==])') end as text from (
+ select o_orderkey, concat('LPH@', pad, {_GROUP("v")}, {_GROUP("w")}) as one, concat('LPH!', pad, {_GROUP("w")}, case when o_orderkey % 5 = 2 then 'z' else '' end, {_GROUP("v")}, case when o_orderkey % 7 = 0 then 'x' else '' end) as two, case when length(pad) = 2 then ' , 7 ' else '' end as said
+ from (select o_orderkey, case o_orderkey % 3 when 0 then (o_orderkey * 2654435761) % 16777216 * 256 when 1 then (o_orderkey * 2654435761) % 16777216 else (o_orderkey * 2654435761) % 4294967296 end as v, (o_orderkey * 40503) % 4294967296 as w,
+  case when o_orderkey % 5 = 0 then 'VV' else repeat('V', cast(o_orderkey % 4 as int) * 5) end as pad from orders) t) t"""
+_STREAMS = r"""found as (select artifact_id, unnest(regexp_extract_all(text, '(?:\[\[LPH[\s\S]*?\]\]|\[=\[LPH[\s\S]*?\]=\]|\[==\[LPH[\s\S]*?\]==\]|"LPH[^"\n]*")(?:\s*,\s*\d{1,4}\s*\))?')) as literal, generate_subscripts(regexp_extract_all(text, '(?:\[\[LPH[\s\S]*?\]\]|\[=\[LPH[\s\S]*?\]=\]|\[==\[LPH[\s\S]*?\]==\]|"LPH[^"\n]*")(?:\s*,\s*\d{1,4}\s*\))?'), 1) as ordinal from ({wrappers}) t),
+ bare as (select *, nullif(regexp_extract(literal, ',\s*(\d{1,4})\s*\)$', 1), '')::int as declared, regexp_replace(literal, '\s*,\s*\d{1,4}\s*\)$', '') as l from found),
+ streams as (select artifact_id, ordinal, declared, case when starts_with(l, '[') then regexp_replace(regexp_replace(l, '^\[=*\[', ''), '\]=*\]$', '') else replace(replace(substr(l, 2, length(l) - 2), '\034', '"'), '\092', '\') end as text from bare),
+ pairs as (select * from streams where artifact_id in (select artifact_id from streams group by artifact_id having count(*) >= 2))""".replace("{wrappers}", _WRAPPERS)
+
+
+def _wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_WRAPPERS.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+@query(f"with {_STREAMS} select artifact_id, ordinal, text, declared from pairs")
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.stream_pairs(_wrappers(spark, sf_dir)).select("artifact_id", F.posexplode("streams").alias("at", "s"))
+    return rows.select("artifact_id", (F.col("at") + 1).cast("long").alias("ordinal"), "s.text", "s.declared")
+
+
+@query(rf"""with {_STREAMS}, tries as (select artifact_id, unnest(list_distinct([declared - 1, 4, 14, 9, 19])) as skip, declared from pairs where ordinal = 1), ranked as (select artifact_id, skip, case when skip = declared - 1 then 0 else list_position([4, 14, 9, 19], skip) end as place from tries where skip is not null and skip >= 0),
+ ways as (select *, 2 * place + case when little then 0 else 1 end as rank from ranked, (values (true), (false)) t(little)),
+ readings as (select w.artifact_id, skip, little, rank, ordinal, regexp_extract_all(substr(text, skip + 1), 'z|[!-u]{{5}}') as groups, substr(text, skip + 1) as body from ways w join pairs p using (artifact_id)),
+ valued as (select *, list_transform(groups, lambda g: case when g = 'z' then 0::bigint else ((((ascii(g[1]) - 33)::bigint * 85 + ascii(g[2]) - 33) * 85 + ascii(g[3]) - 33) * 85 + ascii(g[4]) - 33) * 85 + ascii(g[5]) - 33 end) as words from readings),
+ decoded as (select *, len(body) > 0 and array_to_string(groups, '') = body and len(list_filter(words, lambda w: w > 4294967295)) = 0 as fine,
+  array_to_string(list_transform(words, lambda w: case when little then printf('%02X%02X%02X%02X', w & 255, (w >> 8) & 255, (w >> 16) & 255, w >> 24) else printf('%08X', w) end), '') as data from valued),
+ accepted as (select artifact_id, skip, little, rank, count(*) as streams, string_agg(data, ',' order by ordinal) as data from decoded group by all having bool_and(fine) and starts_with(string_agg(data, ',' order by ordinal), '00'))
+select artifact_id, streams::int as streams, skip, little, data from accepted qualify row_number() over (partition by artifact_id order by rank) = 1""")
+def accepted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one way in which both streams of a wrapper decode."""
+    found = streams.accepted_pairs(streams.stream_pairs(_wrappers(spark, sf_dir)))
+    return found.withColumn("data", F.array_join(F.transform("data", lambda d: F.hex(d)), ","))
+
+
+
 @query(f"select o_orderkey, big, list_aggregate(list_transform(range(0, length(big) // 8), lambda g: big[g * 8 + 7:g * 8 + 8] || big[g * 8 + 5:g * 8 + 6] || big[g * 8 + 3:g * 8 + 4] || big[g * 8 + 1:g * 8 + 2]), 'string_agg', '') as little from (select o_orderkey, {_BIG} as big from ({_BODIES}))")
 def ascii85_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder below the shared one that ``written`` uses.
+_FOLDER: ContextVar[str] = ContextVar("folder", default="tables")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and all runs in one local process, a new folder of this machine.
 
@@ -30,12 +37,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     that reading needs no inference, and empty tables work.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_FOLDER.get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete what ``written`` left; call it when no result that reads it is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for what ``written`` leaves within the block; it is deleted when the block ends.
+
+    Results that read it must be written or collected within the block. Blocks may
+    lie within blocks.
+    """
+    folder = f"{_FOLDER.get()}/run-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield f"{shared_dir(spark)}/{folder}"
+    finally:
+        _FOLDER.reset(token)
+        drop(spark, f"{shared_dir(spark)}/{folder}")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all that ``written`` left outside of scratch blocks; call it when no result that reads it is needed."""
+    drop(spark, f"{shared_dir(spark)}/tables")
