@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import drop_tables, shared_dir, written
+from ..plans.tables import drop, drop_tables, scratch, shared_dir, written
 
-__all__ = ["drop_tables", "shared_dir", "written"]
+__all__ = ["drop", "drop_tables", "scratch", "shared_dir", "written"]
 
 #: Bytes of text that the numpy helpers look at together; longer documents stand alone.
 SLICE_BYTES = 1 << 20

@@ -150,7 +150,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def take(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as mix_copies says, without the columns that ``mix`` added."""
+    """The mix itself: each row as often as mix_copies says, without the columns that ``mix`` added.
+
+    Rows of null mix_copies, and blank texts, of which ``mix`` takes none, go; repeated rows are taken each as often as
+    their own copies say; an empty table gives none.
+    """
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
     kept = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
     return mixed.where("mix_copies > 0").select(*kept, times.alias("_bq_copy")).select(*kept)

@@ -221,6 +221,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """All rows and columns of ``docs`` with held_out, quality_score and quality_predicted (0 or 1).
 
+    ``docs`` has its ids in doc_id and texts in text, ``labels`` (doc_id, quality). Null texts count as empty, and an
+    empty text has the score that the model gives without features; a null id is held out as the empty text is, and meets no label.
+
     Scores come from texts alone. Rows with equal texts have equal scores. An
     empty table of documents gives no rows; an empty table of labels gives every
     text the score 0.5. Columns of ``docs`` with these names are replaced.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, mix64, powers, slices, written
+from .common import fits_broadcast, mix64, pieces, powers, slices, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -356,8 +356,8 @@ def _merge_spans(batches):
 def _remove(length: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
+            for part in pieces(batch, "text", rows=256):
+                out = []
                 for doc, text, copies, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "copies", "spans")), strict=True):
                     data = text.encode()
                     gone = [(0, len(data))] if (copies or 1) > 1 and len(data) >= length else [(s["lo"], min(s["hi"], len(data))) for s in spans or []]

@@ -5,6 +5,8 @@ import numpy as np
 import corpus_pipeline
 from bytequarry.llm import pii
 from bytequarry.llm.queries import QUERIES
+from tests.llm.helpers import awkward
+from tests.llm.helpers import docs as docs_of
 from tests.llm.test_neardup import brute
 from tests.llm.test_pii import plain_bootstrap
 from tests.llm.test_tokens import plain  # noqa: F401
@@ -44,5 +46,23 @@ def test_run_equals_its_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stages_take_awkward_and_empty_tables(spark, sf_dir):
+    rows = awkward()
+    for table in (docs_of(spark, rows, clash=True), docs_of(spark, rows).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, table, sf_dir).collect()
+            if not table.limit(1).count():
+                assert found == [], name
+            elif name == "near-duplicates":
+                assert sorted((r.doc_id or 0) for r in found if r.doc_id in (4, 5, 6)) == [4]
+                assert {r.doc_id for r in found} >= {None, 1, 2, 3, 7, 8}
+            elif name == "packing":
+                assert sorted({r.doc_id for r in found}, key=str) == sorted({r[0] for r in rows}, key=str)
+            elif name == "personal data":
+                assert sorted(((r.doc_id, r.text or "") for r in found), key=str) == sorted(((r[0], r[1] or "") for r in rows), key=str)
+            else:
+                assert {(r.doc_id, r.text) for r in found} <= {(r[0], r[1]) for r in rows}, name
+
+
 def test_every_operator_is_registered():
-    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(k) for k in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(k) for k in range(1, 14)]
