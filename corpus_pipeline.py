@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm import mixture, nbsvm, neardup, pii, tokens
-from bytequarry.llm.common import shared_dir, table
+from bytequarry.llm.common import drop, scratch, shared_dir, table
 from bytequarry.llm.queries import END_ID, LENGTH, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,11 +59,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole documents table; each stage is written and read again."""
+    """The rows of the last stage over the whole documents table.
+
+    Each stage is written and read again; its intermediate tables go when it is
+    written, and its input when the next stage is. What the last stage wrote stays for the caller.
+    """
     docs = table(spark, sf_dir, "documents").select(*(F.col(c) for c in COLUMNS))
     where = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{where}/{k}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{where}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{where}/{k}")
+        if k:
+            drop(spark, f"{where}/{k - 1}")
     return docs
