@@ -1000,9 +1000,16 @@ def behavior_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- loaders and payloads ---------------------------------------------------------------------------------
 
 
-@query()
+_LIBRARY = r"(?:math|string|bit32|buffer|table|coroutine)(?:\s*\.\s*[A-Za-z_]\w*)?"
+_FIRSTS = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+@query(rf"""with masked as (select artifact_id, {_MASK} as code from ({views.PROGRAMS})), parts as (select *, regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*=\s*function\s*\(', 1) as handlers, regexp_extract_all(code, {_q(rf"\b([A-Za-z_]\w*)\s*=\s*({_LIBRARY})")}, 1) as names,
+ regexp_extract_all(code, {_q(rf"\b([A-Za-z_]\w*)\s*=\s*({_LIBRARY})")}, 2) as libraries from masked)
+select artifact_id, {_n("code", r"\bfunction\b")} as functions, array_to_string({_FIRSTS("handlers")}, ',') as handlers, nullif(regexp_extract(code, '\}}\)\s*:\s*([A-Za-z_]\w*)\s*\(\s*\)\s*;?\s*\z', 1), '') as entrypoint,
+ array_to_string(list_transform(names, lambda n, i: n || ' -> ' || regexp_replace(libraries[i], '\s+', '', 'g')), ',') as aliases, len(list_distinct(regexp_extract_all(code, '\[\s*(\d{{2,}})\s*\]', 1))) as numeric_keys,
+ concat_ws(',', {", ".join(f"case when {_any('code', rf'\b{a}\b')} then '{a}' end" for a in fixed.BUFFER_APIS)}) as buffer_apis from parts""")
 def loader_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests hold it against plain patterns."""
     return inventory.loader_facts(C.classify(views.programs(spark, sf_dir)))
 
 
