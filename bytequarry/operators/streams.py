@@ -79,7 +79,9 @@ def stream_pairs(sources: DataFrame, text_col: str = "text") -> DataFrame:
     quoted = lambda t: unescaped(F.substring(t, F.lit(2), F.length(t) - 2))
     body = lambda t: F.when(t.startswith("["), F.regexp_replace(F.regexp_replace(t, r"^\[=*\[", ""), r"\]=*\]\z", "")).otherwise(quoted(t))
     both = F.zip_with(every(0), every(2), lambda t, d: F.struct(body(plain(t)).alias("text"), F.nullif(d, F.lit("")).cast("int").alias("declared")))
-    return sources.select("artifact_id", both.alias("streams")).where(F.size("streams") >= 2)
+    # Asked of the text: a condition on the streams would read them once more.
+    several = F.regexp_count(F.col(text_col), after) >= 2
+    return sources.where(several).select("artifact_id", both.alias("streams"))
 
 
 def accepted_pairs(pairs: DataFrame) -> DataFrame:
@@ -98,4 +100,5 @@ def accepted_pairs(pairs: DataFrame) -> DataFrame:
     data = lambda w: F.transform("streams", lambda t: F.when(F.length(t["text"]) > w["skip"], F.when(w["little"], ascii85(rest(t, w), True)).otherwise(ascii85(rest(t, w), False))))
     read = F.transform(ways, lambda w: F.struct(w["skip"].alias("skip"), w["little"].alias("little"), data(w).alias("data")))
     good = F.filter(read, lambda r: ~F.exists(r["data"], lambda d: d.isNull() | (F.octet_length(d) == 0)) & (F.substring(F.hex(r["data"][0]), 1, 2) == "00"))
-    return pairs.withColumn("_first", F.get(good, F.lit(0))).where("_first is not null").select("artifact_id", F.size("streams").alias("streams"), "_first.skip", "_first.little", "_first.data")
+    first = pairs.select("artifact_id", F.size("streams").alias("_n"), F.explode(F.slice(good, 1, 1)).alias("_first"))
+    return first.select("artifact_id", F.col("_n").alias("streams"), "_first.skip", "_first.little", "_first.data")
