@@ -1,4 +1,4 @@
-"""Trees over control flow and closures: spanning and dominator trees, intervals, loop nesting, emission order.
+"""Trees over control flow and closures: spanning and dominator trees, intervals, loop nesting, block and emission order.
 
 Trees are rows (prototype, node, parent), the parent null at a root. Orders come
 from Euler tours ranked by pointer doubling, and nearest common ancestors by
@@ -182,6 +182,51 @@ def loop_nesting(edges: DataFrame, dominators: DataFrame) -> DataFrame:
     return inner.join(outer, ["prototype", "loop"], "left").select("prototype", "block_start", "depth", "loop", "outer")
 
 
+def block_order(ways: DataFrame, entry: int = ENTRY) -> DataFrame:
+    """(prototype, block_start, place) of the blocks that the entry reaches: places from 1, such that jumps become neighbours.
+
+    ways: (prototype, block_start, preferred, alternative), each block once. A run
+    goes from a start along preferred ways until it meets a placed block;
+    alternatives of its blocks wait in a queue, whose first unplaced block starts
+    the next run. What waits when a run begins is popped before what the run adds,
+    so runs come in waves, and all runs of a wave are made at once: of a wave's
+    starts that lead to a block, the first holds it, in order of its distance. First
+    starts and distances come from pointer doubling; rounds are the waves times the
+    logarithm of a prototype's unplaced blocks. Ways to unknown blocks are ways out.
+    """
+    known = written(ways.select("prototype", "block_start", "preferred", "alternative"), "ways")
+    free = known
+    starts = written(known.where(F.col("block_start") == entry).select("prototype", "block_start", F.lit(1).cast("long").alias("rank")), "starts")
+    placed, wave = written(starts.select("prototype", "block_start", F.lit(0).alias("wave"), "rank", F.lit(0).cast("long").alias("steps")).limit(0), "placed"), 0
+    while starts.limit(1).count():
+        wave += 1
+        runs = written(first_holders(free.join(starts.select("prototype").distinct(), "prototype", "left_semi"), starts).withColumn("wave", F.lit(wave)), "runs")
+        placed = written(placed.unionByName(runs), "placed")
+        free = written(free.join(runs, ["prototype", "block_start"], "left_anti"), "free")
+        # An alternative waits where the first of its blocks in this wave has put it.
+        waits = runs.join(known, ["prototype", "block_start"]).groupBy("prototype", F.col("alternative").alias("block_start")).agg(F.min(F.struct("rank", "steps")).alias("_by"))
+        waits = waits.join(free, ["prototype", "block_start"], "left_semi")
+        starts = written(waits.select("prototype", "block_start", F.row_number().over(Window.partitionBy("prototype").orderBy("_by")).cast("long").alias("rank")), "starts")
+    order = Window.partitionBy("prototype").orderBy("wave", "rank", "steps")
+    return placed.select("prototype", "block_start", F.row_number().over(order).cast("long").alias("place"))
+
+
+def first_holders(ways: DataFrame, starts: DataFrame) -> DataFrame:
+    """(prototype, block_start, rank, steps): of the starts (prototype, block_start, rank) that preferred ways lead from to a block, the least rank and its distance."""
+    labels = written(ways.select("prototype", "block_start").join(starts, ["prototype", "block_start"], "left").select("prototype", "block_start", F.when(F.col("rank").isNotNull(), F.struct("rank", F.lit(0).cast("long").alias("steps"))).alias("label")), "labels")
+    there = ways.select("prototype", F.col("block_start").alias("to"))
+    jumps = written(ways.select("prototype", "block_start", F.col("preferred").alias("to")).join(there, ["prototype", "to"], "left_semi"), "jumps")
+    most, steps = ways.groupBy("prototype").count().agg(F.max("count")).first()[0] or 0, 1
+    while steps < most and jumps.limit(1).count():
+        ahead = labels.where("label is not null").join(jumps, ["prototype", "block_start"])
+        ahead = ahead.select("prototype", F.col("to").alias("block_start"), F.struct(F.col("label.rank").alias("rank"), (F.col("label.steps") + steps).alias("steps")).alias("label"))
+        labels = written(labels.unionByName(ahead).groupBy("prototype", "block_start").agg(F.min("label").alias("label")), "labels")
+        twice = jumps.select("prototype", F.col("block_start").alias("to"), F.col("to").alias("_to"))
+        jumps = written(jumps.join(twice, ["prototype", "to"]).select("prototype", "block_start", F.col("_to").alias("to")), "jumps")
+        steps *= 2
+    return labels.where("label is not null").select("prototype", "block_start", "label.rank", "label.steps")
+
+
 def emission_order(closures: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(prototype, node, parent, place): prototypes of a group such that what a prototype creates comes before it.
 

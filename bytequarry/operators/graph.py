@@ -48,6 +48,18 @@ def edges(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.where("dst between 1 and size").select("prototype", "src", "dst").distinct()
 
 
+def ways(flow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(prototype, block_start, preferred, alternative): a row a block; null where there is no such way, or it leaves the prototype.
+
+    Preferred is what follows a block or its jump leads to; after a branch, the next block, and the branch's target is the alternative.
+    """
+    last = blocks.join(flow.withColumnRenamed("pc", "block_end"), ["prototype", "block_end"])
+    kind, target, after = F.col("kind"), F.col("target").cast("long"), F.col("block_end") + 1
+    to = F.when(kind.isin(*JUMPS), target).when(kind.isNull() | kind.isin(*BRANCHES), after)
+    within = lambda c, name: F.when(c.between(1, F.col("size")), c).alias(name)
+    return last.select("prototype", "block_start", within(to, "preferred"), within(F.when(kind.isin(*BRANCHES), target), "alternative"))
+
+
 def dominators(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(prototype, block_start, dominator) of reachable blocks: what every way from the block at 1 passes, itself included.
 

@@ -513,6 +513,20 @@ def loop_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flowtree.loop_nesting(edges, flowtree.dominator_tree(edges, blocks))
 
 
+@query(f"""with recursive {_EDGES}, ways as (select prototype, src, case when kind in ('jump', 'for-prep') and target between 1 and size then target when (kind is null or kind in ('test', 'compare-jump', 'for-loop')) and block_end < size then block_end + 1 end as preferred,
+  case when kind in ('test', 'compare-jump', 'for-loop') and target between 1 and size then target end as alternative from ends),
+ walk as (select prototype, 1::bigint as here, [1::bigint] as placed, []::bigint[] as queue, 1::bigint as place from blocks where block_start = 1
+  union all select prototype, following, list_append(placed, following), queue, place + 1 from (select prototype, placed, queue, place, case when preferred is not null and not list_contains(placed, preferred) then preferred else list_filter(queue, lambda b: not list_contains(placed, b))[1] end::bigint as following
+   from (select w.prototype, w.placed, w.place, s.preferred, case when s.alternative is null then w.queue else list_append(w.queue, s.alternative::bigint) end as queue from walk w join ways s on s.prototype = w.prototype and s.src = w.here)) where following is not null)
+select prototype, here as block_start, place from walk""")
+def cfg_block_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in the order in which they are written out: preferred ways first, then waiting alternatives. The SQL walks block by block."""
+    from .tables import written
+
+    flow = written(graph.flow(views.instructions(spark, sf_dir)), "flow")
+    return flowtree.block_order(graph.ways(flow, graph.blocks(flow)))
+
+
 @query(f"""with recursive {_INS}, creates as (select o.o_custkey as prototype, i.prototype as node, c.o_orderkey as child from ins i join orders o on o.o_orderkey = i.prototype join orders c on c.o_custkey = o.o_custkey and c.o_orderkey <> i.prototype and (c.o_orderkey + i.word_a // 8) % 3 = 0),
  made as (select prototype, child as node, min(node) as up from creates group by all), known as (select o_custkey as prototype, o_orderkey as node from orders),
  ways as (select prototype, node as start, up as node, 1 as steps from made union all select w.prototype, w.start, m.up, w.steps + 1 from ways w join made m on m.prototype = w.prototype and m.node = w.node where w.steps < 60),

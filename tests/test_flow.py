@@ -97,6 +97,37 @@ def test_a_path_of_many_blocks_takes_few_rounds(spark, monkeypatch):
     assert max(rounds.count(k) for k in set(rounds)) < 20
 
 
+def plain_block_order(ways):
+    order, queue = [], [1]
+    while queue:
+        at = queue.pop(0)
+        while at in ways and at not in order:
+            order.append(at)
+            at, other = ways[at]
+            queue.append(other)
+    return {b: k + 1 for k, b in enumerate(order)}
+
+
+def test_block_order(spark):
+    rng = random.Random(21)
+    pick = lambda n, share: rng.randint(1, n + 1) if rng.random() < share else None
+    graphs = {p: {b: (b + 1 if rng.random() < 0.5 else pick(n, 0.8), pick(n, 0.7)) for b in range(1, n + 1)} for p in range(60) for n in [rng.randint(1, 12)]}
+    graphs[60] = {2: (2, None)}  # no entry
+    rows = spark.createDataFrame([(p, b, x, y) for p, g in graphs.items() for b, (x, y) in g.items()], "prototype long, block_start long, preferred long, alternative long")
+    got = {(r.prototype, r.block_start): r.place for r in flowtree.block_order(rows).collect()}
+    assert got == {(p, b): k for p, g in graphs.items() if 1 in g for b, k in plain_block_order(g).items()}
+    assert flowtree.block_order(rows.limit(0)).count() == 0
+
+
+def test_block_order_of_long_runs_takes_few_rounds(spark, monkeypatch):
+    n = 10_000
+    rows = spark.range(1, n + 1).selectExpr("1L as prototype", "id as block_start", "id % 10000 + 1 as preferred", f"if(id = 5, {n}L, null) as alternative")
+    rounds, real = [], flowtree.written
+    monkeypatch.setattr(flowtree, "written", lambda df, name: rounds.append(name) or real(df, name))
+    assert flowtree.block_order(rows).where("place = block_start").count() == n
+    assert max(rounds.count(k) for k in set(rounds)) < 20
+
+
 def plain_post_order(nodes, closures):
     parent = {}
     for c in nodes:
