@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic, fixed
-from ..operators import audit, bytestats, chunk, dataflow, exports, flowtree, graph, inventory, lexical, payloads, records, streams, validate
+from ..operators import audit, bytestats, chunk, dataflow, exports, flowtree, folding, graph, inventory, lexical, payloads, records, streams, validate
 from ..operators import classify as C
 from . import routes, views
 
@@ -252,6 +252,29 @@ def offsets_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.regions_with_lines(views.programs(spark, sf_dir))
 
 
+#: Sentences of documents; what joined ones fold to, the others as they stand. Bytes but printable ASCII take three digits.
+_FOLDED_BYTES = r"""array_to_string(list_transform(regexp_extract_all({c}, '[\s\S]'), lambda c: case when c = '"' then '\"' when c = '\' then '\\' when ascii(c) between 32 and 126 then c
+  else array_to_string(list_transform(range(0, strlen(c)), lambda k: '\' || lpad((('0x' || hex(encode(c))[2 * k + 1:2 * k + 2])::int)::varchar, 3, '0')), '') end), '')"""
+_FOLDED = rf"""cut as (select doc_id as artifact_id, doc_id % 3 as turn, string_split(coalesce(text, ''), '. ') as parts from documents),
+ sentences as (select artifact_id, turn, k, len(parts) as n, parts[k] || case when k < len(parts) then '.' else '' end as said from (select *, unnest(range(1, len(parts) + 1)) as k from cut)),
+ written as (select *, '"' || replace(replace(replace(replace(replace(said, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), ', ', ', ".."') || '"' as raw, turn = 1 or (contains(said, ', ') and (turn = 0 or k = n)) as folds from sentences),
+ spans as (select *, case when turn = 1 then '(' || raw || ').."!"' else raw || case when turn = 2 and k < n then '..x' else '' end end as before,
+  '"' || {_FOLDED_BYTES.format(c="said || case when turn = 1 then '!' else '' end")} || '"' as literal from written),
+ placed as (select *, 11 + coalesce(sum(length(before) + 1) over (partition by artifact_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start from spans)"""
+
+
+@query(f"with {_FOLDED} select artifact_id, start, start + length(before) as \"end\", literal as replacement from placed where folds")
+def literal_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of joined literals and what they fold to."""
+    return folding.edit_rows(folding.fold(views.literals(spark, sf_dir)))
+
+
+@query(f"with {_FOLDED} select artifact_id, case when bool_or(folds) then 'folded' else 'none' end as fold_status, count(*) filter (folds) as edits, 'local t = {{' || string_agg(case when folds then literal else before end, ',' order by k) || '}}' as folded from placed group by artifact_id")
+def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts after the edits."""
+    return folding.fold(views.literals(spark, sf_dir)).select("artifact_id", "fold_status", F.size("edits").cast("long").alias("edits"), "folded")
+
+
 @query("select doc_id as artifact_id, unnest(range(1, len(sizes) + 1)) as line, unnest(list_transform(range(0, len(sizes)), lambda k: list_sum(sizes[1:k]) + k)) as start from (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: length(t)) as sizes from documents)".replace("list_sum(sizes[1:k]) + k", "coalesce(list_sum(sizes[1:k]), 0)::bigint + k"))
 def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.line_starts(views.documents(spark, sf_dir))

@@ -49,6 +49,16 @@ select doc_id as artifact_id, concat('f', {_ID}, case when doc_id % 3 = 0 then '
 from documents
 """
 
+_SAID = f"replace(replace(replace(replace(coalesce(text, ''), {_BS}, concat({_BS}, {_BS})), chr(34), concat({_BS}, chr(34))), chr(10), concat({_BS}, 'n')), chr(13), concat({_BS}, 'r'))"
+#: Documents as tables of literals: clauses joined, a sentence an entry; by turns sentences in brackets with a literal behind, or a name behind that keeps them apart.
+LITERALS = f"""
+select doc_id as artifact_id, concat('local t = ', chr(123), case when doc_id % 3 = 1 then '(' else '' end, chr(34),
+ replace(replace({_SAID}, ', ', concat(', ', chr(34), '..', chr(34))), '. ',
+  concat('.', chr(34), case doc_id % 3 when 1 then ').."!",(' when 2 then '..x,' else ',' end, chr(34))),
+ chr(34), case when doc_id % 3 = 1 then ').."!"' else '' end, chr(125)) as text
+from documents
+"""
+
 _OPCODES = [*(o[0] for o in fixed.OPCODES), *fixed.PROTOCOL_OPCODES, *range(300, 312)]
 
 #: Line items as instructions: an order is a prototype, a part a constant.
@@ -108,6 +118,10 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("is_bytecode", F.lit(False))
 
 
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LITERALS.replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PAYLOADS.replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
 
