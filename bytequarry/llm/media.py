@@ -1,8 +1,8 @@
 """ISO media containers: write payloads as sampled tracks, walk boxes, and index tracks without decoding.
 
 The index holds, for each track, its codec, duration and the byte ranges of its
-keyframes; it comes from the sample tables alone, so payload bytes are never
-looked at.
+keyframes; it comes from the sample tables and the runs of movie fragments alone,
+so payload bytes are never looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"u
 UNIT = 64  # bytes of a sample that the writer makes
 PER_CHUNK = 64  # samples of a chunk; each chunk's first sample is a keyframe
 TIMESCALE = 8000
+LONGEST = (1 << 63) - 1
+#: Flags of a run's samples, of a fragment's header and of a run, as the format numbers them.
+NOT_SYNC, BASE_GIVEN, ENTRY_GIVEN, DEFAULTS_GIVEN, BASE_IS_MOOF = 0x10000, 0x1, 0x2, (0x8, 0x10, 0x20), 0x20000
+PLACE_GIVEN, FIRST_GIVEN, EACH_GIVEN = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
 
 
 # --- writing ----------------------------------------------------------------
@@ -102,8 +106,13 @@ def boxes(data: memoryview, start: int, end: int):
 
 
 def _clock(data, at):
-    """(timescale, duration) of an mvhd or mdhd body."""
-    return struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    """(timescale, duration) of an mvhd or mdhd body; a duration of ones only is unknown, and 0 here."""
+    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    if duration == (1 << (64 if data[at] == 1 else 32)) - 1:
+        return scale, 0
+    if duration > LONGEST:
+        raise ValueError("duration")
+    return scale, duration
 
 
 def _array(data, at, end, kind, width=1, skip=4):
@@ -136,7 +145,7 @@ def _small_sizes(data, at, end) -> np.ndarray:
 
 def _track(data, start, end) -> dict:
     """Tables of one track: its boxes are walked with a list of what is still to be walked, however deep they nest."""
-    t: dict = {"codec": None, "handler": None, "timescale": 0, "duration": 0}
+    t: dict = {"codec": None, "handler": None, "timescale": 0, "duration": 0, "number": None, "runs_of_fragments": []}
     waiting = [(start, end)]
     while waiting:
         for kind, at, stop in boxes(data, *waiting.pop()):
@@ -144,6 +153,8 @@ def _track(data, start, end) -> dict:
                 waiting.append((at, stop))
             elif kind == b"mdhd":
                 t["timescale"], t["duration"] = _clock(data, at)
+            elif kind == b"tkhd":
+                (t["number"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
             elif kind == b"hdlr":
                 t["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
             elif kind == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
@@ -163,8 +174,8 @@ def _track(data, start, end) -> dict:
     return t
 
 
-def samples(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset, size, time) of each sample, from the track's tables; as many rows as there are sizes, whatever other tables say."""
+def _listed(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, size, time) of each sample of the track's tables; as many rows as there are sizes, whatever other tables say."""
     sizes, chunks, runs, times = (track.get(k, np.zeros(s, np.int64)) for k, s in (("sizes", 0), ("chunks", 0), ("runs", (0, 3)), ("times", (0, 2))))
     n = len(sizes)
     if not n or not len(chunks) or not len(runs):
@@ -185,19 +196,111 @@ def samples(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return offset, sizes, np.cumsum(steps) - steps
 
 
-def fragmented(media: bytes) -> bool:
-    """Whether samples are listed in movie fragments, outside the sample tables."""
-    data = memoryview(media)
-    return any(kind == b"moof" or (kind == b"moov" and any(k == b"mvex" for k, _, _ in boxes(data, at, stop))) for kind, at, stop in boxes(data, 0, len(data)))
+def _run(data, at, end, track, place, base, defaults, room) -> int:
+    """Add the samples of a trun body to its track; where the next run's data starts unless it says so itself."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at += 8
+    if n > room:
+        raise ValueError("samples beyond the file")
+    if flags & PLACE_GIVEN:
+        place = base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & FIRST_GIVEN:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    given = [f for f in EACH_GIVEN if flags & f]
+    if at + 4 * len(given) * n > end:
+        raise ValueError("truncated table")
+    each = dict(zip(given, np.frombuffer(data, ">u4", n * len(given), at).astype(np.int64).reshape(n, len(given)).T, strict=True))
+    steps, sizes, marks = (each[f] if f in each else np.full(n, d, np.int64) for f, d in zip(EACH_GIVEN, defaults, strict=False))
+    sync = marks & NOT_SYNC == 0
+    if first is not None and n:
+        sync[0] = not first & NOT_SYNC
+    length, lasting = int(sizes.sum()), int(steps.sum())
+    if place < 0 or place + length > len(data):
+        raise ValueError("samples beyond the file")
+    if track["clock"] + lasting > LONGEST:
+        raise ValueError("duration")
+    track["runs_of_fragments"].append((place + np.cumsum(sizes) - sizes, sizes, track["clock"] + np.cumsum(steps) - steps, sync))
+    track["clock"] += lasting
+    track["duration"] = max(track["duration"], track["clock"])
+    return place + length
+
+
+def _fragment(data, moof, start, stop, known, defaults, room) -> int:
+    """Add the samples of a moof, which starts at the place ``moof``, to their tracks; how many samples the file can still hold."""
+    follows = moof
+    for kind, at, end in boxes(data, start, stop):
+        if kind != b"traf":
+            continue
+        track = None
+        for inner, a, e in boxes(data, at, end):
+            if inner == b"tfhd":
+                flags, number = struct.unpack_from(">II", data, a)
+                track, said = known.get(number), list(defaults.get(number, (0, 0, 0)))
+                if track is None:
+                    raise ValueError("fragment of no track")
+                a += 8
+                base = moof if flags & BASE_IS_MOOF else follows
+                if flags & BASE_GIVEN:
+                    (base,) = struct.unpack_from(">Q", data, a)
+                    a += 8
+                a += 4 * bool(flags & ENTRY_GIVEN)
+                for k, flag in enumerate(DEFAULTS_GIVEN):
+                    if flags & flag:
+                        (said[k],) = struct.unpack_from(">I", data, a)
+                        a += 4
+                follows = base
+            elif inner in (b"tfdt", b"trun") and track is None:
+                raise ValueError("fragment of no track")
+            elif inner == b"tfdt":
+                (track["clock"],) = struct.unpack_from(">Q" if data[a] == 1 else ">I", data, a + 4)
+            elif inner == b"trun":
+                follows = _run(data, a, e, track, follows, base, said, room)
+                room -= len(track["runs_of_fragments"][-1][0])
+    return room
+
+
+def samples(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, size, time) of each sample: those of the track's tables, then those of fragments in the file's order."""
+    return tuple(np.concatenate(c) for c in zip(_listed(track), *(r[:3] for r in track["runs_of_fragments"]), strict=True))
+
+
+def keyframes(track: dict) -> np.ndarray:
+    """Numbers of the track's samples from 0 that are keyframes: those that its table lists (all, if there is none), and the runs' own."""
+    n = len(_listed(track)[0])
+    listed = track["sync"][(track["sync"] >= 0) & (track["sync"] < n)] if "sync" in track else np.arange(n)
+    return np.r_[listed, n + np.flatnonzero(np.concatenate([np.zeros(0, bool), *(r[3] for r in track["runs_of_fragments"])]))]
 
 
 def tracks(media: bytes) -> list[dict]:
-    """Tables of every track of a container."""
+    """Tables of every track of a container, and the runs of its movie fragments.
+
+    Without a time of its own a fragment goes on where its track has ended. All
+    fragments together list at most one sample a byte of the file.
+    """
     data = memoryview(media)
-    out = []
+    out, defaults, moofs, before = [], {}, [], 0
     for kind, at, stop in boxes(data, 0, len(data)):
         if kind == b"moov":
-            out += [_track(data, a, b) for k, a, b in boxes(data, at, stop) if k == b"trak"]
+            for inner, a, b in boxes(data, at, stop):
+                if inner == b"trak":
+                    out.append(_track(data, a, b))
+                elif inner == b"mvex":
+                    for k, c, _ in boxes(data, a, b):
+                        if k == b"trex":
+                            number, _, *said = struct.unpack_from(">5I", data, c + 4)
+                            defaults[number] = said
+        elif kind == b"moof":
+            moofs.append((before, at, stop))
+        before = stop
+    known, room = {t["number"]: t for t in out if t["number"] is not None}, len(data)
+    if moofs:
+        for t in out:
+            t["clock"] = sum(int(n) * int(step) for n, step in t.get("times", ()))
+    for start, at, stop in moofs:
+        room = _fragment(data, start, at, stop, known, defaults, room)
     return out
 
 
@@ -209,11 +312,9 @@ def describe(media: bytes | None) -> tuple[list[dict], str | None]:
             offset, size, time = samples(t)
             if len(size) and (offset.min() < 0 or (offset + size).max() > len(media)):
                 raise ValueError("samples beyond the file")
-            key = t["sync"][(t["sync"] >= 0) & (t["sync"] < len(size))] if "sync" in t else np.arange(len(size))
+            key = keyframes(t)
             ranges = [{"offset": int(o), "length": int(s), "time": int(x)} for o, s, x in zip(offset[key], size[key], time[key], strict=True)]
             out.append({"codec": t["codec"], "handler": t["handler"], "timescale": int(t["timescale"]), "duration": int(t["duration"]), "samples": len(size), "keyframes": ranges})
-        if fragmented(media or b""):
-            return out, "fragmented"
     except (ValueError, struct.error, IndexError) as e:
         return [], str(e) or type(e).__name__
     return out, None if media else "empty"
@@ -229,10 +330,10 @@ def index(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     Null and empty media, truncated boxes, tables that disagree and samples
     beyond the file give no tracks and an error's text; no row is dropped, and
-    what is allocated stays within a small multiple of the file's size. A file
-    with movie fragments has its tracks, the samples of its sample tables only,
-    and the error 'fragmented'. Repeated rows each have theirs; an empty table
-    gives no rows. Columns with these two names are replaced.
+    what is allocated stays within a small multiple of the file's size. Samples of
+    movie fragments follow those of the sample tables, and a track lasts as long
+    as they do; fragments of unknown tracks are an error. Repeated rows each have
+    theirs; an empty table gives no rows. Columns with these two names are replaced.
     """
 
     @F.arrow_udf(f"struct<tracks:{TRACKS},error:string>")

@@ -70,6 +70,53 @@ def track(*tables, deep=0):
     return media.box(b"moov", media.box(b"trak", mdia))
 
 
+def flagged(kind, flags, *parts):
+    return media.box(kind, struct.pack(">I", flags), *parts)
+
+
+def fragment(*boxes):
+    return media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0, struct.pack(">I", 1)), *boxes))
+
+
+def movie(trex=(1, 10, 0, 0x10000)):
+    """A track of number 1 with no samples of its own, and what fragments leave open."""
+    u = lambda *v: struct.pack(f">{len(v)}I", *v)
+    mdia = media.box(b"mdia", media.full(b"mdhd", 0, u(0, 0, 100, 0, 0)), media.full(b"hdlr", 0, bytes(4), b"vide", bytes(13)), media.box(b"minf", media.box(b"stbl", media.full(b"stsd", 0, u(1), media.box(b"avc1", bytes(78))))))
+    return media.box(b"moov", media.box(b"mvex", media.full(b"trex", 0, u(1, *trex))), media.box(b"trak", media.full(b"tkhd", 0, u(0, 0, 1, 0, 0)), mdia))
+
+
+def test_movie_fragments():
+    """Runs with sizes, times and flags of their own or by default; places from the fragment, from a base and from what precedes."""
+    u = lambda *v: struct.pack(f">{len(v)}I", *v)
+    head, body = movie(), bytes(range(60))
+
+    def one(place):  # two runs: sizes and flags each, a first flag; the second goes on where the first ends
+        a = flagged(b"trun", 0x1 | 0x200 | 0x400, u(3, place, 5, 0, 7, 0x10000, 2, 0))
+        b = flagged(b"trun", 0x4 | 0x100 | 0x200 | 0x800, u(2, 0, 4, 3, 0, 6, 1, 0))
+        return media.box(b"moof", media.full(b"mfhd", 0, u(1)), media.box(b"traf", flagged(b"tfhd", 0x20000, u(1)), media.full(b"tfdt", 1, u(0, 1000)), a, b))
+
+    def two(base):  # given base, sizes and times by default, no time of its own, nothing is a keyframe but the first
+        return media.box(b"moof", media.box(b"traf", flagged(b"tfhd", 0x1 | 0x2 | 0x8 | 0x10, u(1, 0, base, 1, 20, 8)), flagged(b"trun", 0x4, u(3, 0))))
+
+    n = len(one(0))
+    first = head + one(n + 8) + media.box(b"mdat", body[:18])
+    data = first + two(len(first) + len(two(0)) + 8) + media.box(b"mdat", body[18:42])
+    (d,), error = media.describe(data)
+    assert error is None
+    at = len(head) + n + 8
+    late = len(data) - 24
+    assert (d["codec"], d["samples"], d["timescale"], d["duration"]) == ("avc1", 8, 100, 1000 + 30 + 10 + 60)
+    assert [(k["offset"], k["length"], k["time"]) for k in d["keyframes"]] == [(at, 5, 1000), (at + 12, 2, 1020), (at + 14, 3, 1030), (late, 8, 1040)]
+    assert media.payload(data, media.tracks(data)[0]) == body[:42]
+    rng = random.Random(9)
+    for _ in range(2000):
+        bad = bytearray(data[: rng.randint(1, len(data))] if rng.random() < 0.3 else data)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        found, _ = media.describe(bytes(bad))
+        assert sum(t["samples"] for t in found) <= 2 * len(data)
+
+
 def test_hostile_tables_allocate_little(spark):
     """Counts that the file can't hold, boxes nested deep, places out of the file and fragments end in an error's text or in bounded rows."""
     u = lambda *v: struct.pack(f">{len(v)}I", *v)
@@ -87,8 +134,17 @@ def test_hostile_tables_allocate_little(spark):
         "co64": (track(one, media.full(b"co64", 0, u(1, big, big)), run), "samples beyond the file"),
         "stco": (track(one, media.full(b"stco", 0, u(1, big)), run), "samples beyond the file"),
         "deep": (track(one, chunks, run, deep=5000), None),
-        "moof": (track(one, chunks, run) + media.box(b"moof"), "fragmented"),
-        "mvex": (media.box(b"moov", media.box(b"mvex")), "fragmented"),
+        "moof": (track(one, chunks, run) + media.box(b"moof"), None),
+        "mvex": (media.box(b"moov", media.box(b"mvex")), None),
+        "unknown": (track(one, chunks, run) + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0, u(9)))), "fragment of no track"),
+        "headless": (movie() + media.box(b"moof", media.box(b"traf", media.full(b"trun", 0, u(0)))), "fragment of no track"),
+        "trun": (movie() + fragment(media.full(b"trun", 0, u(big))), "samples beyond the file"),
+        "truns": (movie() + fragment(*[media.full(b"trun", 0, u(100))] * 50), "samples beyond the file"),
+        "trun_cut": (movie() + fragment(flagged(b"trun", 0x200, u(3, 1))), "truncated table"),
+        "tfdt": (movie() + fragment(media.full(b"tfdt", 1, u(big, big)), flagged(b"trun", 0x100, u(1, 5))), "duration"),
+        "base": (movie() + media.box(b"moof", media.box(b"traf", flagged(b"tfhd", 1, u(1, big, big)), flagged(b"trun", 0, u(1)))), "samples beyond the file"),
+        "mdhd": (media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", 1, u(0, 0, 0, 0, 1, big, 5, 0))))), "duration"),
+        "unknown_mdhd": (media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", 1, u(0, 0, 0, 0, 1, big, big, 0))))), None),
     }
     table = spark.createDataFrame([(k, bytearray(m)) for k, (m, _) in cases.items()], "name string, media binary")
     got = {r.name: r for r in media.index(table).collect()}
