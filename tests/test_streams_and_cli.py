@@ -85,6 +85,11 @@ def test_unescaped(spark):
     assert {r.t: r.u for r in rows} == cases
 
 
+def test_escapes_are_text_for_streams_and_bytes_for_folding():
+    assert all(isinstance(v, str) for v in fixed.ESCAPES.values())
+    assert {k: ord(v) for k, v in fixed.ESCAPES.items()} == {k: v for k, v in fixed.ESCAPE_BYTES.items() if k.isalpha()}
+
+
 def test_scratch_is_deleted_and_nests(spark):
     with tables.scratch(spark) as folder:
         outer = tables.written(spark.range(3).toDF("a"), "x")
