@@ -20,10 +20,18 @@ def _wide(c: Column) -> Column:
 
 def _wrapped(value: Column) -> Column:
     """The number modulo 2**64, as a signed 64-bit number."""
-    word = F.lit(str(_WORD)).cast("decimal(20,0)")
-    rest = (value.cast("decimal(38,0)") % word).cast("decimal(20,0)")
-    unsigned = F.when(rest < 0, rest + word).otherwise(rest)
-    return F.when(unsigned >= F.lit(str(_WORD // 2)).cast("decimal(20,0)"), unsigned - word).otherwise(unsigned).cast("long")
+    wide = lambda v: F.lit(str(v)).cast("decimal(20,0)")
+    # One chain, so that nothing in it is evaluated twice: above -2**64, then above 0, then below 2**64.
+    rest = value.cast("decimal(38,0)") % wide(_WORD)
+    return ((rest + wide(_WORD - _LEAST)) % wide(_WORD) + wide(_LEAST)).cast("long")
+
+
+def polynomial(start: Column, *steps: tuple[int, int]) -> Column:
+    """start times a number plus a number, step by step, wrapped around once at the end; numbers of 38 digits at most on the way."""
+    value = _wide(start)
+    for factor, plus in steps:
+        value = value * F.lit(str(factor)).cast(f"decimal({len(str(abs(factor)))},0)") + F.lit(str(plus)).cast(f"decimal({len(str(abs(plus)))},0)")
+    return _wrapped(value)
 
 
 def add(a: Column, b: Column) -> Column:

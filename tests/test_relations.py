@@ -31,6 +31,16 @@ def test_integers_wrap_around(spark):
             assert r[n] == (None if r.a is None or r.b is None else f(r.a, r.b)), (n, r.a, r.b)
 
 
+def test_script_arithmetic_of_large_part_numbers(spark, tmp_path):
+    parts = [1, 17, 20_000, 120_001, 1_200_007, 1 << 40]
+    rows = spark.createDataFrame([(k, k, p, 61, 3.0) for k, p in enumerate(parts)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.l_orderkey: r for r in QUERIES["script_arithmetic"](spark, str(tmp_path)).collect()}
+    for k, p in enumerate(parts):
+        a = LEAST if p % 17 == 0 else wrap((p * 2654435761 - 3000000000000) * 40503)
+        assert (got[k].a, got[k].b, got[k].added, got[k].multiplied) == (a, 21 * 3 * 1000003, wrap(a + 63 * 1000003), wrap(a * 63 * 1000003))
+
+
 def test_floats(spark):
     nan = math.nan
     rows = spark.createDataFrame([(5.5, 2.0), (-5.5, 2.0), (5.5, -2.0), (1.0, 0.0), (nan, 1.0), (nan, nan), (1e300, 3.0)], "a double, b double")
