@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import written
+from ..plans.tables import written_rows as written
 
 ENTRY = 1
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions import fixed
 from bytequarry.operators import dataflow, flowtree, lexical
+from bytequarry.plans.tables import written_rows
+from bytequarry.plans.catalogue import QUERIES
 
 
 def random_graphs(seed, graphs=25, most=14):
@@ -351,3 +353,12 @@ def test_signs_that_patterns_hold_lose_no_match(spark, sf_dir):
     row = texts.select(*(c.alias(f"c{k}_{i}") for k, pair in enumerate(both) for i, c in enumerate(pair))).first()
     for k, p in enumerate(fixed.HELD):
         assert row[f"c{k}_0"] == row[f"c{k}_1"], p
+
+
+def test_rows_of_small_numbers_are_not_broadcast(spark, sf_dir, tmp_path):
+    """Spark takes such tables for small by the size of their files, or of what they are exploded from."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(QUERIES["lua51_link_checks"](spark, sf_dir))
+    rows = written_rows(spark.range(100).selectExpr("id as prototype", "1L as node"), "rows")
+    assert "BroadcastExchange" not in plan(rows.join(spark.range(9).withColumnRenamed("id", "prototype"), "prototype"))
+    assert "BroadcastExchange" not in plan(QUERIES["def_use"](spark, sf_dir))
