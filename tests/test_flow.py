@@ -362,3 +362,15 @@ def test_rows_of_small_numbers_are_not_broadcast(spark, sf_dir, tmp_path):
     rows = written_rows(spark.range(100).selectExpr("id as prototype", "1L as node"), "rows")
     assert "BroadcastExchange" not in plan(rows.join(spark.range(9).withColumnRenamed("id", "prototype"), "prototype"))
     assert "BroadcastExchange" not in plan(QUERIES["def_use"](spark, sf_dir))
+
+
+def test_effects_on_read_registers_need_no_row_for_each_that_is_written(spark):
+    """A write of very many registers (opcode 154 writes q..q + a - 1) is met only where the prototype reads one of them."""
+    row = lambda pc, opcode, a, n, q: (1, pc, opcode, 8 * a + 7, 8 * n + 7, 8 * q + 7)
+    rows = [row(1, 154, 3_000_000, 0, 5), row(2, 9, 0, 1_000_000, 0), row(3, 25, 0, 0, 40), row(4, 9, 0, 40, 0)]
+    ins = spark.createDataFrame(rows, "prototype long, pc long, raw_opcode long, word_a long, word_n long, word_q long")
+    got = {(r.pc, r.access, r.register) for r in dataflow.effects_on(ins).collect()}
+    assert got == {(1, "write", 40), (1, "write", 1_000_000), (2, "read", 1_000_000), (3, "write", 40), (4, "read", 40)}
+    wanted = dataflow.assigned_registers(ins)
+    assert [r.register for r in wanted.collect()] == [40]
+    assert {(r.pc, r.access) for r in dataflow.effects_on(ins, wanted).collect()} == {(1, "write"), (3, "write"), (4, "read")}
