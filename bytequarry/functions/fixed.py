@@ -53,6 +53,16 @@ HAZARDS = [
     ("dot-self-call", r"\b([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\.\s*[A-Za-z_]\w*\s*\(\s*\1\b"),
 ]
 
+# The same matches by patterns that look at a line once from each sign of equality: masked code has long runs of spaces, over
+# which neighbouring repeats would be tried in all divisions.
+LINEAR = {
+    HAZARDS[0][1]: r"=\s*+[A-Za-z_(][^\n;=(]*+\([^;\n]*\)",
+    HAZARDS[1][1]: r"=\s*+\.\.\.",
+    HAZARDS[2][1]: r"=\s*+[A-Za-z_(][^\n;.\[]*+[.\[][^\n;]*+",
+    HAZARDS[3][1]: r"=\s*+(?:[^\n;][^\n;*/%#+-]*+[*/%#+-]|(?<=[^\S\n])[*/%#+-])[^\n;]*+",
+    HAZARDS[5][1]: r"\b[A-Za-z_]\w*+\s*+,\s*+[A-Za-z_]\w*+\s*+=",
+}
+
 # Classifier signals (name, pattern, least count).
 AUDIT_SIGNALS = [
     ("register-level header", r"(?i)LURAPH PAYLOAD[\s\S]{0,80}DEVIRTUALIZED REGISTER-LEVEL", 1),

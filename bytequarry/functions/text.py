@@ -40,7 +40,7 @@ def may_match(text: Column, pattern: str, low: Column | None = None) -> Column:
 
 def count(text: Column, pattern: str, low: Column | None = None) -> Column:
     """Number of matches, from left to right without overlap; a pattern runs only over texts that it may match. low: the text in lower case."""
-    found = F.regexp_count(text, F.lit(java(pattern))).cast("long")
+    found = F.regexp_count(text, F.lit(java(fixed.LINEAR.get(pattern, pattern)))).cast("long")
     return F.when(may_match(text, pattern, low), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long"))) if pattern in fixed.HELD else found
 
 

@@ -306,3 +306,18 @@ def test_empty_tables(spark):
     assert inventory.capabilities(classified).count() == inventory.urls(classified).count() == 0
     flow = graph.flow(instructions(spark, []))
     assert flowtree.reachable(graph.edges(flow, graph.blocks(flow)), graph.blocks(flow)).count() == 0
+
+
+def test_linear_patterns_have_the_same_matches():
+    import random
+    import re
+    import time
+
+    rng = random.Random(5)
+    for _ in range(20_000):
+        source = "".join(rng.choice("=== \n\t;;((()).[-+,ab_1") for _ in range(rng.randint(1, 24)))
+        for plain, linear in fixed.LINEAR.items():
+            assert [m.span() for m in re.finditer(plain, source)] == [m.span() for m in re.finditer(linear, source)], (plain, source)
+    start = time.monotonic()
+    assert [len(re.findall(p, "t = " + " " * 20_000 + "\n")) for p in fixed.LINEAR.values()] == [0] * len(fixed.LINEAR)
+    assert time.monotonic() - start < 2
