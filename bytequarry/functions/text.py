@@ -23,8 +23,11 @@ _MASKED = r"""--|["']|\[=*\["""
 def java(pattern: str) -> str:
     """The pattern with word boundaries that only ASCII letters, digits and underscores make.
 
-    Before a letter, and after a letter or a group of words, one look is enough.
+    Before a letter, and after a letter or a group of words, one look is enough. What is before a single word is looked
+    at after it, so that a scan looks for the word's first letter and not around every place.
     """
+    if word := re.fullmatch(r"\\b([A-Za-z_]\w*)\\b", pattern):
+        return f"{word[1]}(?<!{_WORD}{word[1]})(?!{_WORD})"
     pattern = re.sub(r"\\b(?=(?:\(\?:|\()?(?:[A-Za-z_]|\[A-Za-z_\]))", lambda m: f"(?<!{_WORD})", pattern)
     pattern = re.sub(r"(?<![\\])([A-Za-z]|(?<=[A-Za-z0-9+])(?<!\(\?i)\))\\b", lambda m: f"{m[1]}(?!{_WORD})", pattern)
     return pattern.replace(r"\b", _BOUNDARY)

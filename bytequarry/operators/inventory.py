@@ -16,20 +16,25 @@ def capabilities(sources: DataFrame, code_col: str = "code") -> DataFrame:
     """(artifact_id, category, api, occurrences, lines): what code mentions, with the first lines that do.
 
     Each spec is a literal pattern of one projection, tried only where a word
-    that all its matches hold is in the code; what is found makes a row, and only
-    then are the code's lines looked at. No pattern reaches over a line's end but
-    through white space, so counts are of the whole code. Nothing is shuffled.
-    Rows without a find go only after the explode: a filter before it would move
-    below the projection and mask the text again for each spec.
+    that all its matches hold is in the code; only where it is found are the
+    code's lines looked at, those that hold the word. No pattern reaches over a
+    line's end but through white space, so counts are of the whole code. Nothing
+    is shuffled. Rows without a find go only after the explode: a filter before it
+    would move below the projection and mask the text again for each spec.
     """
     code = F.col(code_col)
-    some = lambda p: F.greatest(F.lit(False), *(F.contains(code, F.lit(w)) for w in sorted(set(re.findall("[A-Za-z_]{4,}", re.sub(r"\\.", " ", p))))))
-    specs = [F.when(some(p), F.struct(F.lit(c).alias("category"), F.lit(a).alias("api"), F.lit(java(p)).alias("pattern"), count(code, p).alias("occurrences"))) for c, a, p in fixed.CAPABILITIES]
-    rows = sources.select("artifact_id", code.alias("code"), F.filter(F.array(*specs), lambda s: s["occurrences"] > 0).alias("found"))
-    numbered = F.expr(r"case when size(found) > 0 then transform(split(code, r'\n'), (line, k) -> named_struct('n', k + 1, 'line', line)) end")
-    rows = rows.select("artifact_id", numbered.alias("lines"), F.explode_outer("found").alias("s")).where("s is not null")
-    lines = F.expr(f"slice(transform(filter(lines, x -> x.line rlike s.pattern), x -> x.n), 1, {fixed.CAPABILITY_LINES})")
-    return rows.select("artifact_id", "s.category", "s.api", "s.occurrences", F.array_join(lines, ",").alias("lines"))
+    words = lambda p: sorted(set(re.findall("[A-Za-z_]{4,}", re.sub(r"\\.", " ", p))))
+    some = lambda p, t: F.greatest(F.lit(False), *(F.contains(t, F.lit(w)) for w in words(p)))
+
+    def spec(category: str, api: str, p: str):
+        at = F.filter(F.transform("lines", lambda x, k: F.when(some(p, x), F.when(x.rlike(java(p)), k + 1))), lambda k: k.isNotNull())
+        row = F.struct(F.lit(category).alias("category"), F.lit(api).alias("api"), F.col(f"_{api}").alias("occurrences"), F.array_join(F.slice(at, 1, fixed.CAPABILITY_LINES), ",").alias("lines"))
+        return F.when(F.col(f"_{api}") > 0, row)
+
+    counts = [F.when(some(p, code), count(code, p)).alias(f"_{a}") for _, a, p in fixed.CAPABILITIES]
+    rows = sources.select("artifact_id", F.split(code, "\n").alias("lines"), *counts)
+    rows = rows.select("artifact_id", F.explode_outer(F.array_compact(F.array(*(spec(*c) for c in fixed.CAPABILITIES)))).alias("s")).where("s is not null")
+    return rows.select("artifact_id", "s.category", "s.api", "s.occurrences", "s.lines")
 
 
 def urls(sources: DataFrame, text_col: str = "text") -> DataFrame:

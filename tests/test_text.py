@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytequarry.functions import fixed
+from bytequarry.functions import text as text_functions
 from bytequarry.functions.text import control_share, count, masked, physical_lines
 from bytequarry.operators import audit, bytestats, chunk, flowtree, graph, inventory, records, streams
 from bytequarry.operators import classify as C
@@ -321,3 +322,12 @@ def test_linear_patterns_have_the_same_matches():
     start = time.monotonic()
     assert [len(re.findall(p, "t = " + " " * 20_000 + "\n")) for p in fixed.LINEAR.values()] == [0] * len(fixed.LINEAR)
     assert time.monotonic() - start < 2
+
+
+def test_capability_lines_are_found_by_literal_patterns(spark):
+    text = "x load y\nloader\n\nload\rload . load\nsyn\n.request syn.request"
+    rows = inventory.capabilities(spark.createDataFrame([(1, text)], "artifact_id long, code string"))
+    assert {(r.api, r.occurrences, r.lines) for r in rows.collect()} == {("load", 4, "1,4"), ("request", 2, "6")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "s.pattern" not in plan and "pattern AS" not in plan  # a pattern that is a column is compiled for every line
+    assert text_functions.java(r"\bload\b").startswith("load")
