@@ -48,9 +48,15 @@ def count(text: Column, pattern: str, low: Column | None = None) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """Text with comments and strings blanked; line ends and places stay. Backtick strings stay."""
-    blank = lambda t: F.when(t.rlike(rf"^(?:{_MASKED})"), F.regexp_replace(t, r"[^\r\n]", " ")).otherwise(t)
-    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), blank), "")
+    """Text with comments and strings blanked; line ends and places stay. Backtick strings stay.
+
+    A token's first sign says what it is: a lone hyphen or bracket is code, a longer one a comment or a long string.
+    """
+    starts = lambda t, *signs: reduce(or_, (t.startswith(F.lit(c)) for c in signs))
+    hidden = lambda t: starts(t, '"', "'") | (starts(t, "-", "[") & (F.octet_length(t) > 1))
+    spaces = lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x: F.repeat(F.lit(" "), F.length(x))), "\n")
+    blank = lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"[^\r\n]", " ")).otherwise(spaces(t))
+    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: F.when(hidden(t), blank(t)).otherwise(t)), "")
     return F.when(text.rlike(_MASKED), tokens).otherwise(text)
 
 

@@ -93,18 +93,24 @@ def budget_selection(rows: DataFrame, key: str, order: str, size: str, budget: i
 
 
 def loader_facts(classified: DataFrame) -> DataFrame:
-    """What a loader's masked code declares: functions, named handlers and library aliases in order, entry point, distinct keys of two digits and more, buffer functions."""
+    """What a loader's masked code declares: functions, named handlers and library aliases in order, entry point, distinct keys of two digits and more, buffer functions.
+
+    Names before a sign of equality are looked for only where what must follow it is found: that begins at the sign,
+    a name at every word.
+    """
     code = F.col("code")
-    every = lambda p, k: F.regexp_extract_all(code, F.lit(java(p)), F.lit(k))
     library = r"(?:math|string|bit32|buffer|table|coroutine)(?:\s*\.\s*[A-Za-z_]\w*)?"
-    alias = rf"\b([A-Za-z_]\w*)\s*=\s*({library})"
-    names, values = every(alias, 1), F.transform(every(alias, 2), lambda v: F.regexp_replace(v, r"\s+", ""))
-    aliases = F.zip_with(names, values, lambda n, v: F.concat(n, F.lit(" -> "), v))
-    api = F.array_compact(F.array(*(F.when(code.rlike(java(rf"\b{a}\b")), F.lit(a)) for a in fixed.BUFFER_APIS)))
+    assigned = lambda p, k: F.when(code.rlike(rf"=\s*+{p}"), F.regexp_extract_all(code, F.lit(java(rf"\b([A-Za-z_]\w*+)\s*+=\s*+{p}")), F.lit(k)))
+    none = F.array().cast("array<string>")
+    handlers = F.coalesce(assigned(r"function\s*\(", 1), none)
+    names, values = assigned(f"({library})", 1), F.transform(assigned(f"({library})", 2), lambda v: F.regexp_replace(v, r"\s+", ""))
+    aliases = F.coalesce(F.zip_with(names, values, lambda n, v: F.concat(n, F.lit(" -> "), v)), none)
+    keys = F.regexp_extract_all(code, F.lit(r"\[\s*(\d{2,})\s*\]"), F.lit(1))
+    api = F.array_compact(F.array(*(F.when(F.contains(code, F.lit(a)), F.when(code.rlike(java(rf"\b{a}\b")), F.lit(a))) for a in fixed.BUFFER_APIS)))
     return classified.select(
-        "artifact_id", count(code, r"\bfunction\b").alias("functions"), F.array_join(F.array_distinct(every(r"\b([A-Za-z_]\w*)\s*=\s*function\s*\(", 1)), ",").alias("handlers"),
+        "artifact_id", count(code, r"\bfunction\b").alias("functions"), F.array_join(F.array_distinct(handlers), ",").alias("handlers"),
         F.nullif(F.regexp_extract(code, r"\}\)\s*:\s*([A-Za-z_]\w*)\s*\(\s*\)\s*;?\s*\z", 1), F.lit("")).alias("entrypoint"), F.array_join(aliases, ",").alias("aliases"),
-        F.size(F.array_distinct(every(r"\[\s*(\d{2,})\s*\]", 1))).cast("long").alias("numeric_keys"), F.array_join(api, ",").alias("buffer_apis"),
+        F.size(F.array_distinct(keys)).cast("long").alias("numeric_keys"), F.array_join(api, ",").alias("buffer_apis"),
     )
 
 

@@ -331,3 +331,18 @@ def test_capability_lines_are_found_by_literal_patterns(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "s.pattern" not in plan and "pattern AS" not in plan  # a pattern that is a column is compiled for every line
     assert text_functions.java(r"\bload\b").startswith("load")
+
+
+def test_masked_by_first_signs_without_a_pattern_a_token(spark):
+    cases = {"a - b[1] --c\rd\ne": "a - b[1]    \r \ne", "x = '\U0001f600é' [": "x =      [", '"': " ", "[[a\r\n\nb]] - [": "   \r\n\n    - [", "--": "  ", "a\n--[==[ -\n]==]\n-": "a\n        \n    \n-", "": ""}
+    rows = spark.createDataFrame(list(cases.items()), "text string, want string").withColumn("got", text_functions.masked(F.col("text")))
+    assert all(r.got == r.want for r in rows.collect())
+    assert "^(?:" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loader_facts_look_for_names_only_before_what_follows_them(spark):
+    code = "f = function (a) g=function() f =\n function() x = math . floor y=string.rep len [12] [ 7 ] [12 ] readu8x readu8 ... })  : go ( ) ;"
+    rows = inventory.loader_facts(spark.createDataFrame([(1, code), (2, "")], "artifact_id long, code string"))
+    a, b = sorted(rows.collect())
+    assert tuple(a) == (1, 3, "f,g", "go", "x -> math.floor,y -> string.rep", 1, "len,readu8") and tuple(b) == (2, 0, "", None, "", 0, "")
+    assert "=\\s*+function" in rows._jdf.queryExecution().optimizedPlan().toString()
