@@ -33,18 +33,21 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
-def may_match(text: Column, pattern: str, low: Column | None = None) -> Column:
-    """Whether a text holds the signs without which the pattern can't match; true if none are known. low: the text in lower case."""
-    low = F.lower(text) if low is None else low
-    side = low if pattern.startswith("(?i)") else text
-    found = [reduce(or_, (F.contains(side, F.lit(w)) for w in words)) for words in fixed.HELD.get(pattern, [])]
+def may_match(text: Column, pattern: str) -> Column:
+    """Whether a text holds the signs without which the pattern can't match; true if none are known.
+
+    Where case doesn't count the sign is looked for as it stands in the text: a copy in lower case costs far more.
+    """
+    free = lambda w: pattern.startswith("(?i)") and w.lower() != w.upper()
+    has = lambda w: text.rlike(f"(?i){re.escape(w)}") if free(w) else F.contains(text, F.lit(w))
+    found = [reduce(or_, (has(w) for w in words)) for words in fixed.HELD.get(pattern, [])]
     return reduce(and_, found) if found else F.lit(True)
 
 
-def count(text: Column, pattern: str, low: Column | None = None) -> Column:
-    """Number of matches, from left to right without overlap; a pattern runs only over texts that it may match. low: the text in lower case."""
+def count(text: Column, pattern: str) -> Column:
+    """Number of matches, from left to right without overlap; a pattern runs only over texts that it may match."""
     found = F.regexp_count(text, F.lit(java(fixed.LINEAR.get(pattern, pattern)))).cast("long")
-    return F.when(may_match(text, pattern, low), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long"))) if pattern in fixed.HELD else found
+    return F.when(may_match(text, pattern), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long"))) if pattern in fixed.HELD else found
 
 
 def masked(text: Column) -> Column:

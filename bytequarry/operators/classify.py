@@ -23,14 +23,14 @@ def classify(artifacts: DataFrame) -> DataFrame:
 
     Text is null where bytes aren't UTF-8, which makes an artifact binary unless
     it has the bytecode signature. The first rule that holds decides. All of it
-    is one projection over the scan.
+    is one projection over the scan; of statement tokens two are enough.
     """
     text = F.coalesce("text", F.lit(""))
-    out = artifacts.withColumns({"code": masked(text), "_low": F.lower(text)})
-    audit = [F.when(count(text, p, F.col("_low")) >= n, F.lit(name)) for name, p, n in fixed.AUDIT_SIGNALS]
+    out = artifacts.withColumn("code", masked(text))
+    audit = [F.when(count(text, p) >= n, F.lit(name)) for name, p, n in fixed.AUDIT_SIGNALS]
     luau = [F.when(may_match(F.col("code"), p) & F.col("code").rlike(java(p)), F.lit(name)) for name, p in fixed.LUAU_SIGNALS]
     control = F.contains(text, F.lit("\0")) | (control_share(text) > fixed.CONTROL_SHARE)
-    out = out.withColumns({"_audit": F.array_compact(F.array(*audit)), "_luau": F.array_compact(F.array(*luau)), "_tokens": count(F.col("code"), fixed.STATEMENTS), "_control": control})
+    out = out.withColumns({"_audit": F.array_compact(F.array(*audit)), "_luau": F.array_compact(F.array(*luau)), "_tokens": F.col("code").rlike(java(rf"{fixed.STATEMENTS}[\s\S]*?{fixed.STATEMENTS}")), "_control": control})
     ext = F.lower(F.regexp_extract("file_name", r"(\.[^./\\]+)$", 1))
     n_audit, n_luau = F.size("_audit"), F.size("_luau")
     rules = [
@@ -40,8 +40,8 @@ def classify(artifacts: DataFrame) -> DataFrame:
         (n_audit >= 3, "vm-audit-ir", "vm-ir", F.least(F.lit(1.0), F.lit(0.65) + n_audit * F.lit(0.06)), F.array_join("_audit", ";")),
         ((n_luau > 0) | (ext == ".luau"), "luau-source", "luau", F.when(n_luau > 0, 0.88).otherwise(0.62), F.when(n_luau > 0, F.array_join("_luau", ";")).otherwise("extension")),
         (
-            (ext == ".lua") | (F.col("_tokens") >= 2), "lua-source", "lua-5.1", F.when((ext == ".lua") & (F.col("_tokens") >= 2), 0.92).otherwise(0.7),
-            _joined([F.when(ext == ".lua", F.lit("extension")), F.when(F.col("_tokens") >= 2, F.lit("statement tokens"))]),
+            (ext == ".lua") | F.col("_tokens"), "lua-source", "lua-5.1", F.when((ext == ".lua") & F.col("_tokens"), 0.92).otherwise(0.7),
+            _joined([F.when(ext == ".lua", F.lit("extension")), F.when(F.col("_tokens"), F.lit("statement tokens"))]),
         ),
         (F.lit(True), "text", "unknown", F.lit(0.7), F.lit("no syntax evidence")),
     ]
@@ -50,7 +50,7 @@ def classify(artifacts: DataFrame) -> DataFrame:
     cases = [(r[0], F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(f) for f, v in zip(fields, r[1:], strict=True)))) for r in rules]
     out = out.withColumn("_first", reduce(lambda c, r: c.when(*r), cases[1:], F.when(*cases[0])))
     out = out.withColumns({f: F.col("_first")[f] for f in fields}).withColumn("confidence", F.round("confidence", 6))
-    return out.drop("_audit", "_luau", "_tokens", "_control", "_first", "_low")
+    return out.drop("_audit", "_luau", "_tokens", "_control", "_first")
 
 
 def signals(classified: DataFrame) -> DataFrame:
@@ -64,9 +64,7 @@ def signals(classified: DataFrame) -> DataFrame:
 def counts(classified: DataFrame) -> DataFrame:
     """Classified artifacts with the numbers that detectors look at."""
     text = F.coalesce("text", F.lit(""))
-    low = {True: F.col("_low_code"), False: F.col("_low")}
-    out = classified.withColumns({"_low": F.lower(text), "_low_code": F.lower("code")})
-    out = out.withColumns({name: count(F.col("code") if on_code else text, p, low[on_code]) for name, on_code, p in fixed.COUNTS}).drop("_low", "_low_code")
+    out = classified.withColumns({name: count(F.col("code") if on_code else text, p) for name, on_code, p in fixed.COUNTS})
     return out.withColumns({
         "n_chars": F.length(text).cast("long"),
         "n_lines": physical_lines(text),

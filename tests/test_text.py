@@ -346,3 +346,12 @@ def test_loader_facts_look_for_names_only_before_what_follows_them(spark):
     a, b = sorted(rows.collect())
     assert tuple(a) == (1, 3, "f,g", "go", "x -> math.floor,y -> string.rep", 1, "len,readu8") and tuple(b) == (2, 0, "", None, "", 0, "")
     assert "=\\s*+function" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classes_need_no_copy_in_lower_case(spark):
+    rows = [(1, "1.txt", "if x"), (2, "2.txt", "if x then"), (3, "3.txt", "MOONSEC v3 0XFF"), (4, "4.txt", "elseif xend\nif")]
+    table = spark.createDataFrame(rows, "artifact_id long, file_name string, text string").withColumn("is_bytecode", F.lit(False))
+    counted = C.counts(C.classify(table))
+    got = {r.artifact_id: (r.kind, r.wrapper_raw, r.hex) for r in counted.collect()}
+    assert got == {1: ("text", 0, 0), 2: ("lua-source", 0, 0), 3: ("text", 1, 1), 4: ("text", 0, 0)}
+    assert "lower(text" not in counted._jdf.queryExecution().analyzed().toString()
