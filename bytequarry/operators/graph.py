@@ -60,6 +60,11 @@ def ways(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     return last.select("prototype", "block_start", within(to, "preferred"), within(F.when(kind.isin(*BRANCHES), target), "alternative"))
 
 
+def circling(edges: DataFrame) -> DataFrame:
+    """(prototype) of those with an edge that leads to no later block. A circle has one, so the others have no loop at all."""
+    return edges.where("dst <= src").select("prototype").distinct()
+
+
 def dominators(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(prototype, block_start, dominator) of reachable blocks: what every way from the block at 1 passes, itself included.
 

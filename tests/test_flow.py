@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytequarry.functions import fixed
-from bytequarry.operators import dataflow, flowtree, lexical
+from bytequarry.operators import dataflow, flowtree, graph, lexical
 from bytequarry.plans.tables import written_rows
 from bytequarry.plans.catalogue import QUERIES
 
@@ -374,3 +374,12 @@ def test_effects_on_read_registers_need_no_row_for_each_that_is_written(spark):
     wanted = dataflow.assigned_registers(ins)
     assert [r.register for r in wanted.collect()] == [40]
     assert {(r.pc, r.access) for r in dataflow.effects_on(ins, wanted).collect()} == {(1, "write"), (3, "write"), (4, "read")}
+
+
+def test_only_prototypes_with_a_circle_can_have_loops(spark):
+    graphs = random_graphs(11)
+    edges, _ = tables(spark, graphs)
+    some = {r.prototype for r in graph.circling(edges).collect()}
+    for p, (n, e) in graphs.items():
+        assert p in some or all(u not in reach(e, start=v) for u, v in e)
+    assert 0 < len(some) < len(graphs)
