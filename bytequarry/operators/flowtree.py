@@ -64,6 +64,21 @@ def reachable(edges: DataFrame, blocks: DataFrame, entry: int = ENTRY) -> DataFr
     return spanning_tree(edges, blocks, entry).select("prototype", F.col("node").alias("block_start"))
 
 
+#: Levels of a forest up to which a node carries the way from its root; deeper forests are toured.
+SHALLOW = 16
+
+
+def _ways(tree: DataFrame) -> DataFrame | None:
+    """The forest with way, the nodes from the root to each, by pointer doubling; None if some way is longer than ``SHALLOW``."""
+    rows = tree.select("prototype", "node", F.col("parent").alias("to"), F.array("node").alias("way"))
+    while rows.where("to is not null").limit(1).count():
+        if rows.where(F.size("way") > SHALLOW // 2).limit(1).count():
+            return None
+        ahead = rows.select("prototype", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("way").alias("_way"))
+        rows = written(rows.join(ahead, ["prototype", "to"], "left").select("prototype", "node", F.col("_to").alias("to"), F.concat(F.coalesce("_way", F.array().cast("array<bigint>")), "way").alias("way")), "ways")
+    return rows.select("prototype", "node", F.get("way", F.size("way") - 2).alias("parent"), "way")
+
+
 def numbered(tree: DataFrame) -> DataFrame:
     """(prototype, node, parent, enter, leave, post): intervals of a forest; children and roots in order of their numbers.
 
@@ -71,9 +86,16 @@ def numbered(tree: DataFrame) -> DataFrame:
     node, post counts in post-order. A node is below or at another if its enter lies
     in the other's interval. Euler tour: each node is entered and left; the tour's
     successor of every such event is known from first children and next siblings,
-    and pointer doubling sums what follows each event.
+    and pointer doubling sums what follows each event. In a shallow forest the ways from
+    the roots are in pre-order as they are, and in post-order with an end behind all nodes.
     """
     tree = written(tree.select("prototype", "node", "parent"), "tree")
+    if (ways := _ways(tree)) is not None:
+        of = Window.partitionBy("prototype")
+        last = F.lit(2**63 - 1)
+        rows = ways.select("*", F.row_number().over(of.orderBy("way")).cast("long").alias("enter"), F.row_number().over(of.orderBy(F.array_append("way", last))).cast("long").alias("post"))
+        # Before a node's end lie all that begin before it but its ancestors, and all below it.
+        return rows.select("prototype", "node", "parent", "enter", (F.col("post") + F.size("way") - 1).alias("leave"), "post")
     order = Window.partitionBy("prototype", "parent").orderBy("node")
     rows = tree.withColumn("_sibling", F.lead("node").over(order))
     first = tree.where("parent is not null").groupBy("prototype", F.col("parent").alias("node")).agg(F.min("node").alias("_child"))

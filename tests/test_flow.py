@@ -383,3 +383,23 @@ def test_only_prototypes_with_a_circle_can_have_loops(spark):
     for p, (n, e) in graphs.items():
         assert p in some or all(u not in reach(e, start=v) for u, v in e)
     assert 0 < len(some) < len(graphs)
+
+
+def test_numbers_of_shallow_and_deep_forests_agree(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(p, n, rng.choice([None, *range(1, n)]) if n > 1 else None) for p in range(8) for n in range(1, rng.randint(2, 30))]
+    rows += [(9, n, n + 1 if n < 40 else None) for n in range(1, 41)]
+    tree = spark.createDataFrame(rows, "prototype long, node long, parent long")
+    assert flowtree._ways(tree) is None and flowtree._ways(tree.where("prototype < 9")) is not None
+    monkeypatch.setattr(flowtree, "SHALLOW", 64)
+    shallow = {tuple(r) for r in flowtree.numbered(tree).collect()}
+    monkeypatch.setattr(flowtree, "SHALLOW", 0)
+    columns = ["prototype", "node", "parent", "enter", "leave", "post"]
+    assert shallow == {tuple(r) for r in flowtree.numbered(tree).select(*columns).collect()}
+
+
+def test_emission_order_moves_no_pairs_of_a_group(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(flowtree, "emission_order", lambda made, orders: seen.append(made) or made)
+    QUERIES["emission_order"](spark, sf_dir)
+    assert seen[0].groupBy("prototype", "child").count().where("count > 1").count() == 0
