@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..plans.tables import dealt
 
 CHANNELS = ("a", "n", "q")
 
@@ -42,14 +43,15 @@ def mode_statistics(operands: DataFrame) -> DataFrame:
     return operands.groupBy("channel", "mode").agg(F.count("*").alias("n"), F.sum("payload").alias("payload_sum"), F.min("payload").alias("payload_min"), F.max("payload").alias("payload_max"))
 
 
-def references(resolved: DataFrame, constants: DataFrame, prototypes: DataFrame) -> DataFrame:
+def references(resolved: DataFrame, constants: DataFrame, prototypes: DataFrame, rows: int = 0) -> DataFrame:
     """(kind, prototype, pc, channel, index, found, is_string): references to constants and child prototypes.
 
     constants: (constant_index, is_string); prototypes: (child_index). Both are
     relations of the corpus and are joined by key; Spark broadcasts them if small.
+    rows: about how many instructions there are, so that references are dealt out over enough tasks.
     """
-    to_constant = resolved.where("constant_index is not null").join(constants.withColumn("found", F.lit(True)), "constant_index", "left")
-    to_child = resolved.where("child_index is not null").join(prototypes.distinct().withColumn("found", F.lit(True)), "child_index", "left")
+    to_constant = dealt(resolved.where("constant_index is not null"), "constant_index", rows).join(constants.withColumn("found", F.lit(True)), "constant_index", "left")
+    to_child = dealt(resolved.where("child_index is not null"), "child_index", rows).join(prototypes.distinct().withColumn("found", F.lit(True)), "child_index", "left")
     found = F.coalesce("found", F.lit(False))
     a = to_constant.select(F.lit("constant").alias("kind"), "prototype", "pc", "channel", F.col("constant_index").alias("index"), found.alias("found"), F.coalesce("is_string", F.lit(False)).alias("is_string"))
     return a.union(to_child.select(F.lit("prototype"), "prototype", "pc", "channel", "child_index", found, F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed
 from ..sources.files import from_text
+from .tables import dealt
 
 _APIS = [
     "loadstring", "load", "dofile", "require", "hookmetamethod", "hookfunction", "newcclosure", "getnamecallmethod", "getcallbackmember", "readfile",
@@ -131,8 +132,10 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PAYLOADS.replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
 
 
-def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(INSTRUCTIONS.replace("from lineitem", "from {lineitem}"), lineitem=_rows(spark, sf_dir, "lineitem"))
+def instructions(spark: SparkSession, sf_dir: str, rows: int = 0) -> DataFrame:
+    """rows: about how many there are, so that those of a prototype are placed in enough tasks; only for those who use the places."""
+    lineitem = dealt(_table(spark, sf_dir, "lineitem"), "l_orderkey", rows).hint("merge")
+    return spark.sql(INSTRUCTIONS.replace("from lineitem", "from {lineitem}"), lineitem=lineitem)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

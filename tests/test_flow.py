@@ -376,15 +376,6 @@ def test_effects_on_read_registers_need_no_row_for_each_that_is_written(spark):
     assert {(r.pc, r.access) for r in dataflow.effects_on(ins, wanted).collect()} == {(1, "write"), (3, "write"), (4, "read")}
 
 
-def test_only_prototypes_with_a_circle_can_have_loops(spark):
-    graphs = random_graphs(11)
-    edges, _ = tables(spark, graphs)
-    some = {r.prototype for r in graph.circling(edges).collect()}
-    for p, (n, e) in graphs.items():
-        assert p in some or all(u not in reach(e, start=v) for u, v in e)
-    assert 0 < len(some) < len(graphs)
-
-
 def test_numbers_of_shallow_and_deep_forests_agree(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(p, n, rng.choice([None, *range(1, n)]) if n > 1 else None) for p in range(8) for n in range(1, rng.randint(2, 30))]
@@ -398,6 +389,30 @@ def test_numbers_of_shallow_and_deep_forests_agree(spark, monkeypatch):
     assert shallow == {tuple(r) for r in flowtree.numbered(tree).select(*columns).collect()}
 
 
+def test_references_and_headers_are_dealt_out_over_more_tasks_as_they_grow(spark, monkeypatch):
+    from bytequarry.operators import records
+    from bytequarry.plans import tables as shared
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    spread = spark.range(400).selectExpr("id % 7 as k")
+    assert shared.dealt(spread, "k", 400).rdd.getNumPartitions() == 40
+    assert shared.dealt(spread, "k", 20).rdd.getNumPartitions() == spread.rdd.getNumPartitions()
+    resolved = spark.range(400).selectExpr("id as prototype", "id as pc", "'a' as channel", "id % 50 as constant_index", "cast(null as bigint) as child_index")
+    known = spark.range(49).selectExpr("id as constant_index", "id % 2 = 0 as is_string")
+    refs = records.references(resolved, known, spark.range(3).selectExpr("id as child_index"), 400)
+    assert "RepartitionByExpression [constant_index" in refs._jdf.queryExecution().optimizedPlan().toString()
+    assert refs.count() == 400 and refs.where("not found").count() == 8
+
+
+def test_only_prototypes_with_a_circle_can_have_loops(spark):
+    graphs = random_graphs(11)
+    edges, _ = tables(spark, graphs)
+    some = {r.prototype for r in graph.circling(edges).collect()}
+    for p, (n, e) in graphs.items():
+        assert p in some or all(u not in reach(e, start=v) for u, v in e)
+    assert 0 < len(some) < len(graphs)
+
+
 def test_emission_order_moves_no_pairs_of_a_group(spark, sf_dir, monkeypatch):
     seen = []
     monkeypatch.setattr(flowtree, "emission_order", lambda made, orders: seen.append(made) or made)
