@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import dealt
 from . import chunk
 
 _RK = ("SETTABLE", "ADD", "SUB", "MUL", "DIV", "MOD", "POW", "EQ", "LT", "LE")
@@ -108,15 +109,19 @@ def links(decoded: DataFrame, prototypes: DataFrame, constants: DataFrame, child
     return out.union(row(missing, "LUA51_MISSING_CLOSURE_BINDING", "pc")).union(_found(bound.where("there"), checks))
 
 
-def headers(prototypes: DataFrame, variables: DataFrame, upvalue_names: DataFrame) -> DataFrame:
-    """Debug information that doesn't fit the code: (prototype, pc null, code, operand). upvalue_names: (prototype, index, name)."""
+def headers(prototypes: DataFrame, variables: DataFrame, upvalue_names: DataFrame, rows: int = 0) -> DataFrame:
+    """Debug information that doesn't fit the code: (prototype, pc null, code, operand). upvalue_names: (prototype, index, name).
+
+    rows: about how many variables there are, so that they meet their prototypes in enough tasks. Names move only if they are null.
+    """
     n, lines, names = F.col("n_instructions"), F.col("n_lines"), F.col("n_upvalue_names")
     own = prototypes.withColumn("pc", F.lit(None).cast("long"))
     out = _found(own, [((lines != 0) & (lines != n), "LUA51_DEBUG_LINE_COUNT_MISMATCH", "lines"), ((names != 0) & (names != F.col("upvalues")), "LUA51_DEBUG_UPVALUE_COUNT_MISMATCH", "upvalues")])
-    local = variables.join(own.select("prototype", "pc", "n_instructions"), "prototype")
+    local = dealt(variables.select("prototype", "name", "start_pc", "end_pc"), "prototype", rows).join(dealt(own.select("prototype", "pc", "n_instructions"), "prototype", rows), "prototype")
     start, end = F.col("start_pc"), F.col("end_pc")
     out = out.union(_found(local, [(F.col("name").isNull(), "LUA51_NULL_LOCAL_NAME", "local"), ((start < 0) | (end < start) | (end > n), "LUA51_INVALID_LOCAL_RANGE", "local")]))
-    return out.union(_found(upvalue_names.join(own.select("prototype", "pc"), "prototype"), [(F.col("name").isNull(), "LUA51_NULL_UPVALUE_NAME", "upvalue")]))
+    unnamed = dealt(upvalue_names.where("name is null"), "prototype", rows).join(dealt(own.select("prototype", "pc"), "prototype", rows), "prototype")
+    return out.union(_found(unnamed, [(F.col("name").isNull(), "LUA51_NULL_UPVALUE_NAME", "upvalue")]))
 
 
 def declarations(prototypes: DataFrame, lines: DataFrame, strings: DataFrame) -> DataFrame:
